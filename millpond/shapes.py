@@ -119,6 +119,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         cast(cast(l_shipdate as date) + l_linenumber as date) as delivered_date,
         cast(l_quantity as int) as received_units from lineitem""",
     ),
+    # Source text as it lands, with damage every contract check can find. The line id of an order repeats.
+    "raw_lines_v": (
+        (),
+        """select concat_ws('-', cast(l_orderkey as {text}), cast(l_linenumber as {text})) as line_id,
+        cast(l_orderkey as {text}) as order_id,
+        case when l_partkey % 41 = 0 then '' else cast(l_partkey as {text}) end as product_id,
+        case when l_orderkey % 11 = 0 then concat(cast(cast(l_quantity as int) as {text}), '.5')
+        when l_partkey % 29 = 0 then null else cast(cast(l_quantity as int) as {text}) end as quantity,
+        case when l_suppkey % 23 = 0 then 'free' else cast(cast(l_extendedprice as decimal(18, 2)) as {text}) end
+        as unit_price,
+        case when l_suppkey % 19 = 0 then 'n/a' when l_suppkey % 17 = 0 then '2001-02-30'
+        else cast(cast(l_shipdate as date) as {text}) end as ship_date,
+        case l_returnflag when 'A' then 'true' when 'N' then 'FALSE' else 'yes' end as returned,
+        concat('batch-', l_linestatus, '.csv') as file_name from lineitem""",
+    ),
     # Operational records. Times are epoch seconds where an operator does arithmetic on them.
     "runs_v": (
         (),
