@@ -8,7 +8,7 @@ removed is found by adding and subtracting row counts over all columns, never by
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,13 @@ ERRORS = "_errors"
 COPIES = "_copies"
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 class RunAborted(RuntimeError):
     """The contract stops the run: its policy is abort, or too large a share of the rows was rejected."""
 
@@ -96,17 +103,18 @@ def repeated_keys(rows: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return complete.groupBy(*complete.columns).agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1")
 
 
-def split_copies(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_copies(rows: DataFrame, keys: Sequence[str], keep: Keep = _as_is) -> tuple[DataFrame, DataFrame]:
     """Rows with the first copy of every key, and the later copies folded with their count in `_copies`.
 
     The first copy is the smallest row: by file where there is a `_file` column, then by the row's own columns. Rows with
-    an incomplete key are all first copies: nothing says they are the same entity.
+    an incomplete key are all first copies: nothing says they are the same entity. `keep` may write the repeated keys
+    and their rows, which are read more than once, to a table.
     """
     order = ([FILE] if FILE in rows.columns else []) + [c for c in rows.columns if c != FILE]
     columns = [f"`{c}`" for c in order]
-    repeated = repeated_keys(rows, keys).drop("n_records")
+    repeated = keep(repeated_keys(rows, keys).drop("n_records"))
     single = rows.join(repeated, list(keys), "left_anti").select(*columns)
-    several = rows.join(repeated, list(keys), "left_semi").select(*columns)
+    several = keep(rows.join(repeated, list(keys), "left_semi").select(*columns))
     first = several.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("first")).select("first.*")
     later = (
         several.withColumn(COPIES, F.lit(1))
@@ -211,8 +219,11 @@ class Checked:
             )
 
 
-def check(raw: DataFrame, contract: Contract) -> Checked:
-    """Check source rows against their contract. A missing column is an entity failure, an extra one is left out."""
+def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is) -> Checked:
+    """Check source rows against their contract. A missing column is an entity failure, an extra one is left out.
+
+    Pass `session.cut` as `keep` on large data: the rows of repeated keys are then found once.
+    """
     missing, _ = schema_mismatch(raw, contract)
     if missing:
         raise RunAborted(f"{contract.name}: columns {missing} are missing")
@@ -227,7 +238,7 @@ def check(raw: DataFrame, contract: Contract) -> Checked:
     # The key is compared by value, so '07' and '7' are one integer key; the source text stays as it was.
     slots = [f"_key{i}" for i in range(len(keys))]
     keyed = rows.withColumns({slot: typed(F.col(f"`{k}`"), types[k]) for slot, k in zip(slots, keys)})
-    first, later = split_copies(keyed, slots)
+    first, later = split_copies(keyed, slots, keep)
     duplicate = F.array(_error("unique", ",".join(keys)))
     marked = first.withColumns({ERRORS: row_errors(contract), COPIES: F.lit(1).cast("bigint")}).unionByName(
         later.withColumn(ERRORS, F.concat(row_errors(contract), duplicate))

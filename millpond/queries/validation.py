@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..contracts import CONTRACTS, Contract, Field, Policy
 from ..operators import datatests, validate
 from ..registry import register
-from ..session import scratch, table
+from ..session import cut, scratch, table
 from ..shapes import ctes, view
 from .gold import FACT, FACT_VIEWS, Gold
 
@@ -51,7 +51,7 @@ quantity nulls first, unit_price, ship_date, returned) > 1 then 'unique:line_id'
 
 def _checked(spark: SparkSession, sf_dir: str) -> validate.Checked:
     raw = view(spark, sf_dir, "raw_lines_v").withColumnRenamed("file_name", validate.FILE)
-    return validate.check(raw, RAW_LINES)
+    return validate.check(raw, RAW_LINES, cut)
 
 
 @register(

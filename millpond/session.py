@@ -76,3 +76,15 @@ def present(df: DataFrame) -> DataFrame:
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         columns.append(column.alias(field.name))
     return df.select(*columns)
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    What follows reads the written files, so several uses cost one computation, and a lost executor costs a re-read
+    instead of the whole lineage.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
