@@ -27,7 +27,7 @@ def _units(column: str) -> Column:
 
 
 def _avg(column: str) -> Column:
-    return F.round(F.avg(column), 6).alias(column)
+    return F.round(F.avg(column), 10).alias(column)
 
 
 def daily_net_revenue(by_day: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def quality_signal(
     seen = results.withColumns({"_outcome": outcome, "_blocking": blocking})
     if level == "error":
         seen = seen.withColumn("_outcome", F.when(F.col("_outcome") == "warn", "passed").otherwise(F.col("_outcome")))
-    stale = F.lit(now_us) - F.col("observed_us") > max_age_us
+    stale = F.lit(now_us) >= F.col("observed_us") + F.lit(max_age_us)
     state = F.when(
         F.col("_outcome").isNotNull(),
         F.when(stale, "unknown").otherwise(quality_state(F.col("_outcome"), F.col("_blocking"))),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gold", "validation", "loads")
+MODULES = ("gold", "validation", "loads", "quality")
 
 for _module in MODULES:
     import_module(f"{__name__}.{_module}")

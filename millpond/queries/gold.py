@@ -301,12 +301,12 @@ _model(
     "D6",
     "F9",
     "J3",
-    sql=ctes(*HEALTH_VIEWS, health=HEALTH) + f"select * replace (round(avg_health_score, 6) as avg_health_score) "
+    sql=ctes(*HEALTH_VIEWS, health=HEALTH) + f"select * replace (round(avg_health_score, 10) as avg_health_score) "
     f"from ({CHURN})",
 )
 def _churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An average of doubles depends on the order of addition in its last digits; both sides round them away.
-    return Gold(spark, sf_dir).churn().withColumn("avg_health_score", F.round("avg_health_score", 6))
+    return Gold(spark, sf_dir).churn().withColumn("avg_health_score", F.round("avg_health_score", 10))
 
 
 # The same marts read from the line fact instead of the rollup.

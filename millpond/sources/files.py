@@ -130,15 +130,34 @@ def manifest_results(manifests: DataFrame) -> DataFrame:
     return manifests.select("complete", F.explode("results").alias("result")).select("complete", "result.*")
 
 
-def write_manifests(results: DataFrame, folder: str, keys: Sequence[str] = ("stage", "domain", "product", "run_id")):
-    """One JSON document per run. A run reports a bounded number of checks (checks x tables), so its results are one
-    small array, sorted by identity so that the same results give the same document."""
+def write_manifests(
+    results: DataFrame,
+    folder: str,
+    keys: Sequence[str] = ("stage", "domain", "product", "run_id"),
+    per_document: int = 1000,
+) -> None:
+    """One JSON document per run, its results sorted by identity so that the same results give the same document.
+
+    A run with more results than a document holds gets several, each complete in itself, so no run is gathered whole.
+    """
     fields = [
         "identity", "engine", "stage", "domain", "product", "table_name", "column_name", "check_id", "outcome",
         "pipeline_outcome", "observed_us", "run_id", "metrics",
     ]
-    documents = results.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("results"), F.bool_or("complete").alias("complete")
+    runs = results.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / per_document).alias("_parts"), F.bool_or("complete").alias("complete")
+    )
+    part = F.pmod(F.xxhash64("identity"), F.col("_parts"))
+    by_identity = F.array_sort(
+        F.collect_list(F.struct(*fields)),
+        lambda a, b: F.when(a["identity"] < b["identity"], -1).when(a["identity"] > b["identity"], 1).otherwise(0),
+    )
+    documents = (
+        results.drop("complete")
+        .join(runs, list(keys))
+        .groupBy(*keys, "complete", part.alias("_part"))
+        .agg(by_identity.alias("results"))
+        .drop("_part")
     )
     documents.withColumn("version", F.lit("1")).write.mode("overwrite").json(folder)
 
