@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gold", "validation", "loads", "quality")
+MODULES = ("gold", "validation", "loads", "quality", "series")
 
 for _module in MODULES:
     import_module(f"{__name__}.{_module}")

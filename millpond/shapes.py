@@ -164,10 +164,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "samples_v": (
         (),
-        """select concat('series_', cast(user_id as {text})) as series,
-        case when user_id % 4 = 0 then null when user_id % 4 = 1 then 'dev' else 'prod' end as stage,
+        """select concat('series_', cast(user_id % 9 as {text})) as series,
+        case when user_id % 9 in (4, 8) then null when user_id % 9 < 4 then 'dev' else 'prod' end as stage,
         concat('component_', cast(user_id % 3 as {text})) as component, {epoch_us} as ts_us,
-        cast(event_id % 997 as bigint) as counter, value as gauge from events""",
+        cast(event_id % 997 as bigint) as counter, value as gauge,
+        {epoch_us} - case when user_id % 2 = 0 then 3600000000 else 36000000000 end as created_us,
+        case when event_type = 'error' then 0 else 1 end as up from events""",
+    ),
+    "schedules_v": (
+        ("runs_v",),
+        """select stage, job_name, cast(1704067200000000 as bigint) as anchor_us,
+        cast(1704153600000000 as bigint) as started_us,
+        cast(substring(job_name, 5) as bigint) * 21600000000 + 21600000000 as interval_us,
+        case when job_name = 'job_3' then 'stopped' when job_name = 'job_4' and stage = 'dev' then 'absent'
+        else 'running' end as schedule_state, stage = 'prod' as declared_running
+        from (select distinct stage, job_name from runs_v) as jobs""",
     ),
 }
 
