@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_RETENTION_DAYS = 7
@@ -90,10 +90,15 @@ def keyset_page(
         rows = rows.where(contains(F.col(column), text))
     if after is not None:
         rows = rows.where(F.col(column) > after)
+    # At most limit + 1 rows from here on, so the unpartitioned windows are small.
     found = rows.orderBy(column).limit(limit + 1)
-    # At most limit + 1 rows from here on.
-    page = found.orderBy(column).limit(limit)
-    counted = found.agg(F.count(F.lit(1)).alias("n"))
-    last = page.agg(F.max(column).alias("last"))
-    cursor = F.when(F.col("n") > limit, F.translate(F.base64(F.encode("last", "utf-8")), "+/", "-_"))
-    return page.join(counted, how="cross").join(last, how="cross").select(column, cursor.alias("next_cursor"))
+    everything = Window.partitionBy(F.lit(0))
+    placed = found.withColumns(
+        {
+            "_place": F.row_number().over(everything.orderBy(column)),
+            "_n": F.count(F.lit(1)).over(everything),
+        }
+    ).where(F.col("_place") <= limit)
+    last = F.max(column).over(everything)
+    cursor = F.when(F.col("_n") > limit, F.translate(F.base64(F.encode(last, "utf-8")), "+/", "-_"))
+    return placed.select(column, cursor.alias("next_cursor"))

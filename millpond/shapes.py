@@ -171,6 +171,40 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         {epoch_us} - case when user_id % 2 = 0 then 3600000000 else 36000000000 end as created_us,
         case when event_type = 'error' then 0 else 1 end as up from events""",
     ),
+    # Archived log lines: parsed records of the newer layout, each error replayed once by another file, and older lines of
+    # every third user, most of them copies of a newer record.
+    "log_v2_v": (
+        (),
+        """select event_id as line_index, 'k8s_log.v2' as schema, concat({iso}, lpad(cast(event_id % 1000 as {text}), 3, '0'), 'Z')
+        as time, case user_id % 2 when 0 then 'dev' else 'prod' end as namespace,
+        concat('pod-', cast(user_id % 7 as {text})) as pod, concat('c', cast(event_id % 2 as {text})) as container,
+        concat('component_', cast(user_id % 3 as {text})) as component, concat('product_', cast(user_id % 3 as {text})) as product,
+        concat('run_', cast(cast(floor(event_id / 50) as bigint) as {text})) as run_id,
+        case event_id % 8 when 0 then concat(word, ' plain text ', event_type)
+        when 1 then concat('{"msg": "x", "level": "', lower(word), '"}')
+        when 2 then concat('{"level": 30, "severity": "', word, '"}')
+        when 3 then concat('2024-01-01 09:41:07,123 - root - ', word, ' - hello')
+        when 4 then concat('ts=1 level=', lower(word), ' msg="a b level=debug"')
+        when 5 then concat('Error in prose ', cast(event_id as {text}))
+        when 6 then concat(chr(27), '[31m[ ', lower(word), '] coloured', chr(27), '[0m')
+        else concat('level=', lower(word), ' msg="open') end as message,
+        case when event_id % 10 <> 9 then concat('k', cast(event_id as {text})) end as dedup_key,
+        concat('file-', cast(event_id % 5 as {text}), copy) as file_name, {day} as day, word, event_id, user_id
+        from (select *, case event_type when 'purchase' then 'INFO' when 'view' then 'DEBUG' when 'click' then 'WARN'
+        when 'signup' then 'FATAL' else 'ERROR' end as word, '' as copy from events
+        union all select *, 'ERROR' as word, '-replay' as copy from events where event_type = 'error') as written""",
+    ),
+    "log_v1_v": (
+        (),
+        """select event_id as line_index, 'k8s_log.v1' as schema, concat({iso}, 'Z') as archived_at,
+        case user_id % 2 when 0 then 'dev' else 'prod' end as namespace,
+        concat('pod-', cast(user_id % 7 as {text})) as pod, concat('c', cast(event_id % 2 as {text})) as container,
+        case when event_id % 6 = 5 then concat('no stamp WARN ', cast(event_id as {text})) else
+        concat({iso}, lpad(cast(event_id % 1000 as {text}), 3, '0'), 'Z ', case when event_id % 8 = 5
+        then concat('Error in prose ', cast(event_id as {text})) else concat('WARNING only in v1 ', cast(event_id as {text}))
+        end) end as line, concat('old-', cast(event_id % 3 as {text})) as file_name, {day} as day, event_id
+        from events where user_id % 3 = 0""",
+    ),
     "schedules_v": (
         ("runs_v",),
         """select stage, job_name, cast(1704067200000000 as bigint) as anchor_us,
@@ -182,18 +216,34 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
-_EPOCH_US = {
-    "spark": "unix_micros(cast(ts as timestamp))",
-    "duckdb": "epoch_us(ts)",
+# The few words the engines spell differently.
+_SPARK = {
+    "{text}": "string",
+    "{epoch_us}": "unix_micros(cast(ts as timestamp))",
+    "{iso}": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")",
+    "{day}": "date_format(ts, 'yyyy-MM-dd')",
 }
+_DUCKDB = {
+    "{text}": "varchar",
+    "{epoch_us}": "epoch_us(ts)",
+    "{iso}": "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')",
+    "{day}": "strftime(ts, '%Y-%m-%d')",
+}
+
+
+def _spelled(name: str, words: dict[str, str]) -> str:
+    text = VIEWS[name][1]
+    for token, word in words.items():
+        text = text.replace(token, word)
+    return text
 
 
 def spark_text(name: str) -> str:
-    return VIEWS[name][1].replace("{text}", "string").replace("{epoch_us}", _EPOCH_US["spark"])
+    return _spelled(name, _SPARK)
 
 
 def duckdb_text(name: str) -> str:
-    return VIEWS[name][1].replace("{text}", "varchar").replace("{epoch_us}", _EPOCH_US["duckdb"])
+    return _spelled(name, _DUCKDB)
 
 
 @lru_cache(maxsize=None)
@@ -221,5 +271,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for base in (*BASE, *VIEWS[name][0]):
         if re.search(rf"\b(from|join) {base}\b", text):
             sources[base] = view(spark, sf_dir, base) if base in VIEWS else table(spark, sf_dir, base)
+    # Braces of the text itself (JSON) are doubled, as `spark.sql` fills in the named tables.
+    text = text.replace("{", "{{").replace("}", "}}")
     ctx = "with " + ", ".join(f"{base} as (select * from {{{base}}})" for base in sources)
     return spark.sql(f"{ctx} {text}", **sources)
