@@ -205,6 +205,37 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         end) end as line, concat('old-', cast(event_id % 3 as {text})) as file_name, {day} as day, event_id
         from events where user_id % 3 = 0""",
     ),
+    # Health signals, one per event, in evaluations of an hour.
+    "signals_v": (
+        (),
+        """select event_id as seq, eval, stage, case when kind <> 'service' then 'sales' end as domain,
+        case when kind <> 'service' then product end as product,
+        case when kind = 'quality' then concat('table_', cast(user_id % 2 as {text})) end as table_name, kind,
+        case kind when 'execution' then case event_type when 'error' then 'critical' when 'click' then 'warning'
+        when 'view' then 'unknown' else 'healthy' end
+        when 'expected_run' then case event_type when 'error' then 'critical' when 'click' then 'warning'
+        when 'view' then 'disabled' else 'healthy' end
+        when 'service' then case event_type when 'purchase' then 'healthy' when 'click' then 'warning'
+        when 'error' then case when component = 'dagster.read-api' then 'unknown' else 'critical' end else 'unknown' end
+        else case event_type when 'error' then 'critical' when 'click' then 'warning' when 'view' then 'unknown'
+        else 'healthy' end end as state,
+        case kind when 'execution' then case event_type when 'purchase' then 'latest run succeeded'
+        when 'signup' then 'latest run in progress' when 'error' then 'latest run failed' else 'other' end
+        when 'expected_run' then case event_type when 'purchase' then 'the expected run started'
+        when 'signup' then 'the expected run is within its grace period' else 'an expected run did not start' end
+        when 'freshness' then case event_type when 'signup' then 'no scheduled run due yet; next run due today'
+        else 'a run succeeded since the previous due time' end
+        when 'quality' then case event_type when 'click' then 'quality checks warned' else 'quality checks passed' end
+        else 'probe' end as reason,
+        case when event_id % 3 <> 0 then concat('run_', cast(event_id as {text})) end as run, component,
+        case when kind = 'expected_run' then eval - event_id % 40 end as due
+        from (select *, cast(floor(({epoch_us} - 1704067200000000) / 3600000000) as bigint) as eval,
+        case user_id % 2 when 0 then 'dev' else 'prod' end as stage, concat('product_', cast(user_id % 3 as {text})) as product,
+        case when event_id % 8 in (0, 1) then 'execution' when event_id % 8 in (2, 3) then 'expected_run'
+        when event_id % 8 = 4 then 'freshness' when event_id % 8 = 5 then 'quality' else 'service' end as kind,
+        case when event_id % 16 in (6, 14) then 'dagster.read-api' when event_id % 16 = 7 then 'trino.workloads'
+        when event_id % 16 = 15 then 'object-store.list' end as component from events) as spread""",
+    ),
     "schedules_v": (
         ("runs_v",),
         """select stage, job_name, cast(1704067200000000 as bigint) as anchor_us,
