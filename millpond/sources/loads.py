@@ -36,19 +36,29 @@ class Table:
             return 0
         return self.spark.read.schema("version bigint").parquet(commits).agg(F.max("version")).first()[0] or 0
 
+    def batch(self) -> int:
+        """The last stream batch committed to this table, or -1."""
+        commits = f"{self.root}/commits"
+        if not exists(self.spark, commits):
+            return -1
+        seen = self.spark.read.schema("version bigint, batch bigint").parquet(commits).agg(F.max("batch")).first()[0]
+        return -1 if seen is None else seen
+
     def read(self) -> DataFrame | None:
         version = self.version()
         return self.spark.read.parquet(f"{self.root}/versions/{version:010d}") if version else None
 
-    def replace(self, df: DataFrame, comments: dict[str, str] | None = None) -> DataFrame:
-        """Write the next version and commit it. Column comments travel in the Parquet schema."""
+    def replace(self, df: DataFrame, comments: dict[str, str] | None = None, batch: int | None = None) -> DataFrame:
+        """Write the next version and commit it. Column comments travel in the Parquet schema. `batch` is the stream
+        batch the version holds, so that a batch run again can be told from a new one."""
         version = self.version() + 1
         for name, comment in (comments or {}).items():
             df = df.withMetadata(name, {"comment": comment})
         df.write.mode("overwrite").parquet(f"{self.root}/versions/{version:010d}")
-        self.spark.range(version, version + 1).select(F.col("id").alias("version")).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{self.root}/commits")
+        commit = self.spark.range(version, version + 1).select(
+            F.col("id").alias("version"), F.lit(batch).cast("bigint").alias("batch")
+        )
+        commit.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         return self.read()
 
 
