@@ -52,9 +52,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """select concat_ws('-', cast(l_orderkey as {text}), cast(l_linenumber as {text}), cast(l_partkey as {text}),
         cast(l_suppkey as {text})) as line_id, l_orderkey as order_id, l_partkey as product_id,
-        cast(l_quantity as int) as quantity, cast(l_extendedprice as decimal(18, 4)) as unit_price,
-        cast(cast(l_extendedprice as decimal(18, 2)) * cast(l_discount as decimal(18, 2)) as decimal(18, 2))
-        as discount_amount from lineitem""",
+        cast(l_quantity as int) as quantity, unit_price,
+        cast(unit_price * cast(l_discount as decimal(18, 2)) as decimal(18, 2)) as discount_amount
+        from (select *, cast(l_extendedprice as decimal(18, 4)) as unit_price from lineitem) as priced""",
     ),
     "subscriptions_v": (
         (),
