@@ -34,15 +34,19 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     return held.join(known, fk, "left_anti")
 
 
-def total_matches_fact(mart: DataFrame, fact: DataFrame, column: str = "net_revenue", tolerance: float = 0.01):
+def total_matches_fact(mart: DataFrame, fact: DataFrame, column: str = "net_revenue", tolerance: float = 0.01) -> DataFrame:
     """The mart's total beside the fulfilled total of the fact, when they differ by more than the tolerance."""
-    return _drifted(mart.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("mart_total")), fact, tolerance)
+    return drifted(mart.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("mart_total")), fact, tolerance)
 
 
-def _drifted(mart_total: DataFrame, fact: DataFrame, tolerance: float) -> DataFrame:
+def drifted(mart_total: DataFrame, fact: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """A one-row `mart_total` beside the fact's fulfilled total, when they differ."""
     fact_total = fulfilled(fact).agg(F.coalesce(F.sum("net_amount"), F.lit(0)).cast("double").alias("fact_total"))
-    # Two global aggregates of one row each; the pair is one row whatever the tables hold.
-    return mart_total.join(fact_total, how="cross").where(F.abs(F.col("mart_total") - F.col("fact_total")) > tolerance)
+    # Two one-row totals side by side, without a join.
+    both = mart_total.unionByName(fact_total, allowMissingColumns=True).agg(
+        F.max("mart_total").alias("mart_total"), F.max("fact_total").alias("fact_total")
+    )
+    return both.where(F.abs(F.col("mart_total") - F.col("fact_total")) > tolerance)
 
 
 def row_count(df: DataFrame) -> DataFrame:

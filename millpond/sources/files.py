@@ -74,7 +74,7 @@ def ndjson_lines(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn(FILE, F.col("_metadata.file_path"))
         .withColumn("uploaded_at", F.col("_metadata.file_modification_time"))
     )
-    return lines.where(F.trim("value") != "").withColumnRenamed("value", "record")
+    return lines.where(F.col("value").rlike(r"\S")).withColumnRenamed("value", "record")
 
 
 def window_partitions(since: datetime, until: datetime, lookback: timedelta = timedelta(0)) -> Column:

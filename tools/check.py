@@ -1,45 +1,24 @@
-"""Run every query beside its DuckDB text and compare columns, types and rows.
+"""Run every query beside its DuckDB text.
 
-    python tools/check.py [--sf 0.01] [--only name,name] [--time]
+    python tools/check.py [--sf 0.01] [--only word,word]
 """
 
 from __future__ import annotations
 
 import argparse
-import math
 import os
 import sys
 import time
-from collections import Counter
 
-import duckdb
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle import compare, connect  # noqa: E402
 
 import millpond.queries  # noqa: E402, F401
 from millpond.registry import QUERIES, runner  # noqa: E402
 from millpond.session import build  # noqa: E402
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-    "conversations"
-).split()
-TYPES = {
-    "bigint": "BIGINT",
-    "int": "INTEGER",
-    "double": "DOUBLE",
-    "string": "VARCHAR",
-    "boolean": "BOOLEAN",
-    "smallint": "SMALLINT",
-    "float": "FLOAT",
-}
-
-
-def _cell(value: object) -> object:
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value + 0.0)
-    return value
-
 
 def main() -> int:
     args = argparse.ArgumentParser()
@@ -50,55 +29,23 @@ def main() -> int:
     folder = f"/root/testdata/sf{options.sf}"
     spark = build("check", f"local[{options.cpus}]", 8)
     spark.sparkContext.setLogLevel("ERROR")
-    con = duckdb.connect()
-    con.execute("set timezone='UTC'")
-    for name in TABLES:
-        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
-    wanted = [n for n in options.only.split(",") if n]
+    con = connect(folder)
+    wanted = [word for word in options.only.split(",") if word]
     bad = 0
     for name, query in QUERIES.items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and not any(word in name for word in wanted):
             continue
         started = time.time()
         try:
             df = runner(query)(spark, folder)
-            rows = [tuple(r) for r in df.collect()]
-            types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-            spent = time.time() - started
-            if query.sql is None:
-                print(f"rows  {name}: {len(rows)} rows {spent:.2f}s", flush=True)
-                bad += not rows
-                continue
-            began = time.time()
-            cursor = con.execute(query.sql)
-            names = [d[0] for d in cursor.description]
-            kinds = {d[0]: str(d[1]) for d in cursor.description}
-            want = cursor.fetchall()
-            duck = time.time() - began
-            problems = []
-            if sorted(names) != sorted(types):
-                problems.append(f"columns {sorted(types)} vs {sorted(names)}")
-            else:
-                off = {c: (types[c], kinds[c]) for c in names if TYPES.get(types[c], types[c]) != kinds[c]}
-                if off:
-                    problems.append(f"types {off}")
-                order = [list(types).index(c) for c in names]
-                got = Counter(tuple(_cell(r[i]) for i in order) for r in rows)
-                exp = Counter(tuple(_cell(v) for v in r) for r in want)
-                if got != exp:
-                    extra, gone = got - exp, exp - got
-                    problems.append(
-                        f"values: {sum(got.values())} vs {sum(exp.values())} rows, {sum(extra.values())} differ; "
-                        f"{names}\n   spark {sorted(map(str, extra))[:3]}\n   duck  {sorted(map(str, gone))[:3]}"
-                    )
-            bad += bool(problems)
-            note = " EMPTY" if not rows else ""
-            print(f"{'FAIL' if problems else 'ok  '}  {name}: {len(rows)} rows {spent:.2f}s/{duck:.2f}s{note}", flush=True)
-            for problem in problems:
-                print("   ", problem, flush=True)
+            n, problems = (df.count(), []) if query.sql is None else compare(df, con, query.sql)
         except Exception as error:  # noqa: BLE001 - one broken query must not hide the rest
-            bad += 1
-            print(f"ERROR {name}: {str(error)[:1500]}", flush=True)
+            n, problems = 0, [str(error)[:1500]]
+        bad += bool(problems)
+        word = "FAIL" if problems else "ok  " if query.sql else "rows"
+        print(f"{word}  {name}: {n} rows {time.time() - started:.2f}s{'' if n else ' EMPTY'}", flush=True)
+        for problem in problems:
+            print("   ", problem, flush=True)
     print(f"{bad} problem(s)")
     return 1 if bad else 0
 
