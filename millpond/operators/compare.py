@@ -24,11 +24,15 @@ def table_diff(
 
     `sets` are arrays of which only a missing element counts: extra ones are the holder's. `managed` names a flag of the
     held rows: only marked rows can be stale, and a held row that lost its mark has changed. `problem` names a text of the
-    declared rows that says why they could not be resolved.
+    declared rows that says why they could not be resolved. A key is expected once on each side; of several rows the
+    largest is compared.
     """
-    left = declared.select(*key, F.struct(F.lit(1).alias("_is"), *fields, *sets, *([problem] if problem else [])).alias("d"))
-    right = held.select(*key, F.struct(F.lit(1).alias("_is"), *fields, *sets, *([managed] if managed else [])).alias("h"))
-    both = left.join(right, list(key), "full")
+    left = declared.select(*key, F.struct(*fields, *sets, *([problem] if problem else [])).alias("d"))
+    right = held.select(*key, F.struct(*fields, *sets, *([managed] if managed else [])).alias("h"))
+    # Both sides fold to their key in one aggregate: a key that repeats on both never gives all its pairs.
+    both = left.unionByName(right, allowMissingColumns=True).groupBy(*key).agg(
+        F.max("d").alias("d"), F.max("h").alias("h")
+    )
     marked = F.coalesce(F.col(f"h.{managed}"), F.lit(False)) if managed else F.lit(True)
     differs = [
         F.when(~F.col(f"d.{name}").eqNullSafe(F.col(f"h.{name}")), F.lit(name)) for name in fields

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gold", "validation", "loads", "quality", "series", "health", "compare", "logs", "incidents", "streams")
+MODULES = ("gold", "validation", "loads", "quality", "series", "health", "compare", "logs", "incidents", "streams", "products")
 
 for _module in MODULES:
     import_module(f"{__name__}.{_module}")

@@ -255,8 +255,9 @@ def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     "B13",
     "B9",
     sql=ctes(*[f"{name}_v" for name in CONTRACTS]) + " union all ".join(
-        f"select '{name}' as entity, count(*) as rows, count(*) as accepted, 0::bigint as rejected from {name}_v"
-        for name in CONTRACTS
+        f"""select '{name}' as entity, count(*) as rows, count(distinct {contract.primary_key[0]}) as accepted,
+        count(*) - count(distinct {contract.primary_key[0]}) as rejected from {name}_v"""
+        for name, contract in CONTRACTS.items()
     ),
 )
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import present, tune
+from .session import present, size_shuffles, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,7 @@ def register(name: str, *covers: str, sql: str | None = None) -> Callable[[Plan]
 
 def runner(query: Query) -> Plan:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(query.plan(tune(spark), sf_dir))
+        size_shuffles(tune(spark), sf_dir)
+        return present(query.plan(spark, sf_dir))
 
     return run

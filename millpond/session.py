@@ -20,6 +20,7 @@ SETTINGS = {
 }
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SIZES: dict[str, int] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -29,6 +30,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Shuffles start with one partition per so many input bytes, within a bound that keeps map outputs manageable; AQE then
+# merges the small ones. The default of 200 would give partitions of many gigabytes on large data.
+SHUFFLE_BYTES = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 40_000
+
+
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Raise the number of shuffle partitions to what the folder's size asks for; never lower it."""
+    if folder not in _SIZES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        _SIZES[folder] = int(files.getContentSummary(path).getLength())
+    wanted = min(_SIZES[folder] // SHUFFLE_BYTES, MAX_SHUFFLE_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
 def build(app: str = "millpond", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
