@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ WORD = r"(DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)"
 STAMP = r"\[?\d{2,4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|\s?[+-]\d{2}:?\d{2}|\s?UTC)?\]?\s*"
 LEADING = rf"(?:{STAMP}(?:[-|]\s*)?)?(?:{WORD}|\[\s*(?i:{WORD})\s*\])(?=[\s:|\]-]|$)"
 PYTHON = rf"{STAMP}- \S+ - {WORD} - "
-OPENING = rf"^(?:{LEADING}|{PYTHON})"
+MARK = "\x01"
+OPENING = rf"(?s)^{MARK}(?:{LEADING}|{PYTHON}).*$"
 ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
 # One logfmt token. Every repeat is possessive: the matcher never steps back into a token, so a line of any length is
 # read once from left to right, without recursion. A quoted value is one token, whatever it holds.
@@ -42,16 +45,22 @@ def rank(level: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), level) - 1, F.lit(-1)).cast("int")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def json_level(text: Column) -> Column:
     """The level a JSON object states, by the first key that holds a known word."""
-    return F.coalesce(*[level_name(F.get_json_object(text, f"$['{key}']")) for key in JSON_KEYS])
+    fields = F.from_json(text, "map<string, string>")
+    return bind(fields, lambda m: F.coalesce(*[level_name(F.try_element_at(m, F.lit(key))) for key in JSON_KEYS]))
 
 
 def opening_level(text: Column) -> Column:
     """A level word that opens the line, or Python logging's third field. A bare word counts in upper case only.
 
-    One pattern with three places for the word: two are always empty."""
-    return level_name(F.concat(*[F.regexp_extract(text, OPENING, group) for group in (1, 2, 3)]))
+    The line is replaced by the word in one pass; a mark before it keeps a line that does not match from being one."""
+    return level_name(F.regexp_replace(F.concat(F.lit(MARK), text), OPENING, "$1$2$3"))
 
 
 def logfmt_level(text: Column) -> Column:
@@ -67,9 +76,12 @@ def level_of(message: Column) -> Column:
 
     A JSON object answers for itself, even with no level.
     """
-    text = F.regexp_replace(plain(message), r"^\s+|\s+$", "")
-    is_object = text.startswith("{") & F.get_json_object(text, "$").isNotNull()
-    return F.when(is_object, json_level(text)).otherwise(F.coalesce(opening_level(text), logfmt_level(text)))
+
+    def stated(text: Column) -> Column:
+        is_object = text.startswith("{") & F.get_json_object(text, "$").isNotNull()
+        return F.when(is_object, json_level(text)).otherwise(F.coalesce(opening_level(text), logfmt_level(text)))
+
+    return bind(F.regexp_replace(plain(message), r"^\s+|\s+$", ""), stated)
 
 
 def instant(stamp: Column) -> Column:

@@ -7,7 +7,7 @@ top-k over it. Nanoseconds are whole numbers, as Spark's own times stop at micro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -164,9 +164,12 @@ def drop_overlap(older: DataFrame, newer: DataFrame) -> DataFrame:
     return older.join(held, match, "left_anti")
 
 
-def merged(records: DataFrame, search: Search) -> DataFrame:
-    """Every line the search wants, both layouts, each line once."""
-    newer = first_copies(v2_lines(records, search))
+def merged(
+    records: DataFrame, search: Search, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """Every line the search wants, both layouts, each line once. `keep` may write the newer lines to a table, as they
+    are read twice: as a result and to find their older copies."""
+    newer = keep(first_copies(v2_lines(records, search)))
     if search.v2_only:
         return newer
     # The overlap is with every v2 line of the archive: a v2 copy the search's text or level leaves out has a v1 copy

@@ -176,7 +176,8 @@ TIMELINE, CLOSED = _timeline(False), _timeline(True)
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.observe(view(spark, sf_dir, "signals_v"), incidents.rules_table(spark, RULES))
+    # Signals are a table of their own; the expressions that make them here are computed once.
+    return incidents.observe(cut(view(spark, sf_dir, "signals_v")), incidents.rules_table(spark, RULES))
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:

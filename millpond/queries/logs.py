@@ -105,7 +105,7 @@ def _search(name: str, covers: tuple[str, ...], filters: dict, where: str, older
 
     @register(name, *covers, sql=ctes("log_v2_v", "log_v1_v", newer=NEWER, firsts=FIRST, older=OLDER) + body)
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _shown(logs.merged(_records(spark, sf_dir), logs.Search(**filters)))
+        return _shown(logs.merged(_records(spark, sf_dir), logs.Search(**filters), cut))
 
 
 _search("log_merged", ("S9", "S10", "S4", "E7", "G2", "I1"), {"namespace": "dev"}, "namespace = 'dev'")
@@ -143,12 +143,12 @@ order by {ORDER} limit 200"""
 
 @register("log_first_page", "S12", "H2", sql=PAGED)
 def _first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(logs.page(logs.merged(_records(spark, sf_dir), logs.Search("dev")), 200))
+    return _shown(logs.page(logs.merged(_records(spark, sf_dir), logs.Search("dev"), cut), 200))
 
 
 @register("log_second_page", "S12", "H3", sql=PAGED + " offset 200")
 def _second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = logs.merged(_records(spark, sf_dir), logs.Search("dev"))
+    lines = logs.merged(_records(spark, sf_dir), logs.Search("dev"), cut)
     cursor = logs.last_position(logs.page(lines, 200))
     return _shown(logs.page(lines, 200, cursor))
 

@@ -108,6 +108,14 @@ def test_a_version_without_its_commit_is_not_seen(spark, folder):
     assert table.read().count() == 5 and table.version() == 2
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, folder):
+    left = loads.save_bucketed(spark.range(1000).withColumn("a", F.lit(1)), "bucketed_left", f"{folder}/l", ["id"], 4)
+    right = loads.save_bucketed(spark.range(500).withColumn("b", F.lit(2)), "bucketed_right", f"{folder}/r", ["id"], 4)
+    joined = left.hint("merge").join(right, "id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 500
+
+
 def test_a_run_killed_before_its_cursor_reads_again(spark, folder):
     cursors = loads.Cursors(spark, f"{folder}/cursors")
     source = spark.range(5).withColumnRenamed("id", "at")
