@@ -42,41 +42,47 @@ def order_rollup(order_lines: DataFrame, orders: DataFrame) -> DataFrame:
     return folded.join(headers, "order_id")
 
 
-def _by(rows: DataFrame, keys: Sequence[str], orders: Column, *measures: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(orders.cast("bigint").alias("order_count"), *measures)
-
-
 def _order_count(rows: DataFrame, rolled_up: bool) -> Column:
     return F.count(F.lit(1)) if rolled_up else F.count_distinct("order_id")
 
 
 def revenue_by_day(rows: DataFrame, *, rolled_up: bool = False) -> DataFrame:
-    return _by(
-        fulfilled(rows).withColumnRenamed("order_region", "region"),
-        ["order_date", "region"],
-        _order_count(rows, rolled_up),
-        total("quantity", "bigint", "units_sold"),
-        total("gross_amount", "double", "gross_revenue"),
-        total("discount_amount", "double", "discount_amount"),
-        total("net_amount", "double", "net_revenue"),
+    return (
+        fulfilled(rows)
+        .groupBy("order_date", F.col("order_region").alias("region"))
+        .agg(
+            _order_count(rows, rolled_up).cast("bigint").alias("order_count"),
+            total("quantity", "bigint", "units_sold"),
+            total("gross_amount", "double", "gross_revenue"),
+            total("discount_amount", "double", "discount_amount"),
+            total("net_amount", "double", "net_revenue"),
+        )
     )
 
 
 def revenue_by_channel(
     rows: DataFrame, channels: DataFrame, promotions: DataFrame, *, rolled_up: bool = False
 ) -> DataFrame:
-    joined = (
+    """A channel may hold a large share of all orders, so rows fold to their header's keys before the dimension joins.
+    An order has one header, so the folded order counts add up."""
+    folded = (
         fulfilled(rows)
-        .withColumnRenamed("order_region", "region")
-        .join(channels, "channel_id")
-        .join(promotions, "promotion_id")
+        .groupBy("channel_id", "promotion_id", F.col("order_region").alias("region"))
+        .agg(
+            _order_count(rows, rolled_up).alias("orders"),
+            F.sum("net_amount").alias("net"),
+            F.sum("discount_amount").alias("discount"),
+        )
     )
-    return _by(
-        joined,
-        ["channel_name", "channel_type", "discount_type", "region"],
-        _order_count(rows, rolled_up),
-        total("net_amount", "double", "net_revenue"),
-        total("discount_amount", "double", "discount_amount"),
+    return (
+        folded.join(channels, "channel_id")
+        .join(promotions, "promotion_id")
+        .groupBy("channel_name", "channel_type", "discount_type", "region")
+        .agg(
+            F.sum("orders").cast("bigint").alias("order_count"),
+            total("net", "double", "net_revenue"),
+            total("discount", "double", "discount_amount"),
+        )
     )
 
 

@@ -15,7 +15,7 @@ class CursorNotReached(RuntimeError):
 
 
 def keyset_extract(table: DataFrame, cursor: str, last: Any, max_rows: int) -> DataFrame:
-    """The next `max_rows` rows past the cursor, in its order. The cursor is the table's key.
+    """The next `max_rows` rows past the cursor, in its order. The cursor is the table's key, a whole number.
 
     The result is a range of the cursor, so it stays spread over as many tasks as the scan, whatever the budget.
     """
