@@ -11,7 +11,7 @@
    by 8, 16, ... 128 and 200, each round sorting only suffixes whose rank is not unique yet, by the pair of their rank and the
    rank a step ahead. Common prefixes of neighbours follow by Kasai's rule, many stretches of the text side by side. A window is repeated if
    it shares 200 bytes with a neighbour.
-5. Split anchors: each of their shards sends its distinct windows, as 128-bit fingerprints, to ranges of the fingerprint;
+5. Split anchors: each of their shards sends its distinct windows, as 128-bit fingerprints, to buckets of the fingerprint;
    there the shards' sorted lists are merged by binary search in each other.
 6. Repeated windows become byte ranges per text, and the ranges are cut out of the texts.
 
@@ -329,24 +329,24 @@ def suffix_ranks(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rank.astype(np.int64), sa
 
 
-def common_prefixes(buf: np.ndarray, ends: np.ndarray, sa: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def common_prefixes(buf: np.ndarray, ends: np.ndarray, sa: np.ndarray, slot: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Kasai's rule: for each wanted position, the bytes (up to DEPTH) its suffix shares with the one before it in `sa`.
 
     Lanes of LANE positions run side by side. From one position to the next the length drops by one at most, if the
     neighbour's successor still stands before it; else it starts anew.
     """
     n = len(buf)
-    slot = np.empty(n, dtype=np.int64)
-    slot[sa] = np.arange(n)
     end_of = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    words = np.ndarray(n + 8, dtype="<u8", buffer=np.concatenate([buf, np.zeros(16, dtype=np.uint8)]).tobytes(), strides=(1,))
+    padding = np.zeros(2 * DEPTH + 8, dtype=np.uint8)
+    words = np.ndarray(n + 2 * DEPTH, dtype="<u8", buffer=np.concatenate([buf, padding]).tobytes(), strides=(1,))
     shared = np.zeros(n, dtype=np.int64)
     lanes = np.unique(np.flatnonzero(wanted) // LANE) * LANE
     length = np.zeros(len(lanes), dtype=np.int64)
     neighbour = np.full(len(lanes), -1)
     for step in range(LANE):
         i = lanes + step
-        lanes, length, neighbour, i = (x[i < n] for x in (lanes, length, neighbour, i))
+        if len(i) and i[-1] >= n:
+            lanes, length, neighbour, i = (x[:-1] for x in (lanes, length, neighbour, i))
         here = slot[i]
         before = np.where(here > 0, sa[np.maximum(here - 1, 0)], -1)
         follows = (neighbour >= 0) & (neighbour + 1 < n)
@@ -354,18 +354,24 @@ def common_prefixes(buf: np.ndarray, ends: np.ndarray, sa: np.ndarray, wanted: n
         length = np.where(follows, np.maximum(length - 1, 0), 0)
         most = np.where(before >= 0, np.minimum(DEPTH, np.minimum(end_of[i] - i, end_of[before] - before)), 0)
         length = np.minimum(length, most)
-        going = np.flatnonzero((length < most) & wanted[i])
-        while len(going):
-            a, b = i[going] + length[going], before[going] + length[going]
-            differ = words[a] ^ words[b]
-            # The first differing byte of eight: the lowest set bit.
-            lowest = differ & (~differ + np.uint64(1))
-            equal = np.where(differ == 0, 8, np.log2(np.maximum(lowest, np.uint64(1)).astype(float)).astype(np.int64) // 8)
-            length[going] = np.minimum(length[going] + equal, most[going])
-            going = going[(equal == 8) & (length[going] < most[going])]
+        asked = wanted[i]
+        # Most lanes have one byte left to compare; those that start anew look at all words at once.
+        for few in (True, False):
+            going = np.flatnonzero(asked & (length < most) & ((most - length <= 8) == few))
+            if len(going):
+                at = np.arange(0, 8 if few else DEPTH, 8)
+                known = length[going]
+                differ = words[(i[going] + known)[:, None] + at] ^ words[(before[going] + known)[:, None] + at]
+                unlike = differ != 0
+                column = np.where(unlike.any(axis=1), unlike.argmax(axis=1), len(at) - 1)
+                # The first differing byte of eight: the lowest set bit.
+                word = differ[np.arange(len(going)), column]
+                lowest = np.maximum(word & (~word + np.uint64(1)), np.uint64(1)).astype(float)
+                equal = 8 * column + np.where(word == 0, 8, np.log2(lowest).astype(np.int64) // 8)
+                length[going] = np.minimum(known + equal, most[going])
         # Where nothing was asked the length is only a lower bound.
         shared[i] = length
-        neighbour = np.where(wanted[i], before, -1)
+        neighbour = np.where(asked, before, -1)
     return shared
 
 
@@ -414,15 +420,17 @@ class Shard:
         rank, sa = suffix_ranks(buf, ends)
         starts = np.zeros(len(buf), dtype=bool)
         starts[window] = True
-        # Windows alone in their rank share less than DEPTH bytes with any other; the rest are measured.
-        size = np.bincount(rank, minlength=len(buf))
-        wanted = starts & (size[rank] > 1)
-        shared = common_prefixes(buf, ends, sa, wanted)
         slot = np.empty(len(buf), dtype=np.int64)
         slot[sa] = np.arange(len(buf))
-        after = sa[np.minimum(slot + 1, len(buf) - 1)]
-        with_next = (slot + 1 < len(buf)) & (shared[after] >= DEPTH) & wanted[after]
-        repeated = wanted & ((shared >= DEPTH) | with_next)
+        # A suffix whose rank differs from its neighbour's shares less than DEPTH bytes with it; the rest are measured.
+        tied = np.zeros(len(buf), dtype=bool)
+        tied[sa[1:]] = rank[sa[1:]] == rank[sa[:-1]]
+        wanted = starts & tied
+        shared = common_prefixes(buf, ends, sa, slot, wanted)
+        long = wanted & (shared >= DEPTH)
+        repeated = long.copy()
+        repeated[sa[:-1]] |= long[sa[1:]]
+        repeated &= starts
 
         marks = repeated[window]
         fresh = starts_of(segment) | (np.concatenate([[False], marks[:-1]]) != marks)
@@ -477,7 +485,7 @@ def merged_windows(found: DataFrame) -> DataFrame:
     """Windows of split anchors that another part has too: each part's sorted fingerprints are looked up in all the others'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "range"):
+        for table in groups(batches, "bucket"):
             first, second, at, k1, k2, salt = (
                 table.column(c).to_numpy().astype(np.int64) for c in ("f1", "f2", "at", "k1", "k2", "salt")
             )
@@ -495,8 +503,9 @@ def merged_windows(found: DataFrame) -> DataFrame:
                 {"k1": pa.array(k1[twice]), "k2": pa.array(k2[twice]), "at": pa.array(at[twice]), "stop": pa.array(at[twice] + 1)}
             )
 
-    ranged = found.where("kind = 1").withColumn("range", F.shiftright("f1", 44))
-    return mapped(ranged.repartition("range").sortWithinPartitions("range"), run, "k1 long, k2 long, at long, stop long")
+    buckets = 16 * partitions(found.sparkSession)
+    bucketed = found.where("kind = 1").withColumn("bucket", F.pmod("f1", F.lit(buckets)))
+    return mapped(bucketed.repartition("bucket").sortWithinPartitions("bucket"), run, "k1 long, k2 long, at long, stop long")
 
 
 def covered(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
