@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millpond.llm import bpe, decontaminate, jaccard, pii, quality
-from millpond.llm.common import prepare
+from millpond.llm.common import cut, prepare
 from millpond.llm.queries import vocabulary
-from millpond.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

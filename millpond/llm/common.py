@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, tune
+from .. import session
 
 # Bytes of text handled at once by vector code: arrays of eight bytes per text byte then stay in the cache.
 CHUNK = 1 << 20
@@ -22,10 +23,22 @@ NO_ID = -(1 << 63)
 
 def prepare(spark: SparkSession) -> SparkSession:
     """The session settings the operators count on."""
-    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    session.tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, then let go of what it was made from.
+
+    Once the table is written nothing reads the shuffle files behind it. Spark deletes them when the driver's garbage is
+    collected, which on an idle driver may take half an hour; asking for it keeps the disk a job needs to one step's.
+    """
+    written = session.cut(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .common import (
-    NO_ID, components, content_key, expand, groups, mapped, partitions, pieces, raw, run_lengths, shard_cuts, starts_of,
+    NO_ID, components, content_key, cut, expand, groups, mapped, partitions, pieces, raw, run_lengths, shard_cuts, starts_of,
 )
 from .words import combine, tokenize, windows
 
@@ -353,7 +352,7 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     named = texts.select("id", "digest", "n")
     partition_a, partition_b = (cut(_grouped(matrix, seed).join(named, "id").select("id", "digest", "g"), "groups") for seed in (1, 2))
     bodies = texts.select("id", "text")
-    first = cut(inside_links(partition_a, bodies, size).union(inside_links(partition_b, bodies, size)), "links")
+    first = cut(inside_links(partition_a.union(partition_b), bodies, size), "links")
     joined = components(first, "links")
     info = named.join(joined.withColumnRenamed("node", "digest"), "digest", "left").select(
         "id", "digest", "n", F.coalesce("component", "digest").alias("comp")

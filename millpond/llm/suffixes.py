@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .common import (
-    CHUNK, NO_ID, content_key, groups, mapped, partitions, pieces, raw, run_lengths, shard_cuts, starts_of,
+    CHUNK, NO_ID, content_key, cut, groups, mapped, partitions, pieces, raw, run_lengths, shard_cuts, starts_of,
 )
 from .words import mix
 
