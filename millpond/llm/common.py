@@ -135,7 +135,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     oriented = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    now = cut(oriented.distinct(), label)
+    now = session.cut(oriented.distinct(), label)
     before = mark(now)
     while before[0]:
         # Large star: each larger neighbour is linked to the smallest node around.
@@ -145,7 +145,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         # Small star: each node and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
+        now = session.cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
         after = mark(now)
         if after == before:
             break

@@ -18,7 +18,7 @@ the join returns, per document, the component of the links it is in.
 
 Only links between components matter for the result, so one link per pair of a query and a component is kept, never all pairs. Groups are
 bounded, a group with very many queries is copied to several tasks, and a token's holders are never gathered: joins run on keys
-that AQE can split. Texts are fetched once, for the sets that share a prefix token.
+that AQE can split. Texts are fetched once, for the sets that share a prefix token. Shingles and sets are known by 64-bit hashes.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of one to four words have one, the whole
 sequence. Repeated rows link. A null doc_id is never a component's name unless all its ids are null. Other columns are not read.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
@@ -70,13 +70,9 @@ def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def digest(tokens: np.ndarray) -> str:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest() if len(tokens) else ""
-
-
-def set_id(name: str) -> int:
-    """64 bits of a digest, signed."""
-    return int.from_bytes(bytes.fromhex(name[:16]), "big", signed=True)
+def set_id(tokens: np.ndarray) -> int:
+    """64 bits of a set's digest, signed: equal for equal sets."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
 def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +135,7 @@ def frequent_tokens(docs: DataFrame, total: int, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Per document its number of shingles and the digest of its set."""
+    """Per document its number of shingles and the id of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +145,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     [
                         *(piece.column(c) for c in ("doc_id", "k1", "k2")),
                         pa.array([len(s) for s in sets], type=pa.int64()),
-                        pa.array([digest(s) for s in sets], type=pa.string()),
+                        pa.array([set_id(s) for s in sets], type=pa.int64()),
                     ],
-                    ["doc_id", "k1", "k2", "n", "digest"],
+                    ["doc_id", "k1", "k2", "n", "id"],
                 )
 
-    return mapped(docs.select("doc_id", "k1", "k2", "text"), run, "doc_id long, k1 long, k2 long, n long, digest string")
+    return mapped(docs.select("doc_id", "k1", "k2", "text"), run, "doc_id long, k1 long, k2 long, n long, id long")
 
 
 def shared_tokens(docs: DataFrame, frequent: np.ndarray, size: int) -> DataFrame:
@@ -196,7 +192,7 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, size: int) -> DataFrame
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for tokens in shingle_sets(raw(piece.column("text")), size):
-                    own = set_id(digest(tokens)) if len(tokens) > 2 else None
+                    own = set_id(tokens) if len(tokens) > 2 else None
                     if own is not None and own not in seen:
                         seen.add(own)
                         for part, rows in zip(prefix(tokens, frequent), held):
@@ -256,12 +252,17 @@ class Holders:
         return np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (len(query) + self.sizes - common))
 
 
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
 def inside_links(assigned: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Links `a`-`b` between digests inside groups, as a forest: enough to join what links."""
+    """Links `a`-`b` between sets inside groups, as a forest: enough to join what links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "g"):
-            names = table.column("digest").to_pylist()
+            names = table.column("id").to_pylist()
             sets = shingle_sets(raw(table.column("text").combine_chunks()), size)
             holders = Holders(sets)
             root = list(range(len(names)))
@@ -279,25 +280,24 @@ def inside_links(assigned: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     if x != y:
                         root[x] = y
                         pairs.append((names[i], names[j]))
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array([p[0] for p in pairs], type=pa.string()), "b": pa.array([p[1] for p in pairs], type=pa.string())}
-            )
+            yield _links(pairs)
 
     several = assigned.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("g")
-    rows = assigned.join(several, "g").join(texts, "id").select("g", "digest", "text")
-    return mapped(rows.repartition("g").sortWithinPartitions("g"), run, "a string, b string")
+    of_set = assigned.join(several, "g").groupBy("id").agg(F.collect_list("g").alias("all"))
+    rows = texts.select("id", "text").join(of_set, "id").select("id", "text", F.explode("all").alias("g"))
+    return mapped(rows.repartition("g").sortWithinPartitions("g"), run, "a long, b long")
 
 
 def opened_links(opens: DataFrame, members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Links `a`-`b` between components: each query (`q`, `q_comp`) against the members of the groups `g` it may open."""
     busy = opens.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / QUERIES).cast("int"))
-    slot = F.struct("g", "salt").alias("slot")
-    held = members.join(busy, "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    held = held.join(texts.select("digest", "text"), "digest").select(slot, F.lit(0).alias("role"), F.col("comp"), "text")
-    asked = opens.join(busy, "g").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int"))
-    asked = asked.join(texts.select(F.col("digest").alias("q"), "text"), "q")
-    asked = asked.select(slot, F.lit(1).alias("role"), F.col("q_comp").alias("comp"), "text")
-    rows = held.union(asked).select(F.xxhash64("slot").alias("slot"), "role", "comp", "text")
+    held = members.join(busy, "g").select(
+        "id", "comp", F.lit(0).alias("role"), "g", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
+    )
+    asked = opens.join(busy, "g").select(
+        F.col("q").alias("id"), F.col("q_comp").alias("comp"), F.lit(1).alias("role"), "g", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("salt")
+    )
+    rows = held.union(asked).join(texts.select("id", "text"), "id").select(F.xxhash64("g", "salt").alias("slot"), "role", "comp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "slot"):
@@ -311,12 +311,9 @@ def opened_links(opens: DataFrame, members: DataFrame, texts: DataFrame, size: i
                 for lo in range(n, len(role), 64):
                     for i, own in enumerate(shingle_sets(texts_[lo : lo + 64], size), lo):
                         pairs.update((comps[i], comps[j]) for j in holders.linked(own).tolist() if comps[i] != comps[j])
-            found = sorted(pairs)
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array([p[0] for p in found], type=pa.string()), "b": pa.array([p[1] for p in found], type=pa.string())}
-            )
+            yield _links(sorted(pairs))
 
-    return mapped(rows.repartition("slot").sortWithinPartitions("slot", "role"), run, "a string, b string")
+    return mapped(rows.repartition("slot").sortWithinPartitions("slot", "role"), run, "a long, b long")
 
 
 def _grouped(matrix: DataFrame, seed: int) -> DataFrame:
@@ -327,10 +324,6 @@ def _grouped(matrix: DataFrame, seed: int) -> DataFrame:
     return key.join(many, "key").select("id", F.xxhash64(F.lit(seed), F.col("key"), salt).alias("g"))
 
 
-def _rank(size: Column, comp: Column) -> Column:
-    return F.struct(size.alias("size"), comp.alias("comp"))
-
-
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row per document: `doc_id`, `n_shingles`, `component_id`."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -340,42 +333,35 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     matrix = cut(shared_tokens(own, frequent, size), "matrix")
 
     # One text per set that shares a token, found by a key that copies of a text do not share.
-    chosen = signed.where("n > 2").groupBy("digest").agg(
+    chosen = signed.where("n > 2").groupBy("id").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "k1", "k2")).alias("c"), F.first("n").alias("n")
     )
-    id_of = F.conv(F.substring("digest", 1, 16), 16, -10).cast("bigint")
-    wanted = matrix.select("id").distinct().join(chosen.withColumn("id", id_of), "id").select("id", "digest", "n", "c.*")
+    named = cut(matrix.select("id").distinct().join(chosen, "id").select("id", "n", "c.*"), "named")
     # Rows that are wholly equal are one from the start.
     keyed = own.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "k1", "k2").agg(F.first("text").alias("text"))
-    texts = cut(wanted.join(keyed, ["d", "k1", "k2"]).select("id", "digest", "n", "text"), "texts")
-
-    named = texts.select("id", "digest", "n")
-    partition_a, partition_b = (cut(_grouped(matrix, seed).join(named, "id").select("id", "digest", "g"), "groups") for seed in (1, 2))
-    bodies = texts.select("id", "text")
-    first = cut(inside_links(partition_a.union(partition_b), bodies, size), "links")
-    joined = components(first, "links")
-    info = named.join(joined.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "id", "digest", "n", F.coalesce("component", "digest").alias("comp")
-    )
+    texts = cut(named.join(keyed, ["d", "k1", "k2"]).select("id", "text"), "texts")
+
+    partition_a, partition_b = (cut(_grouped(matrix, seed), "groups") for seed in (1, 2))
+    first = cut(inside_links(partition_a.union(partition_b), texts, size), "links")
+    joined = components(first, "links").withColumnRenamed("node", "id")
+    info = named.join(joined, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
     weight = info.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-    info = cut(info.join(weight, "comp").join(partition_a.select("digest", "g"), "digest"), "info")
-
-    # Tokens whose holders are all in one component have nothing to ask.
-    rows = matrix.join(info, "id")
-    open_tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = cut(rows.join(open_tokens, "token"), "tokens")
-    held = rows.groupBy("token", "g").agg(
-        F.max(_rank(F.col("weight"), F.col("comp"))).alias("top"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    asking = rows.select("token", F.col("digest").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"), _rank(F.col("weight"), F.col("comp")).alias("q_rank"))
+    info = cut(info.join(weight, "comp").join(partition_a, "id").select("id", "n", "comp", "weight", "g"), "info")
+
+    # Tokens whose holders are all in one component have nothing to ask: they go first, while rows are slim.
+    placed = cut(matrix.join(info.select("id", "comp"), "id"), "placed")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    rows = cut(placed.join(mixed, "token").select("token", "id").join(info, "id"), "tokens")
+    rank = F.struct("weight", "comp")
+    held = rows.groupBy("token", "g").agg(F.max(rank).alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
+    asking = rows.select("token", F.col("id").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"), rank.alias("q_rank"))
     fits = (NUMERATOR * F.col("q_n") <= DENOMINATOR * F.col("high")) & (NUMERATOR * F.col("low") <= DENOMINATOR * F.col("q_n"))
     opens = cut(asking.join(held, "token").where((F.col("q_rank") < F.col("top")) & fits).select("q", "q_comp", "g").distinct(), "opens")
-    more = opened_links(opens, info.select("g", "digest", "comp"), texts, size)
-    merged = components(cut(more, "links"), "links").withColumnRenamed("node", "comp")
+    more = cut(opened_links(opens, info.select("g", "id", "comp"), texts, size), "links")
+    merged = components(more, "links").withColumnRenamed("node", "comp")
 
-    comps = info.join(merged, "comp", "left").select("digest", F.coalesce("component", "comp").alias("comp"))
-    whole = signed.join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    linked = whole.where("n > 0")
+    comps = info.join(merged, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
+    linked = signed.where("n > 0").join(comps, "id", "left").select("doc_id", "n", F.coalesce("comp", "id").alias("comp"))
     low = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    alone = whole.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.join(low, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
