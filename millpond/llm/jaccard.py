@@ -13,8 +13,9 @@ the join returns, per document, the component of the links it is in.
 4. The token-group matrix has a row per (token, group) with the largest component any holder is in. A set queries a group if
    they share a token and a holder's component is another and larger one, so for two sets of different components the one in the smaller
    component queries, and copies of one text by the thousands, long joined, query nothing.
-5. A group that is queried holds the union of its sets' whole tokens. The overlap of a query with that union bounds its overlap with
-   every member; only groups whose bound reaches the threshold are opened, and members are compared exactly.
+5. A group that is queried holds its sets' whole tokens as bitmaps, and their union. A token of the query whose place in the union is empty
+   is in no member, so the union bounds the query's overlap with every member, and a member's bitmap the overlap with it.
+   Only groups and members whose bound reaches the threshold are opened: their texts are sent and compared exactly.
 
 Only links between components matter for the result, so one link per pair of a query and a component is kept, never all pairs. Groups are
 bounded, a group with very many queries is copied to several tasks, and a token's holders are never gathered: joins run on keys
@@ -252,6 +253,16 @@ class Holders:
         return np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (len(query) + self.sizes - common))
 
 
+def with_bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                bits = pa.array([bitmap(s) for s in shingle_sets(raw(piece.column("text")), size)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*piece.columns, bits], ["id", "n", "text", "bits"])
+
+    return mapped(texts, run, "id long, n long, text string, bits binary")
+
+
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
@@ -288,16 +299,93 @@ def inside_links(assigned: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return mapped(rows.repartition("g").sortWithinPartitions("g"), run, "a long, b long")
 
 
-def opened_links(opens: DataFrame, members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Links `a`-`b` between components: each query (`q`, `q_comp`) against the members of the groups `g` it may open."""
-    busy = opens.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / QUERIES).cast("int"))
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A row of the token-group matrix: one bit per token at a place by its hash, eight places or more to a token.
+
+    The number of places is a power of two; half as many follow by laying the upper half over the lower.
+    """
+    places = 64
+    while places < 8 * len(tokens):
+        places *= 2
+    bits = np.zeros(places, dtype=bool)
+    bits[(tokens & np.uint64(places - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a matrix of 64-bit words, folded to `width` words."""
+    while rows.shape[-1] > width:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] | rows[..., half:]
+    return rows
+
+
+class Matrix:
+    """The bitmaps of a group's sets by their width, and the union of each width."""
+
+    def __init__(self, bits: list[bytes], sizes: np.ndarray, comps: np.ndarray) -> None:
+        widths = np.array([len(b) // 8 for b in bits])
+        self.parts = []
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            rows = np.frombuffer(b"".join(bits[i] for i in at), dtype=np.uint64).reshape(len(at), width)
+            self.parts.append((at, rows, np.bitwise_or.reduce(rows, axis=0), sizes[at], comps[at]))
+
+    def qualifying(self, bits: bytes, size: int, comp: int) -> np.ndarray:
+        """The members of other components that may link with a query: a token whose place is empty on the other side is not shared."""
+        query = np.frombuffer(bits, dtype=np.uint64)
+        found = []
+        for at, rows, union, sizes, comps in self.parts:
+            width = min(rows.shape[1], len(query))
+            own = folded(query, width)
+            most = size - int(np.bitwise_count(own & ~folded(union, width)).sum())
+            if DENOMINATOR * most < NUMERATOR * size:
+                continue
+            theirs = folded(rows, width)
+            most = size - np.bitwise_count(own & ~theirs).sum(axis=1).astype(np.int64)
+            most = np.minimum(most, sizes - np.bitwise_count(theirs & ~own).sum(axis=1).astype(np.int64))
+            found.append(at[(comps != comp) & (DENOMINATOR * most >= NUMERATOR * (size + sizes - most))])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def qualifying(opens: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
+    """`g`, `id`, `comp`, `role`: of the groups asked for, the queries (role 1) and members (role 0) that may link."""
+    dealt = _dealt(opens, members, rows).select("slot", "g", "role", "id", "comp", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "slot"):
+            g, ids, comps, role, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("g", "id", "comp", "role", "n"))
+            bits = table.column("bits").to_pylist()
+            n = int((role == 0).sum())
+            keep = np.zeros(len(role), dtype=bool)
+            if 0 < n < len(role):
+                matrix = Matrix(bits[:n], sizes[:n], comps[:n])
+                for i in range(n, len(role)):
+                    found = matrix.qualifying(bits[i], int(sizes[i]), int(comps[i]))
+                    keep[found] = True
+                    keep[i] = len(found) > 0
+            columns = [pa.array(x[keep]) for x in (g, ids, comps, role)]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "id", "comp", "role"])
+
+    found = mapped(dealt.repartition("slot").sortWithinPartitions("slot", "role"), run, "g long, id long, comp long, role long")
+    return found.distinct()
+
+
+def _dealt(opens: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Members (role 0) and queries (role 1) of each group, with their `rows`, by slot: a group with very many queries has several."""
+    busy = opens.groupBy("g").agg(F.count(F.lit(1)).alias("queries")).withColumn("copies", F.ceil(F.col("queries") / QUERIES).cast("int"))
     held = members.join(busy, "g").select(
         "id", "comp", F.lit(0).alias("role"), "g", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
     )
     asked = opens.join(busy, "g").select(
         F.col("q").alias("id"), F.col("q_comp").alias("comp"), F.lit(1).alias("role"), "g", F.pmod(F.xxhash64("q"), F.col("copies")).cast("int").alias("salt")
     )
-    rows = held.union(asked).join(texts.select("id", "text"), "id").select(F.xxhash64("g", "salt").alias("slot"), "role", "comp", "text")
+    return held.union(asked).join(rows, "id").withColumn("slot", F.xxhash64("g", "salt"))
+
+
+def opened_links(opens: DataFrame, members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links `a`-`b` between components: each query (`q`, `q_comp`) against the members of the groups `g` it may open."""
+    rows = _dealt(opens, members, texts.select("id", "text")).select("slot", "role", "comp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "slot"):
@@ -339,7 +427,7 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     named = cut(matrix.select("id").distinct().join(chosen, "id").select("id", "n", "c.*"), "named")
     # Rows that are wholly equal are one from the start.
     keyed = own.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "k1", "k2").agg(F.first("text").alias("text"))
-    texts = cut(named.join(keyed, ["d", "k1", "k2"]).select("id", "text"), "texts")
+    texts = cut(with_bitmaps(named.join(keyed, ["d", "k1", "k2"]).select("id", "n", "text"), size), "texts")
 
     partition_a, partition_b = (cut(_grouped(matrix, seed), "groups") for seed in (1, 2))
     first = cut(inside_links(partition_a.union(partition_b), texts, size), "links")
@@ -357,7 +445,9 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     asking = rows.select("token", F.col("id").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"), rank.alias("q_rank"))
     fits = (NUMERATOR * F.col("q_n") <= DENOMINATOR * F.col("high")) & (NUMERATOR * F.col("low") <= DENOMINATOR * F.col("q_n"))
     opens = cut(asking.join(held, "token").where((F.col("q_rank") < F.col("top")) & fits).select("q", "q_comp", "g").distinct(), "opens")
-    more = cut(opened_links(opens, info.select("g", "id", "comp"), texts, size), "links")
+    open_ = cut(qualifying(opens, info.select("g", "id", "comp"), texts.select("id", "n", "bits")), "open")
+    asking = open_.where("role = 1").select(F.col("id").alias("q"), F.col("comp").alias("q_comp"), "g")
+    more = cut(opened_links(asking, open_.where("role = 0").select("g", "id", "comp"), texts, size), "links")
     merged = components(more, "links").withColumnRenamed("node", "comp")
 
     comps = info.join(merged, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
