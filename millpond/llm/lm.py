@@ -160,6 +160,17 @@ def traverse(stream: Stream, counts: np.ndarray, n_training: int, vocabulary: in
     return base, out, known
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of their eight: the upper bytes are nearly all zero and compress away."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -188,14 +199,14 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
             {
                 "shard": pa.array(range(shards), type=pa.int32()),
                 "block": pa.array([table.column("block")[0].as_py()] * shards, type=pa.int32()),
-                "keys": pa.array([keys[lo:hi].tobytes() for lo, hi in ranges], type=pa.binary()),
+                "keys": pa.array([pack_keys(keys[lo:hi]) for lo, hi in ranges], type=pa.binary()),
                 "seen": pa.array([seen[lo:hi].astype(np.uint32).tobytes() for lo, hi in ranges], type=pa.binary()),
                 "n_training": pa.array([n_training if s == 0 else 0 for s in range(shards)], type=pa.int64()),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(b, dtype=np.uint64) for b in table.column("keys").to_pylist()]
+        asked = [unpack_keys(b) for b in table.column("keys").to_pylist()]
         seen = [np.frombuffer(b, dtype=np.uint32) for b in table.column("seen").to_pylist()]
         every = np.concatenate(asked)
         order_ = np.argsort(every)

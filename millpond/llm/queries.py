@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, lm, pii, quality, sharding, suffixes, urls, warc
 from .common import prepare
+from .oracles import ORACLES  # noqa: F401 - beside the queries they describe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,5 +82,3 @@ QUERIES: dict[str, Query] = {
         op8_sharding, op9_bpe, op10_warc,
     )
 }
-
-ORACLES: dict[str, str] = {}
