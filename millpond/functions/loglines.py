@@ -50,9 +50,13 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+# JSON as the standard has it: no single quotes.
+JSON_OPTIONS = {"allowSingleQuotes": "false"}
+
+
 def json_level(text: Column) -> Column:
     """The level a JSON object states, by the first key that holds a known word."""
-    fields = F.from_json(text, "map<string, string>")
+    fields = F.from_json(text, "map<string, string>", JSON_OPTIONS)
     return bind(fields, lambda m: F.coalesce(*[level_name(F.try_element_at(m, F.lit(key))) for key in JSON_KEYS]))
 
 
@@ -78,7 +82,8 @@ def level_of(message: Column) -> Column:
     """
 
     def stated(text: Column) -> Column:
-        is_object = text.startswith("{") & F.get_json_object(text, "$").isNotNull()
+        # A line with text after the closing brace is no JSON.
+        is_object = text.startswith("{") & text.endswith("}") & F.from_json(text, "map<string, string>", JSON_OPTIONS).isNotNull()
         return F.when(is_object, json_level(text)).otherwise(F.coalesce(opening_level(text), logfmt_level(text)))
 
     return bind(F.regexp_replace(plain(message), r"^\s+|\s+$", ""), stated)
@@ -87,13 +92,13 @@ def level_of(message: Column) -> Column:
 def instant(stamp: Column) -> Column:
     """The time of an ISO stamp, or null. A stamp without an offset is UTC. Microseconds are kept."""
     iso = stamp.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$")
-    return F.when(iso, stamp.try_cast("timestamp"))
+    return F.when(iso, F.translate(stamp, ",", ".").try_cast("timestamp"))
 
 
 def event_ns(stamp: Column, fallback: Column | None = None) -> Column:
     """Epoch nanoseconds as a whole number: seconds from the time, digits below from the text, so none is lost."""
     chosen = stamp if fallback is None else F.when(instant(stamp).isNotNull(), stamp).otherwise(fallback)
-    digits = F.regexp_extract(chosen, r"\.(\d+)", 1)
+    digits = F.regexp_extract(chosen, r"[.,](\d+)", 1)
     fraction = F.when(digits == "", "0").otherwise(F.rpad(F.substring(digits, 1, 9), 9, "0")).cast("bigint")
     seconds = F.unix_seconds(instant(chosen))
     return F.coalesce(seconds * 1_000_000_000 + fraction, F.lit(-1).cast("bigint"))

@@ -203,7 +203,7 @@ def _archive(spark: SparkSession, sf_dir: str) -> str:
     group by 1, 2""",
 )
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = logs.parse_records(logs.with_line_index(files.ndjson_lines(spark, _archive(spark, sf_dir))))
+    records = logs.parse_records(logs.with_line_index(files.ndjson_lines(spark, _archive(spark, sf_dir), "*.txt.gz")))
     return records.groupBy("namespace", "day").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("dedup_key").alias("keys")
     )
@@ -219,7 +219,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the window's partitions are listed, files uploaded too early are skipped, and event time still decides."""
-    lines = files.ndjson_lines(spark, _archive(spark, sf_dir)).where(F.col("namespace") == "dev")
+    lines = files.ndjson_lines(spark, _archive(spark, sf_dir), "*.txt.gz").where(F.col("namespace") == "dev")
     pruned = lines.where(files.window_partitions(SINCE, UNTIL, timedelta(hours=1))).where(
         files.uploaded_since(SINCE)
     )

@@ -212,22 +212,27 @@ def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A5",
     "H6",
     sql=ctes("checks_v", checks=CHECKS) + """select stage, run_id, bool_or(complete) as complete, count(*) as results,
-    min(identity) as first_identity from checks group by 1, 2""",
+    min(identity) as first_identity, max(identity) as last_identity, cast(sum(observed_us) as bigint) as observed_us,
+    string_agg(distinct outcome, ',' order by outcome) as outcomes, true as in_order, cast(0 as bigint) as refused
+    from checks group by 1, 2""",
 )
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as one document per run, read back, and folded again."""
     folder = scratch(spark, "manifests")
     metrics = F.create_map(F.lit("accepted_rows"), F.col("accepted_rows").cast("double"))
     files.write_manifests(_checks(spark, sf_dir).withColumn("metrics", metrics), folder)
-    documents = spark.read.text(folder)
-    # One JSON document per file is the manifest layout; Spark writes one per line, so lines are parsed the same way.
-    manifests = documents.select(F.from_json("value", files.MANIFEST).alias("m")).select("m.*")
-    results = files.manifest_results(manifests)
-    return results.groupBy("stage", "run_id").agg(
+    manifests, refused = files.manifest_scan(spark, folder)
+    identities = F.transform("results", lambda r: r["identity"])
+    order = manifests.groupBy("stage", "run_id").agg(F.bool_and(identities == F.array_sort(identities)).alias("in_order"))
+    results = files.manifest_results(manifests).groupBy("stage", "run_id").agg(
         F.bool_or("complete").alias("complete"),
         F.count(F.lit(1)).alias("results"),
         F.min("identity").alias("first_identity"),
+        F.max("identity").alias("last_identity"),
+        F.sum("observed_us").alias("observed_us"),
+        F.array_join(F.array_sort(F.collect_set("outcome")), ",").alias("outcomes"),
     )
+    return results.join(order, ["stage", "run_id"]).withColumn("refused", F.lit(refused.count()).cast("bigint"))
 
 
 # Profiles.

@@ -101,20 +101,13 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql=incidents.TIMELINE + "select fingerprint, number, eval, event, kind, severity, reason, run_id, opened_at from history",
 )
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The month's evaluations in three landings: state carries the open incidents from one to the next."""
+    """The month's evaluations in three landings: each adds its transitions to the history."""
     from ..plans import incidents as plans
 
     root = scratch(spark, "stream")
     observed = cut(plans.strongest(incidents._observed(spark, sf_dir)))
     # Evaluations land in order; all of one landing reach the stream in one batch.
     _land(observed, f"{root}/observations", ["eval < 240", "eval >= 240 and eval < 480", "eval >= 480"])
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = ingest.new_files(spark, f"{root}/observations", observed.schema, max_files=1)
-        ingest.drain(ingest.append_to(f"{root}/events"), live.live_incidents(stream), f"{root}/checkpoint")
-    finally:
-        spark.conf.set(provider, before)
-    return spark.read.schema(live.EVENTS).parquet(f"{root}/events").drop("batch")
-
+    stream = ingest.new_files(spark, f"{root}/observations", observed.schema, max_files=1)
+    ingest.drain(live.transitions_into(f"{root}/live", observed), stream, f"{root}/checkpoint")
+    return live.transitions(spark, f"{root}/live")

@@ -19,7 +19,8 @@ def keyset_extract(table: DataFrame, cursor: str, last: Any, max_rows: int) -> D
 
     The result is a range of the cursor, so it stays spread over as many tasks as the scan, whatever the budget.
     """
-    past = table if last is None else table.where(F.col(cursor) > F.lit(last))
+    # A row without a cursor has no place in the order; it is never part of a slice, whatever the budget.
+    past = table.where(F.col(cursor).isNotNull() if last is None else F.col(cursor) > F.lit(last))
     bound = nth_smallest(past, F.col(cursor), max_rows)
     return past if bound is None else past.where(F.col(cursor) <= F.lit(bound))
 
@@ -63,6 +64,7 @@ def newest_first_extract(
         if rows.count() >= budget:
             raise CursorNotReached(f"{max_pages} pages of {page_size} did not reach {cursor} = {last}")
     else:
+        table = table.where(F.col(cursor).isNotNull())
         newest = nth_smallest(table, -F.col(cursor).cast("bigint"), budget)
         rows = table if newest is None else table.where(F.col(cursor).cast("bigint") >= -newest)
     return latest(rows, [key], [F.col(cursor).desc(), *tie])

@@ -61,8 +61,8 @@ def parquet_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).withColumn(FILE, F.col("_metadata.file_path"))
 
 
-def ndjson_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of gzipped NDJSON as JSON text. Only a line feed ends a record; blank lines are no record.
+def ndjson_lines(spark: SparkSession, folder: str, pattern: str = "*.ndjson.gz") -> DataFrame:
+    """Records of gzipped NDJSON as JSON text; objects of other names than `pattern` are none. Only a line feed ends a record; blank lines are no record.
 
     The hive partitions of the path (`namespace=`, `date=`, `hour=`) become columns, so a filter on them prunes files.
     """
@@ -70,6 +70,7 @@ def ndjson_lines(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.option("lineSep", "\n")
         .option("basePath", folder)
         .option("recursiveFileLookup", False)
+        .option("pathGlobFilter", pattern)
         .text(folder)
         .withColumn(FILE, F.col("_metadata.file_path"))
         .withColumn("uploaded_at", F.col("_metadata.file_modification_time"))
@@ -131,35 +132,22 @@ def manifest_results(manifests: DataFrame) -> DataFrame:
 
 
 def write_manifests(
-    results: DataFrame,
-    folder: str,
-    keys: Sequence[str] = ("stage", "domain", "product", "run_id"),
-    per_document: int = 1000,
+    results: DataFrame, folder: str, keys: Sequence[str] = ("stage", "domain", "product", "run_id")
 ) -> None:
-    """One JSON document per run, its results sorted by identity so that the same results give the same document.
+    """One JSON document per run and file, its results sorted by identity so that the same results give the same document.
 
-    A run with more results than a document holds gets several, each complete in itself, so no run is gathered whole.
+    `manifest_scan` reads what this writes. A run's results are as many as it has checks, and are gathered for its document.
     """
     fields = [
         "identity", "engine", "stage", "domain", "product", "table_name", "column_name", "check_id", "outcome",
         "pipeline_outcome", "observed_us", "run_id", "metrics",
     ]
-    runs = results.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / per_document).alias("_parts"), F.bool_or("complete").alias("complete")
-    )
-    part = F.pmod(F.xxhash64("identity"), F.col("_parts"))
     by_identity = F.array_sort(
         F.collect_list(F.struct(*fields)),
         lambda a, b: F.when(a["identity"] < b["identity"], -1).when(a["identity"] > b["identity"], 1).otherwise(0),
     )
-    documents = (
-        results.drop("complete")
-        .join(runs, list(keys))
-        .groupBy(*keys, "complete", part.alias("_part"))
-        .agg(by_identity.alias("results"))
-        .drop("_part")
-    )
-    documents.withColumn("version", F.lit("1")).write.mode("overwrite").json(folder)
+    documents = results.groupBy(*keys).agg(F.bool_or("complete").alias("complete"), by_identity.alias("results"))
+    documents.withColumn("version", F.lit("1")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
 
 
 def raw_view(df: DataFrame, contract: Contract) -> DataFrame:

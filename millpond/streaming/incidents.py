@@ -1,114 +1,60 @@
-"""Live incidents: the state of each scope advances with every evaluation that arrives.
+"""Live incidents: each landing of evaluations adds its transitions to a history that equals the batch timeline.
 
-The rows are the strongest observations of an evaluation (`plans.incidents.strongest`). The state of a scope is its open
-incidents and counters, one per fingerprint, so it is as large as the scope has conditions, whatever the history.
+The rows are the strongest observations of an evaluation (`plans.incidents.strongest`), landed in the order of their
+evaluations. A micro-batch stores its observations, takes up the scopes it touches (and those a closure ends meanwhile),
+evaluates them with the batch plans, and appends the transitions of its own range of evaluations. Everything is joins and windows;
+no row is handled in Python. What is read again is the history of the touched scopes, so old observations may be
+moved out of the folder once their scope is quiet.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-from ..plans.incidents import COUNTED, DEFAULT_REASONS, SILENT_ON_DISABLED, STALE_CAUSES, UNREADABLE_THRESHOLD
-
-EVENTS = (
-    "fingerprint string, number bigint, eval bigint, event string, kind string, severity string, reason string, "
-    "run_id string, opened_at bigint"
-)
-LEVEL = {"warning": 0, "critical": 1}
-
-
-def new_incident_state() -> dict[str, Any]:
-    return {"open": False, "number": 0, "opened_at": None, "told": 0, "severity": None, "reason": None,
-            "unknowns": 0, "last": None, "kind": None}
-
-
-def advance(state: dict[str, dict], rows: list[dict]) -> list[tuple]:
-    """Apply one evaluation's observations of one scope to its state; returns the transitions."""
-    events = []
-    # Causes first, so a stale output can see whether one of them is open.
-    for row in sorted(rows, key=lambda r: (r["kind"] == "stale_output", r["fingerprint"])):
-        mine = state.setdefault(row["fingerprint"], new_incident_state())
-        mine["kind"] = row["kind"]
-        health, reason, severity = row["health"], row["reason"], row["severity"]
-        if row["kind"] in COUNTED and health == "unknown":
-            consecutive = mine["last"] == row["eval"] - 1
-            mine["unknowns"] = min(mine["unknowns"] + 1 if consecutive else 1, UNREADABLE_THRESHOLD)
-            mine["last"] = row["eval"]
-            if mine["unknowns"] >= UNREADABLE_THRESHOLD:
-                health, reason = "critical", DEFAULT_REASONS[row["kind"]]
-        due = row["grace_due"]
-        if mine["open"] and due is not None and due <= mine["opened_at"]:
-            health = "healthy"
-        event = None
-        if health in LEVEL and severity is not None:
-            if not mine["open"]:
-                if row["kind"] == "stale_output" and any(s["open"] and s["kind"] in STALE_CAUSES for s in state.values()):
-                    continue
-                mine.update(open=True, number=mine["number"] + 1, opened_at=row["eval"], told=LEVEL[severity],
-                            severity=severity, reason=reason)
-                event = "opened"
-            else:
-                if LEVEL[severity] > mine["told"]:
-                    mine.update(told=LEVEL[severity], reason=reason)
-                    event = "escalated"
-                elif severity != mine["severity"]:
-                    event = "severity_changed"
-                mine["severity"] = severity
-        elif mine["open"] and health == "healthy":
-            mine["open"], event = False, "resolved"
-        elif mine["open"] and health == "disabled" and row["kind"] in SILENT_ON_DISABLED:
-            mine["open"], event = False, "resolved_silently"
-        if event:
-            events.append(
-                (row["fingerprint"], mine["number"], row["eval"], event, row["kind"], mine["severity"], mine["reason"],
-                 row["run_id"], mine["opened_at"])
-            )
-    return events
-
-
-def _plain(value: Any) -> Any:
-    return None if value is None or value is pd.NaT or (isinstance(value, float) and value != value) else value
-
-
-class IncidentProcessor(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("incidents", "incidents string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self._state.get()
-        state = json.loads(held[0]) if held else {}
-        by_eval: dict[int, list[dict]] = {}
-        # A batch brings a scope one row per condition and evaluation.
-        for frame in rows:
-            for record in frame.to_dict("records"):
-                record = {name: _plain(value) for name, value in record.items()}
-                record["eval"] = int(record["eval"])
-                record["grace_due"] = None if record["grace_due"] is None else int(record["grace_due"])
-                by_eval.setdefault(record["eval"], []).append(record)
-        events = [event for number in sorted(by_eval) for event in advance(state, by_eval[number])]
-        self._state.update((json.dumps(state),))
-        yield pd.DataFrame(events, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype(
-            {"number": "int64", "eval": "int64", "opened_at": "int64"}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def live_incidents(observations: DataFrame) -> DataFrame:
-    """Transitions as a stream. Needs the RocksDB state store."""
-    keys = ["stage", "domain", "product"]
-    named = observations.select(
-        *[F.coalesce(k, F.lit("")).alias(k) for k in keys],
-        "fingerprint", "eval", "kind", "health", "severity", "reason", "run_id", "grace_due",
-    )
-    return named.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=IncidentProcessor(), outputStructType=EVENTS, outputMode="Append", timeMode="None"
-    )
+from pyspark.sql import types as T
+
+from ..plans import incidents
+from ..session import cut
+
+EVENTS = ("fingerprint", "number", "eval", "event", "kind", "severity", "reason", "run_id", "opened_at")
+SCOPE = ("stage", "domain", "product")
+
+
+def _of_scopes(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    same = [rows[c].eqNullSafe(scopes[f"_{c}"]) for c in SCOPE]
+    return rows.join(scopes, same, "left_semi")
+
+
+def transitions_into(folder: str, observations: DataFrame, closures: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer of live transitions; `observations` names the columns that land. A batch run again replaces its own rows."""
+    names = [c for c in observations.columns if c != "batch"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = f"{folder}/observations/batch={batch_id}"
+        batch.select(*names).write.mode("overwrite").parquet(own)
+        schema = T.StructType([*observations.select(*names).schema.fields, T.StructField("batch", T.LongType())])
+        held = spark.read.schema(schema).parquet(f"{folder}/observations")
+        landed, before = held.where(F.col("batch") == batch_id), held.where(F.col("batch") < batch_id)
+        # Two numbers: the last evaluation before this batch, and the last in it.
+        low = before.agg(F.max("eval")).first()[0]
+        high = landed.agg(F.max("eval")).first()[0]
+        if high is None:
+            return
+        mine = (F.col("eval") > low) & (F.col("eval") <= high) if low is not None else F.col("eval") <= high
+        scopes = landed.select(*[F.col(c).alias(f"_{c}") for c in SCOPE])
+        if closures is not None:
+            scopes = scopes.union(closures.where(mine).select(*SCOPE))
+        history = _of_scopes(held.where(F.col("batch") <= batch_id), scopes.distinct()).select(*names)
+        ended = closures.where(F.col("eval") <= high) if closures is not None else None
+        moved = incidents.timeline(incidents.evaluate(incidents.count_unreadable(history), ended, keep=cut))
+        moved.where(mine).select(*EVENTS).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+
+    return write
+
+
+def transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """All transitions so far."""
+    return spark.read.parquet(f"{folder}/events").select(*EVENTS)

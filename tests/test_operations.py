@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millpond.plans import health, incidents, quality, semantic, series
-from millpond.streaming.incidents import advance
+from millpond.streaming import incidents as live
 
 MINUTE = series.MINUTE
 
@@ -152,23 +152,24 @@ def _random_observations(seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_timeline_equals_step_by_step_evaluation(spark, seed):
-    """Windows over all evaluations find the incidents that advancing a state one evaluation at a time finds."""
-    rows = _random_observations(seed)
-    names = [c.split()[0] for c in OBSERVED.split(", ")]
-    expected = []
-    for product in ("p", "q"):
-        state: dict = {}
-        for number in range(120):
-            mine = [dict(zip(names, r)) for r in rows if r[1] == number and r[4] == product]
-            expected += advance(state, mine)
-    observed = incidents.count_unreadable(spark.createDataFrame(rows, OBSERVED).coalesce(4))
-    history = incidents.timeline(incidents.evaluate(observed, keep=lambda df: df.cache()))
-    got = history.select(
-        "fingerprint", "number", "eval", "event", "kind", "severity", "reason", "run_id", "opened_at"
-    ).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+CLOSURES = "eval bigint, stage string, domain string, product string, kind string"
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_live_transitions_equal_the_timeline(spark, folder, closed):
+    """Landings of evaluations, one of them written twice, give the transitions of one evaluation over everything."""
+    rows = _random_observations(3)
+    gone = [(30, "dev", "sales", "p", None), (61, "dev", "sales", "q", "quality"), (95, "dev", "sales", "p", "run_failed")]
+    closures = spark.createDataFrame(gone, CLOSURES) if closed else None
+    observed = spark.createDataFrame(rows, OBSERVED)
+    write = live.transitions_into(folder, observed, closures)
+    for number, (low, high) in enumerate([(0, 40), (40, 41), (41, 41), (41, 120)]):
+        for _ in range(1 + (number == 1)):
+            write(observed.where(f"eval >= {low} and eval < {high}"), number)
+    whole = incidents.evaluate(incidents.count_unreadable(observed.coalesce(4)), closures, keep=lambda df: df.cache())
+    expected = incidents.timeline(whole).select(*live.EVENTS).collect()
+    got = live.transitions(spark, folder).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str) and len(got) > 50
 
 
 def test_last_run_ids_are_bounded(spark):
