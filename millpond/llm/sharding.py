@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 # Buckets of a shard: the first three hex digits of a row's hash.
 BUCKET_DIGITS = 3
+# Slots of equal rows made at once.
+RUN = 1 << 12
 
 
 def fraction(key: Column, shard: int) -> Column:
@@ -64,8 +66,14 @@ def assign(docs: DataFrame, weights: dict[int, float], grown: dict[int, float])
     numbered = placed.join(offsets, ["shard", "bucket"]).withColumn(
         "first", F.col("offset") + F.coalesce(F.sum("copies").over(inside), F.lit(0))
     )
-    return numbered.select(
+    # A row that comes very often is written out again in runs of bounded length.
+    last = F.col("first") + F.col("copies") - 1
+    runs = numbered.select(
+        "doc_id", "size", "text_crc32", "shard", "grown_shard", last.alias("last"),
+        F.explode(F.sequence("first", last, F.lit(RUN).cast("bigint"))).alias("begin"),
+    )
+    return runs.select(
         "doc_id", "size", "text_crc32", "shard",
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"),
+        F.explode(F.sequence("begin", F.least("last", F.col("begin") + RUN - 1))).alias("slot"),
         "grown_shard",
     )

@@ -250,6 +250,12 @@ def test_shards_follow_weights(spark):
         sharding.rendezvous(F.lit("a"), {0: 0.0})
 
 
+def test_slots_of_a_row_that_comes_very_often(spark):
+    docs = spark.range(10_000).select(F.lit(7).alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.assign(docs, {0: 1.0}, {0: 1.0, 1: 1.0})
+    assert sorted(r.slot for r in got.collect()) == list(range(10_000))
+
+
 @pytest.fixture(scope="module")
 def tokens():
     return queries.vocabulary()
