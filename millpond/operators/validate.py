@@ -103,19 +103,26 @@ def repeated_keys(rows: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return complete.groupBy(*complete.columns).agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1")
 
 
-def split_copies(rows: DataFrame, keys: Sequence[str], keep: Keep = _as_is) -> tuple[DataFrame, DataFrame]:
-    """Rows with the first copy of every key, and the later copies folded with their count in `_copies`.
-
-    The first copy is the smallest row: by file where there is a `_file` column, then by the row's own columns. Rows with
-    an incomplete key are all first copies: nothing says they are the same entity. `keep` may write the repeated keys
-    and their rows, which are read more than once, to a table.
+def split_copies(
+    rows: DataFrame, keys: Sequence[str], keep: Keep = _as_is, newest: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with the one copy of every key that counts, and its other copies folded with their number in `_copies`.
+
+    The one that counts is the smallest row: by file where there is a `_file` column, then by the row's own columns. With
+    `newest` it comes from the last file instead, as a merge takes it. Rows with an incomplete key all count: nothing says
+    they are the same entity. `keep` may write the repeated keys and their rows, which are read more than once, to a table.
     """
     order = ([FILE] if FILE in rows.columns else []) + [c for c in rows.columns if c != FILE]
     columns = [f"`{c}`" for c in order]
     repeated = keep(repeated_keys(rows, keys).drop("n_records"))
     single = rows.join(repeated, list(keys), "left_anti").select(*columns)
     several = keep(rows.join(repeated, list(keys), "left_semi").select(*columns))
-    first = several.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("first")).select("first.*")
+    smallest = F.min(F.struct(*columns)).alias("first")
+    if newest:
+        per_file = several.groupBy(*keys, FILE).agg(smallest)
+        first = per_file.groupBy(*keys).agg(F.max_by("first", FILE).alias("first")).select("first.*")
+    else:
+        first = several.groupBy(*keys).agg(smallest).select("first.*")
     later = (
         several.withColumn(COPIES, F.lit(1))
         .unionByName(first.withColumn(COPIES, F.lit(-1)))
@@ -138,10 +145,15 @@ class Checked:
     @property
     def accepted(self) -> DataFrame:
         """The typed rows the policy lets through: all under `warn`, else those without an error."""
+        return self.accepted_from().drop(FILE)
+
+    def accepted_from(self) -> DataFrame:
+        """The accepted rows, each with the file it came from where the source names one."""
         warn = self.contract.policy.severity == "warn"
         # Under `warn` every source row is accepted as it came: folded copies are never expanded again.
         kept = self.source if warn else self.rows.where(F.size(ERRORS) == 0)
-        return kept.select(*[typed(F.col(f"`{f.name}`"), f.type).alias(f.name) for f in self.contract.fields])
+        origin = [FILE] if FILE in kept.columns else []
+        return kept.select(*[typed(F.col(f"`{f.name}`"), f.type).alias(f.name) for f in self.contract.fields], *origin)
 
     @property
     def rejected(self) -> DataFrame:
@@ -222,6 +234,9 @@ class Checked:
 def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is) -> Checked:
     """Check source rows against their contract. A missing column is an entity failure, an extra one is left out.
 
+    A key repeated over files is a duplicate whose first file counts; a `merge_scd1` entity takes the last file's row, and a
+    `merge_scd2` entity keeps one version per file, so only copies inside a file are duplicates.
+
     Pass `session.cut` as `keep` on large data: the rows of repeated keys are then found once.
     """
     missing, _ = schema_mismatch(raw, contract)
@@ -238,7 +253,9 @@ def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is) -> Checked:
     # The key is compared by value, so '07' and '7' are one integer key; the source text stays as it was.
     slots = [f"_key{i}" for i in range(len(keys))]
     keyed = rows.withColumns({slot: typed(F.col(f"`{k}`"), types[k]) for slot, k in zip(slots, keys)})
-    first, later = split_copies(keyed, slots, keep)
+    filed = FILE in rows.columns
+    per_file = [FILE] if filed and contract.write_mode == "merge_scd2" else []
+    first, later = split_copies(keyed, [*slots, *per_file], keep, filed and contract.write_mode == "merge_scd1")
     duplicate = F.array(_error("unique", ",".join(keys)))
     marked = first.withColumns({ERRORS: row_errors(contract), COPIES: F.lit(1).cast("bigint")}).unionByName(
         later.withColumn(ERRORS, F.concat(row_errors(contract), duplicate))

@@ -27,7 +27,11 @@ def total(column: str | Column, kind: str, name: str) -> Column:
 
 
 def order_rollup(order_lines: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per fulfilled order that has lines: exact line totals beside the header columns."""
+    """One row per fulfilled order that has lines: exact line totals beside the header columns.
+
+    A header that comes twice, which a `warn` policy lets through, counts its lines twice and its order once, as in the line
+    fact. Both sides of the join are by order already, so folding its copies moves no row.
+    """
     headers = fulfilled(order_headers(orders))
     folded = (
         line_amounts(order_lines)
@@ -39,7 +43,8 @@ def order_rollup(order_lines: DataFrame, orders: DataFrame) -> DataFrame:
             F.sum("net_amount").alias("net_amount"),
         )
     )
-    return folded.join(headers, "order_id")
+    sums = [F.sum(c).alias(c) for c in folded.columns if c != "order_id"]
+    return folded.join(headers, "order_id").groupBy(*headers.columns).agg(*sums)
 
 
 def _order_count(rows: DataFrame, rolled_up: bool) -> Column:

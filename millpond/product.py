@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .plans import marts, quality, star
 from .session import cut
 from .sources.export import csv_cells
 from .sources.files import csv_scan
-from .sources.loads import Table, merge_latest
+from .sources.loads import RefreshRefused, Table, exists, merge_history, merge_latest
 
 Models = Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]]
 
@@ -36,6 +37,35 @@ SALES: Models = {
 }
 SALES_ENTITIES = ("accounts", "products", "channels", "promotions", "orders", "order_lines")
 
+CUSTOMER_HEALTH: Models = {
+    "dim_account": lambda t: star.dim_account(t["accounts"]),
+    "fct_subscriptions": lambda t: star.fct_subscriptions(t["subscriptions"]),
+    "fct_support_tickets": lambda t: star.fct_support_tickets(t["support_tickets"]),
+    "fct_nps_responses": lambda t: star.fct_nps_responses(t["nps_responses"]),
+    "mart_customer_health_score": lambda t: marts.customer_health(
+        t["dim_account"], t["fct_subscriptions"], t["fct_support_tickets"], t["fct_nps_responses"]
+    ),
+    "mart_churn_risk_by_segment": lambda t: marts.churn_risk(t["mart_customer_health_score"]),
+    "mart_support_sla_by_customer": lambda t: marts.support_sla(t["dim_account"], t["fct_support_tickets"]),
+}
+CUSTOMER_ENTITIES = ("accounts", "subscriptions", "support_tickets", "nps_responses")
+
+INVENTORY: Models = {
+    "dim_supplier": lambda t: star.dim_supplier(t["suppliers"]),
+    "dim_warehouse": lambda t: star.dim_warehouse(t["warehouses"]),
+    "fct_inventory_snapshots": lambda t: star.fct_inventory_snapshots(t["inventory_snapshots"]),
+    "fct_stockout_events": lambda t: star.fct_stockout_events(t["stockout_events"]),
+    "fct_purchase_order_receipts": lambda t: star.fct_purchase_order_receipts(t["purchase_orders"], t["shipments"]),
+    "mart_inventory_position": lambda t: marts.inventory_position(t["fct_inventory_snapshots"], t["dim_warehouse"]),
+    "mart_stockout_risk": lambda t: marts.stockout_risk(t["mart_inventory_position"], t["fct_stockout_events"]),
+    "mart_supplier_delivery_reliability": lambda t: marts.supplier_reliability(
+        t["fct_purchase_order_receipts"], t["dim_supplier"]
+    ),
+}
+INVENTORY_ENTITIES = (
+    "suppliers", "warehouses", "inventory_snapshots", "stockout_events", "purchase_orders", "shipments",
+)
+
 
 @dataclass(frozen=True)
 class Run:
@@ -49,48 +79,106 @@ class Run:
     run_id: str
 
 
-def silver(run: Run, contract: Contract) -> DataFrame:
-    """Validate an entity's landed files; write accepted and rejected rows; return its report.
+@dataclass(frozen=True)
+class Landed:
+    """What the validation of one entity found. `stopped` says why its policy stops the run, `missing` counts the declared
+    columns that the files lack: nothing else was checked then."""
+
+    report: DataFrame
+    missing: int = 0
+    exceeded: bool = False
+    stopped: str | None = None
+
+
+def silver_table(run: Run, contract: Contract) -> Table:
+    return Table(run.spark, f"{run.root}/silver/{contract.domain}/{contract.name}")
+
+
+def pending(run: Run, contract: Contract, raw: DataFrame) -> DataFrame:
+    """The rows of files that no committed version of the Silver table has taken in."""
+    table = silver_table(run, contract)
+    if not exists(run.spark, f"{table.root}/files"):
+        return raw
+    taken = run.spark.read.parquet(f"{table.root}/files").where(F.col("version") <= table.version())
+    return raw.join(taken.select(validate.FILE).distinct(), validate.FILE, "left_anti").select(raw.columns)
+
+
+def silver(run: Run, contract: Contract, rebuild: bool = False) -> Landed:
+    """Validate an entity's landed files; write accepted and rejected rows by its write mode; say what was found.
+
+    `overwrite` reads every landed file on every run. The other modes read the files not taken in yet: `append` adds their
+    rows, `merge_scd1` keeps the last file's row of a key, `merge_scd2` adds versions. `rebuild` starts them from no table
+    and every landed file. The list of files is written before the version it belongs to and counts once that version is
+    committed, so a run that dies is run again without a lost or repeated file.
 
     The rows are checked once and written, so accepted, rejected and report read files. A policy that stops the run does so
     after both are written.
     """
     raw = csv_scan(run.spark, f"{run.bronze}/{contract.source}/{contract.name}")
+    table, mode = silver_table(run, contract), contract.write_mode
+    if rebuild and mode == "merge_scd2":
+        raise RefreshRefused(f"{contract.name} keeps a version history")
+    missing, _ = validate.schema_mismatch(raw, contract)
+    if missing:
+        return Landed(_nothing_checked(raw, contract), len(missing), False, f"{contract.name}: columns {missing} are missing")
+    if mode != "overwrite" and not rebuild:
+        raw = pending(run, contract, raw)
     checked = validate.check(raw, contract, cut)
     checked = replace(checked, rows=cut(checked.rows))
-    table = Table(run.spark, f"{run.root}/silver/{contract.domain}/{contract.name}")
-    if contract.write_mode == "merge_scd1":
-        table.replace(merge_latest(table.read(), checked.accepted, contract.load.primary_key))
-    else:
+    report = cut(checked.report())
+    if mode == "overwrite":
         table.replace(checked.accepted)
+    elif report.first()["rows"]:
+        files = checked.source.select(validate.FILE).distinct()
+        files.write.mode("overwrite").parquet(f"{table.root}/files/version={table.version() + 1}")
+        keys = contract.load.primary_key or contract.primary_key
+        if mode == "append":
+            (table.replace if rebuild else table.append)(checked.accepted)
+        elif mode == "merge_scd1":
+            table.replace(merge_latest(None if rebuild else table.read(), checked.accepted_from(), keys))
+        else:
+            table.replace(merge_history(table.read(), checked.accepted_from(), keys, validate.FILE))
     refused = checked.rejected.withColumn("_errors", validate.error_text())
     csv_cells(refused).write.mode("overwrite").option("header", True).option("escape", '"').csv(
         f"{run.root}/rejected/{contract.domain}/{contract.name}"
     )
-    report = cut(checked.report())
-    checked.enforce()
-    return report
+    try:
+        checked.enforce()
+    except validate.RunAborted as stopped:
+        return Landed(report, 0, contract.policy.max_rejection_rate is not None, str(stopped))
+    return Landed(report)
+
 
+def _nothing_checked(raw: DataFrame, contract: Contract) -> DataFrame:
+    """The report of files that do not have the declared columns: no row is accepted, no violation is known."""
+    counts = ("warnings", "cast_error_violations", "not_null_violations", "unique_violations")
+    rows = F.count(F.lit(1))
+    return raw.agg(
+        rows.alias("rows"), F.lit(0).cast("bigint").alias("accepted"), rows.alias("rejected"), rows.alias("errors"),
+        *[F.lit(0).cast("bigint").alias(name) for name in counts],
+    ).select(F.lit(contract.name).alias("entity"), "*")
 
-def check_results(run: Run, contract: Contract, report: DataFrame, observed_us: int) -> DataFrame:
+
+def check_results(run: Run, contract: Contract, landed: Landed, observed_us: int) -> DataFrame:
     """An entity's report as one result per check, classified by its policy."""
     counts = {
         "cast_error": F.col("cast_error_violations"),
         "not_null": F.col("not_null_violations"),
         "unique": F.col("unique_violations"),
-        "schema_mismatch": F.lit(0).cast("bigint"),
+        "schema_mismatch": F.lit(landed.missing).cast("bigint"),
         "file_status": F.col("rejected") + F.col("warnings"),
     }
     listed = F.array(*[F.struct(F.lit(c).alias("check_id"), n.alias("violations")) for c, n in counts.items()])
-    rows = report.select("rows", "accepted", "rejected", F.inline(listed))
+    rows = landed.report.select("rows", "accepted", "rejected", F.inline(listed))
     severity = contract.policy.severity
     outcome, effect = validate.classify_check(
         F.col("violations") == 0,
         F.lit("WARN" if severity == "warn" else "ERROR"),
         F.lit(severity),
-        F.lit(None).cast("string"),
-        F.lit(False),
-        F.lit(True),
+        # The states of a run.
+        F.lit("aborted" if landed.stopped else "success"),
+        F.lit(landed.exceeded),
+        F.lit(not landed.missing),
         F.col("rejected"),
     )
     return rows.select(
@@ -118,15 +206,46 @@ def gold(run: Run, tables: Mapping[str, DataFrame], models: Models) -> dict[str,
 
 
 def run_sales(run: Run, observed_us: int) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Bronze to Gold for the sales product: the Gold tables and the results of every check of the run."""
-    results: DataFrame | None = None
-    accepted: dict[str, DataFrame] = {}
-    for name in SALES_ENTITIES:
-        contract = CONTRACTS[name]
-        found = check_results(run, contract, silver(run, contract), observed_us)
-        results = found if results is None else results.unionByName(found)
-        accepted[name] = Table(run.spark, f"{run.root}/silver/{contract.domain}/{name}").read()
-    built = gold(run, accepted, SALES)
+    """Bronze to Gold for the sales product."""
+    return run_product(run, [CONTRACTS[name] for name in SALES_ENTITIES], SALES, observed_us)
+
+
+def run_customer_health(run: Run, observed_us: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    return run_product(run, [CONTRACTS[name] for name in CUSTOMER_ENTITIES], CUSTOMER_HEALTH, observed_us)
+
+
+def run_inventory(run: Run, observed_us: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    return run_product(run, [CONTRACTS[name] for name in INVENTORY_ENTITIES], INVENTORY, observed_us)
+
+
+def recorded(run: Run) -> DataFrame:
+    """The contract results that a run wrote, be it stopped or not."""
+    return run.spark.read.parquet(f"{run.root}/checks/{run.product}/{run.run_id}")
+
+
+def run_product(
+    run: Run, contracts: Sequence[Contract], models: Models, observed_us: int, refresh: str | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Bronze to Gold: the Gold tables and the results of every check of the run.
+
+    Every entity is validated and its results are written before a policy stops the run ahead of Gold. `refresh` is `bronze`
+    to rebuild Silver from every landed file, or `gold`, which leaves Silver as on any run; Gold tables are rebuilt either way.
+    """
+    if refresh not in (None, "bronze", "gold"):
+        raise ValueError(f"refresh scope {refresh!r} is neither bronze nor gold")
+    if refresh == "bronze" and (kept := [c.name for c in contracts if c.write_mode == "merge_scd2"]):
+        raise RefreshRefused(f"{', '.join(kept)} keep a version history")
+    landed = {c.name: silver(run, c, refresh == "bronze") for c in contracts}
+    found = [check_results(run, c, landed[c.name], observed_us) for c in contracts]
+    reduce(DataFrame.unionByName, found).write.mode("overwrite").parquet(f"{run.root}/checks/{run.product}/{run.run_id}")
+    if stopped := [one.stopped for one in landed.values() if one.stopped]:
+        raise validate.RunAborted("; ".join(stopped))
+    # An entity that never had a file to take in has no table yet.
+    tables = {c.name: silver_table(run, c).read() for c in contracts}
+    accepted = {
+        c.name: run.spark.createDataFrame([], c.schema) if tables[c.name] is None else tables[c.name] for c in contracts
+    }
+    built = gold(run, accepted, models)
     suite = datatests.GOLD_SUITE
     mine = datatests.Suite(
         not_null={n: c for n, c in suite.not_null.items() if n in built},
@@ -146,7 +265,7 @@ def run_sales(run: Run, observed_us: int) -> tuple[dict[str, DataFrame], DataFra
     )
     tested = tests.select(
         F.lit(run.stage).alias("stage"),
-        F.lit("sales").alias("domain"),
+        F.lit(contracts[0].domain).alias("domain"),
         F.lit(run.product).alias("product"),
         F.col("model").alias("table_name"),
         F.lit("data_test").alias("engine"),
@@ -158,4 +277,4 @@ def run_sales(run: Run, observed_us: int) -> tuple[dict[str, DataFrame], DataFra
         F.lit(None).cast("bigint").alias("rejected_rows"),
         F.lit(None).cast("bigint").alias("accepted_rows"),
     )
-    return built, results.unionByName(tested)
+    return built, recorded(run).unionByName(tested)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.marts import latest
+from ..session import cut
+from .loads import cursor_value, last_cursor
 
 
 class CursorNotReached(RuntimeError):
@@ -15,39 +17,41 @@ class CursorNotReached(RuntimeError):
 
 
 def keyset_extract(table: DataFrame, cursor: str, last: Any, max_rows: int) -> DataFrame:
-    """The next `max_rows` rows past the cursor, in its order. The cursor is the table's key, a whole number.
+    """The next rows past the cursor, in its order, at most `max_rows`. The cursor is any ordered column.
 
-    The result is a range of the cursor, so it stays spread over as many tasks as the scan, whatever the budget.
+    Rows of one cursor value come together, as the next slice starts past it; a value that more than `max_rows` rows share
+    is refused. A row without a cursor has no place in the order and is in no slice. The result is a range of the cursor,
+    so it stays spread over as many tasks as the scan, whatever the budget.
     """
-    # A row without a cursor has no place in the order; it is never part of a slice, whatever the budget.
     past = table.where(F.col(cursor).isNotNull() if last is None else F.col(cursor) > F.lit(last))
-    bound = nth_smallest(past, F.col(cursor), max_rows)
-    return past if bound is None else past.where(F.col(cursor) <= F.lit(bound))
+    return within(past, cursor, max_rows)
 
 
-def nth_smallest(rows: DataFrame, value: Column, n: int, buckets: int = 512) -> int | None:
-    """The n-th smallest value of an integer column, or None when there are fewer than n rows.
+def within(rows: DataFrame, cursor: str, budget: int, newest: bool = False) -> DataFrame:
+    """The smallest, or `newest` the largest, cursor values whose rows fit the budget; all rows if they do.
 
-    Each pass counts the rows of `buckets` equal ranges (at most that many numbers reach the driver) and keeps the one
-    range that holds the n-th row, so a range of 2**63 values is settled in seven passes.
+    Rows are counted per value before anything is sorted. The counts are cut into ranges of values, one number per range
+    reaches the driver, and only the range in which the budget ends is summed value by value.
     """
-    if n < 1:
+    if budget < 1:
         raise ValueError("a row budget is at least one row")
-    numbers = rows.select(value.cast("bigint").alias("v")).where("v is not null")
-    total, low, high = numbers.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if total < n:
-        return None
-    wanted = n
-    while low < high:
-        width = -(-(high - low + 1) // buckets)
-        slot = F.floor((F.col("v").cast("decimal(38, 0)") - F.lit(low)) / F.lit(width)).cast("int")
-        counts = dict(numbers.where(F.col("v").between(low, high)).groupBy(slot.alias("slot")).count().collect())
-        index = 0
-        while wanted > counts.get(index, 0):
-            wanted -= counts.get(index, 0)
-            index += 1
-        low, high = low + index * width, min(low + (index + 1) * width - 1, high)
-    return low
+    counts = rows.where(F.col(cursor).isNotNull()).groupBy(F.col(cursor).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.desc("v") if newest else F.asc("v")
+    # Written, as a second run of the sampling could cut other ranges.
+    ranged = cut(counts.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    before = 0
+    for number, n in sorted(tuple(r) for r in ranged.groupBy("range").agg(F.sum("n")).collect()):
+        if before + n > budget:
+            running = F.sum("n").over(Window.orderBy(order)) + before
+            inside = ranged.where(F.col("range") == number).withColumn("upto", running).where(F.col("upto") <= budget)
+            reached = ranged.where(F.col("range") < number).select("v").union(inside.select("v"))
+            bound = last_cursor(reached, "v", smallest=newest)
+            if bound is None:
+                raise CursorNotReached(f"more than {budget} rows share the next value of {cursor}")
+            limit = cursor_value(rows, cursor, bound)
+            return rows.where(F.col(cursor) >= limit if newest else F.col(cursor) <= limit)
+        before += n
+    return rows.where(F.col(cursor).isNotNull())
 
 
 def newest_first_extract(
@@ -55,7 +59,8 @@ def newest_first_extract(
 ) -> DataFrame:
     """The newest row of each key changed since the cursor, newest first, within `max_pages` of `page_size` rows.
 
-    With a cursor, a budget that ends before reaching it raises. Without one, the budget's newest rows are the backfill.
+    With a cursor, a budget that ends before reaching it raises. Without one, the budget's newest rows are the backfill;
+    rows of one cursor value are in it together or not at all.
     """
     budget = page_size * max_pages
     tie = [F.col(c).asc() for c in table.columns if c not in (cursor, key)]
@@ -64,7 +69,5 @@ def newest_first_extract(
         if rows.count() >= budget:
             raise CursorNotReached(f"{max_pages} pages of {page_size} did not reach {cursor} = {last}")
     else:
-        table = table.where(F.col(cursor).isNotNull())
-        newest = nth_smallest(table, -F.col(cursor).cast("bigint"), budget)
-        rows = table if newest is None else table.where(F.col(cursor).cast("bigint") >= -newest)
+        rows = within(table, cursor, budget, newest=True)
     return latest(rows, [key], [F.col(cursor).desc(), *tie])

@@ -1,7 +1,8 @@
 """Load modes over Parquet folders: replace, append, merge, history, and the cursors between runs.
 
 A table is a folder of versions and a folder of commits. A version is written whole before its commit, so a reader sees
-the old table or the new one, and a run that dies between the two changes nothing.
+the old table or the new one, and a run that dies between the two changes nothing. A commit names the first and the last
+version that make up the table: one after a replace, one more after each append.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contracts import Contract, ContractError
+from ..operators import validate
 from ..operators.validate import FILE
 from ..plans.marts import latest
+from ..session import cut
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,11 +34,17 @@ class Table:
     spark: SparkSession
     root: str
 
-    def version(self) -> int:
+    def _commit(self) -> tuple[int, int]:
+        """The first and the last version of the table, or (1, 0)."""
         commits = f"{self.root}/commits"
         if not exists(self.spark, commits):
-            return 0
-        return self.spark.read.schema("version bigint").parquet(commits).agg(F.max("version")).first()[0] or 0
+            return 1, 0
+        seen = self.spark.read.schema("version bigint, first bigint").parquet(commits)
+        first, last = seen.agg(F.max_by(F.coalesce("first", "version"), "version"), F.max("version")).first()
+        return (first, last) if last else (1, 0)
+
+    def version(self) -> int:
+        return self._commit()[1]
 
     def batch(self) -> int:
         """The last stream batch committed to this table, or -1."""
@@ -45,8 +55,16 @@ class Table:
         return -1 if seen is None else seen
 
     def read(self) -> DataFrame | None:
-        version = self.version()
-        return self.spark.read.parquet(f"{self.root}/versions/{version:010d}") if version else None
+        first, last = self._commit()
+        return self.spark.read.parquet(*[self._folder(v) for v in range(first, last + 1)]) if last else None
+
+    def _folder(self, version: int) -> str:
+        return f"{self.root}/versions/{version:010d}"
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Add the rows as a version of their own; what the table holds is not written again."""
+        first, last = self._commit()
+        return self._write(df, first if last else 1, last + 1, None)
 
     def replace(self, df: DataFrame, comments: dict[str, str] | None = None, batch: int | None = None) -> DataFrame:
         """Write the next version and commit it. Column comments travel in the Parquet schema. `batch` is the stream
@@ -54,9 +72,14 @@ class Table:
         version = self.version() + 1
         for name, comment in (comments or {}).items():
             df = df.withMetadata(name, {"comment": comment})
-        df.write.mode("overwrite").parquet(f"{self.root}/versions/{version:010d}")
+        return self._write(df, version, version, batch)
+
+    def _write(self, df: DataFrame, first: int, version: int, batch: int | None) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._folder(version))
         commit = self.spark.range(version, version + 1).select(
-            F.col("id").alias("version"), F.lit(batch).cast("bigint").alias("batch")
+            F.col("id").alias("version"),
+            F.lit(batch).cast("bigint").alias("batch"),
+            F.lit(first).cast("bigint").alias("first"),
         )
         commit.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         return self.read()
@@ -81,13 +104,33 @@ def load_incremental(df: DataFrame, folder: str, cursor: str, last: Any, load_id
 
     Loads are folders whose names sort by load, so `_file` puts the batches oldest first.
     """
-    fresh = df if last is None else df.where(F.col(cursor) > F.lit(last))
+    fresh = df if last is None else df.where(F.col(cursor) > cursor_value(df, cursor, last))
     if fresh.isEmpty():
         return False
     fresh.write.mode("error").parquet(f"{folder}/load_id={load_id:010d}")
     return True
 
 
+def cursor_value(df: DataFrame, cursor: str, last: Any) -> Column:
+    """A saved cursor as a value of its column's type."""
+    kind = df.schema[cursor].dataType
+    if isinstance(kind, T.TimestampType) and isinstance(last, int):
+        return F.timestamp_micros(F.lit(last))
+    return F.lit(last).cast(kind) if isinstance(last, str) else F.lit(last)
+
+
+def last_cursor(df: DataFrame, cursor: str, smallest: bool = False) -> int | str | None:
+    """The largest, or `smallest`, cursor as a number or as text that `cursor_value` reads back whatever the session's time zone: instants
+    count microseconds, dates, local times, decimals and doubles are text."""
+    kind = df.schema[cursor].dataType
+    top = F.min(cursor) if smallest else F.max(cursor)
+    if isinstance(kind, T.TimestampType):
+        top = F.unix_micros(top)
+    elif not isinstance(kind, T.IntegralType):
+        top = top.cast("string")
+    return df.agg(top).first()[0]
+
+
 @dataclass(frozen=True)
 class Cursors:
     """The last loaded cursor of each stage, source and resource. A stage reads and moves only its own."""
@@ -95,37 +138,42 @@ class Cursors:
     spark: SparkSession
     root: str
 
-    def last(self, stage: str, source: str, resource: str) -> tuple[int, int | None]:
+    def last(self, stage: str, source: str, resource: str) -> tuple[int, int | str | None]:
         """The load number and cursor of the last saved load, or (0, None)."""
         if not exists(self.spark, self.root):
             return 0, None
         mine = self.spark.read.parquet(self.root).where(
             (F.col("stage") == stage) & (F.col("source") == source) & (F.col("resource") == resource)
         )
-        load_id, cursor = mine.agg(F.max("load_id"), F.max_by("cursor", "load_id")).first()
-        return load_id or 0, cursor
+        load_id, cursor, number = mine.agg(
+            F.max("load_id"), F.max_by("cursor", "load_id"), F.max_by("number", "load_id")
+        ).first()
+        return load_id or 0, int(cursor) if number else cursor
 
-    def save(self, stage: str, source: str, resource: str, load_id: int, cursor: int) -> None:
+    def save(self, stage: str, source: str, resource: str, load_id: int, cursor: int | str) -> None:
         """Call after the load is written: a run killed before this reads the same rows again and skips none."""
         self.spark.sql(
-            "select :stage as stage, :source as source, :resource as resource, :load_id as load_id, :cursor as cursor",
+            "select :stage as stage, :source as source, :resource as resource, cast(:load_id as bigint) as load_id, "
+            ":cursor as cursor, :number as number",
             args={
-                "stage": stage, "source": source, "resource": resource, "load_id": load_id, "cursor": cursor,
+                "stage": stage, "source": source, "resource": resource, "load_id": load_id, "cursor": str(cursor),
+                "number": isinstance(cursor, int),
             },
-        ).selectExpr(
-            "stage", "source", "resource", "cast(load_id as bigint) load_id", "cast(cursor as bigint) cursor"
         ).write.mode("append").parquet(self.root)
 
 
 def run_incremental(
     df: DataFrame, folder: str, cursors: Cursors, stage: str, source: str, resource: str, cursor: str
 ) -> bool:
-    """One incremental run: read the stage's cursor, land what is past it, then save the landed maximum."""
+    """One incremental run: read the stage's cursor, land what is past it, then save the landed maximum.
+
+    A row without a cursor is past none, on the first run as on later ones."""
     load_id, last = cursors.last(stage, source, resource)
+    df = df.where(F.col(cursor).isNotNull())
     if not load_incremental(df, folder, cursor, last, load_id + 1):
         return False
     landed = df.sparkSession.read.parquet(f"{folder}/load_id={load_id + 1:010d}")
-    cursors.save(stage, source, resource, load_id + 1, landed.agg(F.max(cursor)).first()[0])
+    cursors.save(stage, source, resource, load_id + 1, last_cursor(landed, cursor))
     return True
 
 
@@ -202,8 +250,9 @@ class RefreshRefused(RuntimeError):
 def full_refresh(
     spark: SparkSession, bronze: str, silver: Table, contract: Contract, scope: str
 ) -> DataFrame | None:
-    """Scope `bronze` rebuilds the Silver table from every landed batch; `gold` leaves Silver as it is. Neither reads
-    the source again, so cursors and Bronze files stay."""
+    """Scope `bronze` rebuilds the Silver table from every landed batch, checked against the contract as on any run; `gold`
+    leaves Silver as it is. Neither reads the source again, so cursors and Bronze files stay. What Gold builds on Silver is
+    rebuilt by `product.run_product`."""
     if scope not in ("bronze", "gold"):
         raise ValueError(f"refresh scope {scope!r} is neither bronze nor gold")
     if scope == "gold":
@@ -211,7 +260,13 @@ def full_refresh(
     if contract.write_mode == "merge_scd2":
         raise RefreshRefused(f"{contract.name} keeps a version history")
     batches = spark.read.parquet(bronze).withColumn(FILE, F.col("_metadata.file_path")).drop("load_id")
-    return silver.replace(merge_latest(None, batches, contract.load.primary_key))
+    checked = validate.check(batches, contract, cut)
+    rebuilt = checked.accepted_from()
+    if contract.write_mode == "merge_scd1":
+        rebuilt = merge_latest(None, rebuilt, contract.load.primary_key or contract.primary_key)
+    table = silver.replace(rebuilt.drop(FILE))
+    checked.enforce()
+    return table
 
 
 def history_sink(records: DataFrame, folder: str, at: str | Column) -> None:

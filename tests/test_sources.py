@@ -4,6 +4,7 @@ import gzip
 import json
 import os
 import random
+from collections import Counter
 from datetime import UTC, datetime
 
 import pytest
@@ -37,7 +38,7 @@ def test_ndjson_keeps_carriage_returns(spark, folder):
     path = f"{folder}/namespace=dev/date=2024-01-01/hour=05"
     os.makedirs(path)
     record = json.dumps({"schema": logs.SCHEMA_V2, "message": "a", "time": "2024-01-01T05:00:00Z"})
-    with gzip.open(f"{path}/x.gz", "wt", newline="") as out:
+    with gzip.open(f"{path}/x.ndjson.gz", "wt", newline="") as out:
         out.write(f"{record}\n\n[1]\n \r\n{record}\r\n")
     lines = files.ndjson_lines(spark, folder)
     parsed = logs.parse_records(logs.with_line_index(lines))
@@ -77,14 +78,41 @@ def test_keyset_slices(spark):
     assert extract.keyset_extract(table, "key", 7, 3).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_nth_smallest(spark, seed):
-    rng = random.Random(seed)
-    values = [rng.choice([rng.randrange(-(2**62), 2**62), rng.randrange(100), 7]) for _ in range(300)]
-    df = spark.createDataFrame([(v,) for v in values], "v bigint")
-    n = rng.randrange(1, 301)
-    assert extract.nth_smallest(df, F.col("v"), n, buckets=16) == sorted(values)[n - 1]
-    assert extract.nth_smallest(df, F.col("v"), 301) is None
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "timestamp", "timestamp_ntz", "double"])
+@pytest.mark.parametrize("newest", [False, True])
+def test_slices_hold_whole_values_within_the_budget(spark, kind, newest):
+    rng = random.Random(kind)
+    values = [rng.choice([None, *range(10, 60)]) for _ in range(300)]
+    text = {"date": "date_add(date'2024-01-01', v)", "timestamp": "timestamp_micros(v * 3600000001L)",
+            "timestamp_ntz": "timestamp_ntz'2024-03-30 23:00:00.000001' + make_interval(0, 0, 0, 0, v)"}
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    df = df.select("v", F.expr(text.get(kind, f"cast(v as {kind})")).alias("c"))
+    counts = sorted(Counter(v for v in values if v is not None).items(), reverse=newest)
+    for budget in (20, 150, 299, 1000):
+        kept, total = Counter(), 0
+        for value, n in counts:
+            if total + n > budget:
+                break
+            kept[value], total = n, total + n
+        assert Counter(r["v"] for r in extract.within(df, "c", budget, newest).collect()) == kept
+
+
+def test_a_value_larger_than_the_budget_is_refused(spark):
+    df = spark.createDataFrame([(1,)] * 5, "c int")
+    with pytest.raises(extract.CursorNotReached):
+        extract.within(df, "c", 4)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "timestamp", "timestamp_ntz"])
+def test_cursors_of_every_type_are_read_back(spark, folder, kind):
+    cursors = loads.Cursors(spark, f"{folder}/cursors")
+    text = {"bigint": "id", "string": "concat('k', id)", "date": "date_add(date'2024-01-01', int(id))",
+            "timestamp": "timestamp_micros(id * 3600000001L)", "timestamp_ntz": "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, int(id))"}
+    source = spark.range(9).select("id", F.expr(text[kind]).alias("at")).union(spark.sql("select -1L, null"))
+    for upto in (5, 9, 9):
+        loads.run_incremental(source.where(f"id < {upto}"), f"{folder}/dev", cursors, "dev", "crm", "x", "at")
+    assert sorted(os.listdir(f"{folder}/dev")) == ["load_id=0000000001", "load_id=0000000002"]
+    assert sorted(r["id"] for r in spark.read.parquet(f"{folder}/dev").collect()) == list(range(9))
 
 
 def test_newest_first_budget(spark):
@@ -106,6 +134,7 @@ def test_a_version_without_its_commit_is_not_seen(spark, folder):
     assert table.read().schema["id"].metadata["comment"] == "The key."
     table.replace(spark.range(5))
     assert table.read().count() == 5 and table.version() == 2
+    assert table.append(spark.range(2)).count() == 7 and table.replace(spark.range(1)).count() == 1
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, folder):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 
@@ -63,6 +64,23 @@ def test_first_copy_of_a_key_stays_by_file_then_by_row(spark):
     assert checked.report().first().asDict()["unique_violations"] == 3
 
 
+def test_a_merge_takes_the_last_file_and_a_history_every_file(spark):
+    copies = rows(
+        spark,
+        ("7", "b", "1", None, None, "b.csv"),
+        ("07", "z", "1", None, None, "a.csv"),
+        ("7", "a", "1", None, None, "b.csv"),
+        ("7", "a", "1", None, None, "a.csv"),
+    )
+    load = Load("incremental", "id", ("id",))
+    merged = validate.check(copies, replace(ITEM, load=load, write_mode="merge_scd1"))
+    assert [(r["name"], r["_file"]) for r in merged.accepted_from().collect()] == [("a", "b.csv")]
+    assert merged.report().first()["unique_violations"] == 3
+    versions = validate.check(copies, replace(ITEM, load=load, write_mode="merge_scd2"))
+    # In one file the smallest row by its own columns, as they are written.
+    assert {(r["name"], r["_file"]) for r in versions.accepted_from().collect()} == {("z", "a.csv"), ("a", "b.csv")}
+
+
 def test_rows_without_a_key_are_not_duplicates(spark):
     checked = validate.check(rows(spark, (None, "a", "1", None, None), (None, "a", "1", None, None)), ITEM)
     assert [r["_copies"] for r in checked.rejected.collect()] == [1, 1]
