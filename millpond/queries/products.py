@@ -82,7 +82,11 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product.run_customer_health(run, OBSERVED)[0]["mart_customer_health_score"]
 
 
-@register("product_run_inventory", "C11", "C12", "D8", "D9", sql=f"""{ctes(*RISK_VIEWS, position=POSITION)}
+# The contract declares ids as text, which also orders two snapshots of one date.
+BY_TEXT_ID = POSITION.replace("snapshot_date desc, snapshot_id,", "snapshot_date desc, snapshot_id::varchar,")
+
+
+@register("product_run_inventory", "C11", "C12", "D8", "D9", sql=f"""{ctes(*RISK_VIEWS, position=BY_TEXT_ID)}
 select * replace (product_id::varchar as product_id, warehouse_id::varchar as warehouse_id) from ({RISK})""")
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory reliability product from text files."""
