@@ -82,11 +82,14 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product.run_customer_health(run, OBSERVED)[0]["mart_customer_health_score"]
 
 
-# The contract declares ids as text, which also orders two snapshots of one date.
-BY_TEXT_ID = POSITION.replace("snapshot_date desc, snapshot_id,", "snapshot_date desc, snapshot_id::varchar,")
+# Of the snapshots with one id the first by row stays.
+SNAPSHOTS = """select * exclude (rn) from (select *, row_number() over (partition by snapshot_id order by
+snapshot_date::varchar, warehouse_id::varchar, product_id::varchar, on_hand_units::varchar, allocated_units::varchar)
+as rn from inventory_snapshots_v) where rn = 1"""
+KEPT_POSITION = POSITION.replace("inventory_snapshots_v", "kept")
 
 
-@register("product_run_inventory", "C11", "C12", "D8", "D9", sql=f"""{ctes(*RISK_VIEWS, position=BY_TEXT_ID)}
+@register("product_run_inventory", "C11", "C12", "D8", "D9", sql=f"""{ctes(*RISK_VIEWS, kept=SNAPSHOTS, position=KEPT_POSITION)}
 select * replace (product_id::varchar as product_id, warehouse_id::varchar as warehouse_id) from ({RISK})""")
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory reliability product from text files."""
