@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millpond.llm import bpe, decontaminate, jaccard, pii, quality
-from millpond.llm.common import cut, prepare
+from millpond.llm.common import content_key, cut, prepare
 from millpond.llm.queries import vocabulary
 
 
@@ -22,14 +22,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows without an id link like others and stay only alone."""
+    """One document of each component: the one with the smallest id (null last), then the smallest key of its text.
+
+    A document is known by its id and text together, so other texts under its id are judged in their own components. Of rows equal
+    in both one stays. Texts without words link with nothing and all stay.
+    """
     prepare(spark)
-    joined = cut(jaccard.join(docs), "classes")
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
-    # Only if an id comes twice is there anything to drop, and only then are texts grouped by it.
-    repeated = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
-    return one.where("doc_id is not null").dropDuplicates(["doc_id"]).union(one.where("doc_id is null")) if repeated else one
+    linked, alone = jaccard.classes(docs)
+    linked = cut(linked, "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("least")
+    chosen = linked.groupBy("comp").agg(least).select("least.doc_id", "least.k1", "least.k2", F.lit(True).alias("words"))
+    kept = chosen.union(alone.select("doc_id", "k1", "k2", F.lit(False)).distinct()).toDF("__id", "__k1", "__k2", "__words")
+    k1, k2 = content_key(docs["text"].cast("string"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (k1 == F.col("__k1")) & (k2 == F.col("__k2"))
+    one = docs.join(kept, same)
+    # Only if a row comes twice is there anything to drop, and only then are texts grouped by it.
+    if linked.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        one = one.where("__words").dropDuplicates(["__id", "__k1", "__k2"]).union(one.where("not __words"))
+    return one.select(*(docs[c] for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

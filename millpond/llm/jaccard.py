@@ -412,8 +412,9 @@ def _grouped(matrix: DataFrame, seed: int) -> DataFrame:
     return key.join(many, "key").select("id", F.xxhash64(F.lit(seed), F.col("key"), salt).alias("g"))
 
 
-def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """One row per document: `doc_id`, `n_shingles`, `component_id`."""
+def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """Each row by its id and its text's `content_key`: those with shingles as `doc_id`, `k1`, `k2`, `n`, `comp` (what they are
+    joined to), and those without as `doc_id`, `k1`, `k2`, `n`."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.select("*", *content_key(F.col("text")))
     signed = cut(signatures(own, size), "sets")
@@ -451,7 +452,13 @@ def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     merged = components(more, "links").withColumnRenamed("node", "comp")
 
     comps = info.join(merged, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp"))
-    linked = signed.where("n > 0").join(comps, "id", "left").select("doc_id", "n", F.coalesce("comp", "id").alias("comp"))
+    linked = signed.where("n > 0").join(comps, "id", "left").select("doc_id", "k1", "k2", "n", F.coalesce("comp", "id").alias("comp"))
+    return linked, signed.where("n = 0").select("doc_id", "k1", "k2", "n")
+
+
+def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """One row per document: `doc_id`, `n_shingles`, `component_id`."""
+    linked, alone = classes(docs, size)
     low = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.join(low, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    named = linked.join(low, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return named.union(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -47,6 +47,30 @@ def test_stages(spark, steps):
     assert sorted(r.doc_id for r in last.select("doc_id").collect()) == sorted(want)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Rows are judged by id and text together: none is lost to its id, and no copy stays for want of one."""
+
+    def prose(name, changed=""):
+        return " ".join(f"{name}{i}" for i in range(40)) + changed
+
+    table = [
+        (1, prose("a")), (2, prose("a", " end")),  # a component of its own ids
+        (5, prose("b")), (5, prose("c")), (6, prose("c", " end")),  # two texts under one id
+        (7, prose("d")), (7, prose("d")), (7, prose("d", " end")),  # equal rows, and a near one under the same id
+        (None, prose("a")), (None, prose("a", " more")),  # copies of a named row
+        (None, prose("e")), (None, prose("e")), (None, prose("e", " end")),  # a component without any id
+        (None, prose("f")),  # alone without an id
+        (9, ""), (9, ""), (None, None), (None, None),  # texts without words
+    ]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = sorted(rows(corpus_pipeline.near_duplicates(spark, docs, FOLDER)), key=str)
+    heads = [(i, t.split()[0] if t else t) for i, t in got]
+    assert sorted(heads, key=str) == sorted(
+        [(1, "a0"), (5, "b0"), (5, "c0"), (7, "d0"), (None, "e0"), (None, "f0"), (9, ""), (9, ""), (None, None), (None, None)], key=str
+    )
+    assert set(got) <= set(table)
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
