@@ -106,7 +106,7 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = scratch(spark, "stream")
     observed = cut(plans.strongest(incidents._observed(spark, sf_dir)))
-    # Evaluations land in order; all of one landing reach the stream in one batch.
+    # A landing may be several files, each a batch of its own.
     _land(observed, f"{root}/observations", ["eval < 240", "eval >= 240 and eval < 480", "eval >= 480"])
     stream = ingest.new_files(spark, f"{root}/observations", observed.schema, max_files=1)
     ingest.drain(live.transitions_into(f"{root}/live", observed), stream, f"{root}/checkpoint")

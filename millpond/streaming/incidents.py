@@ -1,10 +1,11 @@
 """Live incidents: each landing of evaluations adds its transitions to a history that equals the batch timeline.
 
-The rows are the strongest observations of an evaluation (`plans.incidents.strongest`), landed in the order of their
-evaluations. A micro-batch stores its observations, takes up the scopes it touches (and those a closure ends meanwhile),
-evaluates them with the batch plans, and appends the transitions of its own range of evaluations. Everything is joins and windows;
-no row is handled in Python. What is read again is the history of the touched scopes, so old observations may be
-moved out of the folder once their scope is quiet.
+The rows are the strongest observations of an evaluation (`plans.incidents.strongest`). A micro-batch stores its observations,
+takes up the scopes it touches (and those a closure ends meanwhile), evaluates all that is held of them with the batch plans, and
+appends what their history changes by: transitions not written yet, and written ones to be taken back, as when a cause reaches
+the stream after what it suppresses. So an evaluation may come in any number of micro-batches, in any order. Everything is joins
+and windows; no row is handled in Python. What is read again is the history of the touched scopes, so old observations may be
+moved out of the folder once their scope is quiet; transitions before the oldest held observation are left as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def _of_scopes(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     return rows.join(scopes, same, "left_semi")
 
 
+def _net(changes: DataFrame) -> DataFrame:
+    """Transitions with the sum of their changes, without those that cancel out."""
+    return changes.groupBy(*EVENTS).agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
+
+
 def transitions_into(folder: str, observations: DataFrame, closures: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """A batch writer of live transitions; `observations` names the columns that land. A batch run again replaces its own rows."""
     names = [c for c in observations.columns if c != "batch"]
@@ -43,18 +49,25 @@ def transitions_into(folder: str, observations: DataFrame, closures: DataFrame |
         high = landed.agg(F.max("eval")).first()[0]
         if high is None:
             return
-        mine = (F.col("eval") > low) & (F.col("eval") <= high) if low is not None else F.col("eval") <= high
+        reached = high if low is None else max(low, high)
         scopes = landed.select(*[F.col(c).alias(f"_{c}") for c in SCOPE])
         if closures is not None:
-            scopes = scopes.union(closures.where(mine).select(*SCOPE))
+            passed = F.col("eval") <= reached
+            scopes = scopes.union(closures.where(passed if low is None else passed & (F.col("eval") > low)).select(*SCOPE))
         history = _of_scopes(held.where(F.col("batch") <= batch_id), scopes.distinct()).select(*names)
-        ended = closures.where(F.col("eval") <= high) if closures is not None else None
+        ended = closures.where(F.col("eval") <= reached) if closures is not None else None
         moved = incidents.timeline(incidents.evaluate(incidents.count_unreadable(history), ended, keep=cut))
-        moved.where(mine).select(*EVENTS).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+        changes = moved.select(*EVENTS, F.lit(1).alias("change"))
+        if low is not None:
+            written = spark.read.parquet(f"{folder}/events").where(F.col("batch") < batch_id)
+            oldest = history.groupBy("fingerprint").agg(F.min("eval").alias("_oldest"))
+            again = written.join(oldest, "fingerprint").where(F.col("eval") >= F.col("_oldest"))
+            changes = changes.union(again.select(*EVENTS, -F.col("change")))
+        _net(changes).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
 
     return write
 
 
 def transitions(spark: SparkSession, folder: str) -> DataFrame:
     """All transitions so far."""
-    return spark.read.parquet(f"{folder}/events").select(*EVENTS)
+    return _net(spark.read.parquet(f"{folder}/events")).select(*EVENTS)

@@ -172,6 +172,20 @@ def test_live_transitions_equal_the_timeline(spark, folder, closed):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str) and len(got) > 50
 
 
+@pytest.mark.parametrize("split", ["product = 'p'", "crc32(fingerprint) % 2 = 0", "eval >= 20"])
+def test_live_transitions_of_a_split_landing(spark, folder, split):
+    """One landing reaches the stream in two files: by scope, within scopes, or with its older half last."""
+    observed = spark.createDataFrame([r for r in _random_observations(5) if r[1] < 40], OBSERVED)
+    closures = spark.createDataFrame([(15, "dev", "sales", "p", None), (31, "dev", "sales", "q", "quality")], CLOSURES)
+    write = live.transitions_into(folder, observed, closures)
+    for number, condition in enumerate([split, f"not ({split})"]):
+        write(observed.where(condition), number)
+    whole = incidents.evaluate(incidents.count_unreadable(observed.coalesce(4)), closures, keep=lambda df: df.cache())
+    expected = incidents.timeline(whole).select(*live.EVENTS).collect()
+    got = live.transitions(spark, folder).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, expected), key=str) and len(got) > 20
+
+
 def test_last_run_ids_are_bounded(spark):
     rows = [
         ("f", n, "dev", "d", "p", None, "run_failed", None, "critical", "critical", "x", None, f"r{n}") for n in range(30)
