@@ -38,7 +38,7 @@ HELD_OUT = 10
 BLOCK_BYTES = 8 << 20
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
-ORDER = 2
+ORDER = 3
 # The last bits of a key: a training occurrence (while a block counts), and a single word.
 TRAINING, WORD = np.uint64(1), np.uint64(2)
 HASH = ~np.uint64(3)

@@ -91,6 +91,13 @@ def test_lm(docs, order):
         assert math.isclose(r.base_score, w[5], rel_tol=1e-9) and math.isclose(r.score, w[6], rel_tol=1e-9)
 
 
+def test_lm_query_counts_two_words_of_context(spark):
+    _, rows = table(spark, "documents", "doc_id", "text")
+    got = {r.doc_id: r.score for r in queries.op2_lm_score(spark, FOLDER).collect()}
+    want = brute.scores(rows, lm.STRENGTH, 3)
+    assert len(got) == len(want) and all(math.isclose(got[r[0]], r[6], rel_tol=1e-9) for r in want)
+
+
 def test_lm_predicts_held_out_texts_better_than_single_words(spark):
     scored = lm.score(table(spark, "documents", "doc_id")[0])
     total = scored.where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
