@@ -3,11 +3,15 @@
 A line is what stands between line feeds; only lines with a word are judged. A line fails if
 
 - punctuation: over 30 % of its characters outside white space are symbols or marks of the ASCII range, or it has
-  fewer than three words and does not end a sentence;
+  fewer than three words, fewer than ten characters of scripts written in three bytes (most without spaces), and does not end a
+  sentence of any script;
 - navigation: it has at least three parts between bars or pointers (`|`, `>`, `»`, `•`), or three words at least that are
   all words of menus;
 - boilerplate: it holds one of the fixed phrases of notices and forms.
 
+In a line of over 300 characters outside white space, bars and phrases are prose that mentions them: there they fail the line only
+if the bars, or the words of its phrases, are at least a fifth as many as its words.
+
 A document is kept if it passes the base rules (ten words at least; at most a fifth of its words in five-word windows that
 come twice) and its failing lines hold at most half of the characters of its words. All counts are taken by vector
 operations over whole texts in pieces of about a megabyte; nothing is shuffled.
@@ -34,6 +38,9 @@ MARK_PERCENT = 30
 SHORT_LINE = 3
 MENU_PARTS = 3
 LOST_PERCENT = 50
+LONG_LINE = 300
+SHARE_PERCENT = 20
+WIDE_CHARS = 10
 
 MENU_WORDS = (
     b"home about contact login logout register search menu sitemap help faq blog news shop cart account "
@@ -55,6 +62,12 @@ BAR = np.zeros(256, dtype=bool)
 BAR[list(b"|>")] = True
 SENTENCE_END = np.zeros(256, dtype=bool)
 SENTENCE_END[list(b".!?:;\"')")] = True
+# Ends of sentences and quotes outside ASCII, by their last three bytes; those of two bytes by these.
+WIDE_ENDS = np.array([int.from_bytes(c.encode(), "big") for c in "。！？．：；…”’」』》】）｡।॥።။។‼⁇⁈⁉"])
+SLIM_ENDS = np.array([int.from_bytes(c.encode(), "big") for c in "؟؛۔։"])
+# Bytes that begin a character of U+0800 to U+1FFF or U+3000 to U+DFFF: Indic, Thai, Khmer, kana, Chinese, Hangul and others.
+WIDE = np.zeros(256, dtype=bool)
+WIDE[[0xE0, 0xE1, *range(0xE3, 0xEE)]] = True
 # Bytes that begin a character.
 LEAD = np.zeros(256, dtype=bool)
 LEAD[:128] = True
@@ -112,7 +125,9 @@ def judge(texts: list[bytes]) -> dict[str, np.ndarray]:
     last = np.zeros(len(real), dtype=np.int64)
     last[number] = exact.end - 1
     failed = 100 * (marks[end] - marks[start]) > MARK_PERCENT * line_chars
-    failed |= (line_words < SHORT_LINE) & ~SENTENCE_END[buf[last]]
+    wide = _sums(WIDE[buf])
+    few = (line_words < SHORT_LINE) & (wide[end] - wide[start] < WIDE_CHARS)
+    failed |= few & ~SENTENCE_END[buf[last]] & ~_ends_wide(buf, last)
     bars = _sums(BAR[buf])
     parts = bars[end] - bars[start]
 
@@ -122,10 +137,14 @@ def judge(texts: list[bytes]) -> dict[str, np.ndarray]:
     failed |= (line_words >= MENU_PARTS) & (np.bincount(number[menu], minlength=len(real)) == line_words)
     for sign in ("»".encode(), "•".encode()):
         parts += _hits(text, sign, start, len(real))
-    failed |= parts >= MENU_PARTS - 1
+    long = line_chars > LONG_LINE
+    share = SHARE_PERCENT * line_words
+    failed |= (parts >= MENU_PARTS - 1) & (~long | (100 * parts >= share))
+    said = np.zeros(len(real), dtype=np.int64)
     for phrase in PHRASES:
         if phrase in text:
-            failed |= _hits(text, phrase, start, len(real)) > 0
+            said += _hits(text, phrase, start, len(real)) * len(phrase.split())
+    failed |= (said > 0) & (~long | (100 * said >= share))
 
     total = np.bincount(exact.doc, weights=chars, minlength=n).astype(np.int64)
     lost = np.bincount(owner, weights=line_chars * failed, minlength=n).astype(np.int64)
@@ -149,6 +168,13 @@ def judge(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
+def _ends_wide(buf: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the character whose last byte is at `last` ends a sentence and is not ASCII."""
+    c = [buf[np.maximum(last - back, 0)].astype(np.int64) for back in range(3)]
+    pair = c[1] << 8 | c[0]
+    return np.isin(c[2] << 16 | pair, WIDE_ENDS) | np.isin(pair, SLIM_ENDS)
+
+
 def _hits(text: bytes, what: bytes, start: np.ndarray, n: int) -> np.ndarray:
     """How often `what` begins in each line; a find per hit."""
     found, at = [], text.find(what)

@@ -171,6 +171,20 @@ def test_quality_lines(spark):
     assert kept[3].n_chars == len(clean) + 1
 
 
+def test_quality_lines_that_only_mention_a_phrase(spark):
+    words = " ".join(f"word{i}" for i in range(80))
+    prose = f"{words} where you read more of the privacy policy | or a > b | and it ends so."
+    rows = [
+        (1, prose), (2, "read more about it\n" + prose), (3, "Shop now | Sale | Shoes and more | " * 20 + f"\n{words}."),
+        (4, "click here to read more " * 20), (5, "今日は天気がいいですね。\n散歩に行きましょう！\n" + words + "."),
+        (6, "这一行没有句号但是它有很多汉字\nकहानी यहाँ।\nवह؟\nok\n" + words + "."), (7, "好\n…\n" + words + "."),
+    ]
+    got = {r.doc_id: (r.n_lines, r.n_failed_lines, r.kept) for r in quality.measure(frame(spark, rows)).collect()}
+    assert got[1] == (1, 0, True) and got[2] == (2, 1, True)
+    assert got[3][1] == 1 and got[4][1] == 1
+    assert got[5] == (3, 0, True) and got[6] == (5, 1, True) and got[7] == (3, 1, True)
+
+
 HITS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 ITEMS = [
     (1, " ".join(f"q{i} of the" for i in range(12))), (2, "one short item"), (2, "a second text of item two"), (3, None), (4, ""),
