@@ -52,6 +52,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def near_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of operator 6, whose contract has no column for them."""
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_near")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii, op2_lm_score, op3_url_filter, op4_ngram_jaccard, op5_quality, op6_decontamination, op7_suffix_dedup,
-        op8_sharding, op9_bpe, op10_warc,
+        op8_sharding, op9_bpe, op10_warc, near_benchmark_items,
     )
 }

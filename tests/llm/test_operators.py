@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import brute
@@ -211,6 +212,43 @@ def test_contamination_table(spark):
     check(decontaminate.judge(docs, items.limit(0)), HITS, brute.contamination(rows, []))
 
 
+def near_items(text, items, slop=26):
+    """How many items have a window three quarters of whose different words stand in one stretch of a text."""
+    words, close = brute.TERM.findall(brute.lower(text)), set()
+    for item_id, item in items:
+        own = brute.TERM.findall(brute.lower(item))
+        need = min(13, len(own))
+        windows = [set(own[i : i + need]) for i in range(len(own) - need + 1)] if own else []
+        for i in range(len(words)):
+            stretch = set(words[i : i + slop])
+            if any(4 * len(w & stretch) >= 3 * len(w) for w in windows):
+                close.add("" if item_id is None else str(item_id))
+    return len(close)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_near_items(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "SMALL", broadcast)
+    rng = random.Random(4)
+    own = [f"u{i}" for i in range(13)]
+    items = [(1, " ".join(own)), (2, "rare " * 3 + "the of and a to in"), (3, " ".join(["unseen", *(f"v{i}" for i in range(12))])),
+             (4, " ".join(f"x{i % 17} y{i % 5}" for i in range(30))), (None, "two words"), (5, None)]
+    rows = [(100, None), (101, ""), (102, "words and two"), (103, "two " + "pad " * 24 + "words"), (104, "two " + "pad " * 25 + "words")]
+    for i in range(60):
+        base = brute.TERM.findall(items[i % 4][1])[:13]
+        rng.shuffle(base)
+        base = base[: rng.randrange(7, 14)] + [f"pad{j}" for j in range(rng.randrange(0, 16))]
+        rng.shuffle(base)
+        rows.append((i, "fill " * rng.randrange(0, 60) + " ".join(base) + " tail" * rng.randrange(0, 30)))
+    rows.append(rows[-1])
+    # Ten of thirteen words across the border of two tiles, and an item with a word that no document has.
+    rows += [(200, "fill " * 21 + " ".join(own[:10])), (201, " ".join(f"v{i}" for i in range(12))), (202, "of rare the and to a in rare")]
+    table_ = prepare(spark).createDataFrame(items, "item_id long, text string")
+    want = [(doc_id, near_items(text, items)) for doc_id, text in rows]
+    assert sum(n > 0 for _, n in want) > 20 and {i for i, n in want if n} >= {103, 200, 201, 202}
+    check(decontaminate.judge(frame(spark, rows), table_), ["doc_id", "n_near"], want)
+
+
 SPANS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
