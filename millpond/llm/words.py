@@ -1,8 +1,7 @@
 """Words and word windows of a batch of texts as numpy arrays: one pass of vector operations, no loop over words.
 
 Texts are joined into one byte buffer with a separator between them. A word is a run of bytes outside a separator set; since
-every separator is ASCII, UTF-8 letters are never split. A word is known by a 64-bit hash: a polynomial over a fixed random
-value per byte, taken as a difference of prefix sums, and finalised.
+every separator is ASCII, UTF-8 letters are never split. A word is known by a 64-bit hash of its blocks of eight bytes.
 """
 
 from __future__ import annotations
@@ -11,8 +10,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_MASK = (1 << 64) - 1
-
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
     """`n` fixed random 64-bit values."""
@@ -27,27 +24,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(BASE, -1, 1 << 64)
-BYTE = _splitmix(256, 17)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # The separators of the contract: space and the control characters 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first `n` powers of the base or of its inverse; kept for the next batch."""
-    name = "inverse" if inverse else "base"
-    known = _POWERS.get(name)
-    if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 16), _INVERSE if inverse else BASE, dtype=np.uint64)
-        steps[0] = 1
-        known = _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return known[:n]
+# What is kept of a block of eight bytes when only so many of them belong to a range.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 @dataclass
@@ -87,12 +71,23 @@ def tokenize(texts: list[str | bytes | None], lower: bool = True) -> Words:
     return Words(buf, offsets, doc, start, end, fold_hash(buf, start, end))
 
 
-def fold_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each byte range [start, end) of a buffer."""
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[buf] * powers(len(buf)), dtype=np.uint64, out=sums[1:])
-    shift = powers(len(buf) + 1, inverse=True)[start]
-    return mix((sums[end] - sums[start]) * shift + (end - start).astype(np.uint64))
+def fold_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each byte range [start, end) of a buffer.
+
+    Every block of eight bytes is scrambled with its place in the range before the blocks are added, so ranges with equal hashes meet
+    by chance only, whatever their structure. Other seeds give independent hashes.
+    """
+    size = end - start
+    blocks = (size + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    at = np.repeat(start, blocks) + 8 * place
+    left = np.minimum(np.repeat(end, blocks) - at, 8)
+    words = np.ndarray(len(buf) + 1, dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, dtype=np.uint8)]).tobytes(), strides=(1,))
+    salt = mix(np.arange(1, int(blocks.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(seed << 40))
+    sums = np.zeros(len(at) + 1, dtype=np.uint64)
+    np.cumsum(mix((words[at] & _KEEP[left]) ^ salt[place]), dtype=np.uint64, out=sums[1:])
+    return mix(sums[first + blocks] - sums[first] + size.astype(np.uint64))
 
 
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
