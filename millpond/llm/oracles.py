@@ -1,12 +1,12 @@
 """DuckDB text of the queries that SQL can express.
 
 The others have none: trained labelers (1), a check sum DuckDB lacks (2, 8), 200-byte strings at every byte (7), merges by
-rank (9). Their tests compare them with plain Python.
+rank (9), eigenvectors (12). Their tests compare them with plain Python.
 """
 
 from __future__ import annotations
 
-from . import quality, urls
+from . import clusters, passages, quality, urls
 
 A_TO_Z = f"'{urls.UPPER}', '{urls.LOWER}'"
 
@@ -154,10 +154,76 @@ select page_id, n::bigint payload_bytes, digest payload_digest,
 from f
 """
 
+
+
+def _assign(n: int) -> str:
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    return f"""a{n} as materialized (
+  select * from (select v.vec_id, v.x, c.c, {square} d from v, c{n} c) qualify row_number() over (partition by vec_id order by d, c) = 1
+)"""
+
+
+def _move(n: int) -> str:
+    """Centroids after round `n`: floors of the means, also of negative sums."""
+    return f"""s{n} as (select c, i, sum(x[i])::hugeint s, count(*)::hugeint n from a{n}, unnest(range(1, {clusters.SIZE + 1})) u(i) group by 1, 2),
+m{n} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) x from s{n} group by 1),
+c{n + 1} as materialized (select c, coalesce(m.x, o.x) x from c{n} o left join m{n} m using (c))"""
+
+
+CLUSTERS = f"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE} * x::double)::bigint) x from embeddings
+  where len(embedding) = {clusters.SIZE} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {clusters.SIZE}
+), c0 as materialized (
+  select (row_number() over (order by sha256('{clusters.SALT}' || vec_id)) - 1)::int c, x from v
+  order by sha256('{clusters.SALT}' || vec_id) limit {clusters.K}
+), {", ".join(f"{_assign(n)}, {_move(n)}" for n in range(clusters.ROUNDS))}, {_assign(clusters.ROUNDS)}
+select vec_id, c::int "cluster", d distance, (sum(d) over (partition by c))::bigint cluster_inertia, (sum(d) over ())::bigint inertia,
+  sha256(array_to_string(list_transform(f.x, lambda y: y::varchar), ',')) centroid_sha256
+from a{clusters.ROUNDS} a join (select c, x from c{clusters.ROUNDS}) f using (c)
+"""
+
+
+def _repeats(length: int) -> str:
+    return f"""r{length} as materialized (
+  select * from (select *, min(doc_id) over (partition by g) low, max(doc_id) over (partition by g) high from w{length}) where low < high
+)"""
+
+
+def _double(length: int) -> str:
+    return f"""w{2 * length} as (
+  select a.r, a.doc_id, a.i, md5(a.g || b.g) g from r{length} a join r{length} b on a.r = b.r and b.i = a.i + {length}
+), {_repeats(2 * length)}"""
+
+
+# Lengths up to 25,600 words; the longest text of the tables has 20,000.
+_LENGTHS = [passages.WINDOW << n for n in range(10)]
+_FIRST = _LENGTHS[0]
+
+PASSAGES = f"""
+with d as materialized (
+  select row_number() over () r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') w from documents
+), w{_FIRST} as (
+  select r, doc_id, i, md5(array_to_string(list_slice(w, i, i + {_FIRST - 1}), ' ')) g
+  from d, unnest(range(1, greatest(len(w) - {_FIRST - 2}, 1))) u(i)
+), {_repeats(_FIRST)}, {", ".join(_double(n) for n in _LENGTHS[:-1])},
+gone as (select distinct r, i + j i from r{_FIRST}, unnest(range(0, {_FIRST})) v(j) where doc_id > low),
+reach as (select r, max(n) longest from ({" union all ".join(f"select r, {n} n from r{n} where doc_id > low" for n in _LENGTHS)}) group by 1),
+kept as (
+  select r, count(*) n, string_agg(w[i], ' ' order by i) t
+  from (select r, w, i from d, unnest(range(1, len(w) + 1)) u(i)) anti join gone using (r, i) group by 1
+)
+select doc_id, len(w)::bigint n_words, len(w)::bigint - coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256,
+  coalesce(longest, 0)::bigint longest
+from d left join kept using (r) left join reach using (r)
+"""
+
 ORACLES = {
     "op3_url_filter": URL_FILTER,
     "op4_ngram_jaccard": NGRAM_JACCARD,
     "op5_quality": QUALITY,
     "op6_decontamination": DECONTAMINATION,
     "op10_warc": WARC,
+    "op11_clusters": CLUSTERS,
+    "op13_passages": PASSAGES,
 }

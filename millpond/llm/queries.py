@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, lm, pii, quality, sharding, suffixes, urls, warc
+from . import bpe, clusters, decontaminate, jaccard, lm, passages, pii, quality, sharding, suffixes, urls, warc, whitening
 from .common import prepare
 from .oracles import ORACLES  # noqa: F401 - beside the queries they describe
 
@@ -80,10 +80,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii, op2_lm_score, op3_url_filter, op4_ngram_jaccard, op5_quality, op6_decontamination, op7_suffix_dedup,
-        op8_sharding, op9_bpe, op10_warc, near_benchmark_items,
+        op8_sharding, op9_bpe, op10_warc, op11_clusters, op12_whitening, op13_passages, near_benchmark_items,
     )
 }

@@ -195,3 +195,54 @@ def archive(rows: list[tuple]) -> list[tuple]:
         revisit = known is not None and page_id != known
         out.append((page_id, len(data), sha(data), "revisit" if revisit else "response", known if revisit else None))
     return out
+
+
+def kept_passages(rows: list[tuple], window: int = 50) -> list[tuple]:
+    """doc_id, n_words, n_removed, kept_sha256, longest: a null id comes after all others."""
+    order = [math.inf if doc_id is None else doc_id for doc_id, _ in rows]
+    words = [WORD.findall(text or "") for _, text in rows]
+    longest, gone = [0] * len(rows), [set() for _ in rows]
+    size = window
+    while any(len(own) >= size for own in words):
+        low: dict[tuple, float] = {}
+        for at, own in zip(order, words):
+            for i in range(len(own) - size + 1):
+                key = tuple(own[i : i + size])
+                low[key] = min(low.get(key, math.inf), at)
+        for k, (at, own) in enumerate(zip(order, words)):
+            for i in range(len(own) - size + 1):
+                if low[tuple(own[i : i + size])] < at:
+                    longest[k] = size
+                    if size == window:
+                        gone[k].update(range(i, i + size))
+        size *= 2
+    return [
+        (doc_id, len(own), len(out), sha(" ".join(w for i, w in enumerate(own) if i not in out)), far)
+        for (doc_id, _), own, out, far in zip(rows, words, gone, longest)
+    ]
+
+
+def clusters(rows: list[tuple], k: int = 16, rounds: int = 3, size: int = 64, scale: int = 64) -> list[tuple]:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256, in Python integers."""
+    kept = [
+        (i, [math.floor(scale * float(c)) for c in v])
+        for i, v in rows
+        if v is not None and len(v) == size and all(c is not None and math.isfinite(c) for c in v)
+    ]
+    centroids = [x for _, x in sorted(kept, key=lambda r: (sha(f"1:{'' if r[0] is None else r[0]}"), r[1]))[:k]]
+
+    def assign() -> list[tuple[int, int]]:
+        return [min((sum((a - b) ** 2 for a, b in zip(x, c)), n) for n, c in enumerate(centroids)) for _, x in kept]
+
+    for _ in range(rounds):
+        placed = assign()
+        for n in range(len(centroids)):
+            own = [x for (_, x), (_, c) in zip(kept, placed) if c == n]
+            if own:
+                centroids[n] = [sum(c) // len(own) for c in zip(*own)]
+    placed = assign()
+    per = Counter()
+    for d, c in placed:
+        per[c] += d
+    digests = [sha(",".join(map(str, c))) for c in centroids]
+    return [(i, c, d, per[c], sum(per.values()), digests[c]) for (i, _), (d, c) in zip(kept, placed)]
