@@ -151,7 +151,9 @@ def window_rows(holders: DataFrame, window: int) -> DataFrame:
 def repeated(windows: DataFrame) -> DataFrame:
     """The windows whose name occurs under two ids, and `later`: whether theirs is not the smallest."""
     per = windows.groupBy("f1", "f2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return windows.join(per.select("f1", "f2", "low"), ["f1", "f2"]).select("id", "k1", "pos", "f1", "f2", (F.col("id") > F.col("low")).alias("later"))
+    # As a table of its own, so that the join deals its rows anew and AQE may split a frequent name.
+    per = cut(per.select("f1", "f2", "low"), "names")
+    return windows.join(per, ["f1", "f2"]).select("id", "k1", "pos", "f1", "f2", (F.col("id") > F.col("low")).alias("later"))
 
 
 def whole_documents(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -225,6 +227,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = cut(anchor_rows(long, window), "anchors")
     shared = found.groupBy("anchor").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("anchor")
+    shared = cut(shared, "shared")
     runs = found.join(shared, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     asked = cut(texts.join(runs, ["k1", "k2"]).select(F.col("first").alias("id"), "k1", "k2", "runs"), "runs")
     holders = one_per_id(long.select("id", "k1", "k2", "text")).join(asked, ["id", "k1", "k2"])
