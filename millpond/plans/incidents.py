@@ -1,8 +1,8 @@
 """Incidents from health signals: what to open, escalate and close at each evaluation.
 
 Signals come with the evaluation they belong to (`eval`, a whole number that rises by one per evaluation) and a `seq` that
-orders them. After `strongest` there is one row per fingerprint and evaluation, so every window below holds at most as
-many rows as there were evaluations, however many signals there are.
+orders them. After `strongest` there is one row per fingerprint and evaluation, however many signals there are. A fingerprint's
+history is folded chunk by chunk (`chunks`), so no task holds all of a long one and nothing is asked in rounds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import chunks
 from .health import NOT_YET_DUE
 
 # Incident kinds, the policy condition of each, the components that raise one, and the texts rules read.
@@ -288,13 +289,16 @@ def strongest(observed: DataFrame) -> DataFrame:
 
 
 def count_unreadable(observed: DataFrame, threshold: int = UNREADABLE_THRESHOLD) -> DataFrame:
-    """Counted kinds turn critical at the third unknown in a row. A gap in the evaluations starts the count again."""
+    """Counted kinds turn critical at the third unknown in a row. A gap in the evaluations starts the count again.
+
+    An unknown counts for its own evaluation and for the next ones up to the threshold, so no history is put in order.
+    """
     counted = F.col("kind").isin(*COUNTED) & (F.col("health") == "unknown")
     unknown = observed.where(counted)
-    by_key = Window.partitionBy("fingerprint").orderBy("eval")
-    run = unknown.withColumn("_run", F.col("eval") - F.row_number().over(by_key))
-    place = F.row_number().over(Window.partitionBy("fingerprint", "_run").orderBy("eval"))
-    reached = run.withColumn("unknowns", F.least(place, F.lit(threshold)).cast("int")).drop("_run")
+    spread = unknown.select("fingerprint", "eval", F.explode(F.array(*map(F.lit, range(threshold)))).alias("_back"))
+    seen = spread.groupBy("fingerprint", (F.col("eval") + F.col("_back")).alias("eval")).agg(F.collect_set("_back").alias("_seen"))
+    gap = F.array_min(F.array_except(F.array(*map(F.lit, range(threshold + 1))), F.col("_seen")))
+    reached = unknown.join(seen, ["fingerprint", "eval"]).withColumn("unknowns", gap.cast("int")).drop("_seen")
     full = F.col("unknowns") >= threshold
     default = F.create_map(*[F.lit(x) for pair in DEFAULT_REASONS.items() for x in pair])
     settled = reached.withColumns(
@@ -306,39 +310,12 @@ def count_unreadable(observed: DataFrame, threshold: int = UNREADABLE_THRESHOLD)
     return observed.where(~counted).withColumn("unknowns", F.lit(None).cast("int")).unionByName(settled)
 
 
-def _by_time() -> tuple:
-    """A fingerprint's rows in order. A closure of an evaluation comes before its observation."""
-    order = Window.partitionBy("fingerprint").orderBy("eval", "step")
-    return order, order.rowsBetween(Window.unboundedPreceding, -1)
+IDENTITY = ("fingerprint", *SCOPE, "kind", "component")
 
 
-def _states(rows: DataFrame) -> DataFrame:
-    """Whether an incident was open before each row, and what the row does to it.
-
-    `act` is fire, hold_fire (fires, but may not open), resolve, silence, or null for a row that decides nothing.
-    """
-    _, past = _by_time()
-    decides = F.when(F.col("act").isin("fire", "resolve", "silence"), F.col("act") == "fire")
-    opened = F.coalesce(F.last(decides, ignorenulls=True).over(past), F.lit(False))
-    stated = rows.withColumn("was_open", opened)
-    opening = (F.col("act") == "fire") & ~F.col("was_open")
-    event = (
-        F.when(opening, "opened")
-        .when(F.col("was_open") & (F.col("act") == "resolve"), "resolved")
-        .when(F.col("was_open") & (F.col("act") == "silence"), "resolved_silently")
-    )
-    order, _ = _by_time()
-    flagged = stated.withColumn("event", event)
-    number = F.sum(F.when(F.col("event") == "opened", 1).otherwise(0)).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    since = F.last(F.when(F.col("event") == "opened", F.col("eval")), ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return flagged.withColumns({"number": number, "opened_at": since})
-
-
-def _acts(observed: DataFrame, closures: DataFrame | None) -> DataFrame:
+def _acts(observed: DataFrame, closures: DataFrame | None, entering: DataFrame | None) -> DataFrame:
+    """What each observation does: fire, resolve, silence, or null for one that decides nothing by itself. A closure of an
+    evaluation comes before its observations."""
     health = F.col("health")
     act = (
         F.when(health.isin("warning", "critical") & F.col("severity").isNotNull(), "fire")
@@ -349,9 +326,10 @@ def _acts(observed: DataFrame, closures: DataFrame | None) -> DataFrame:
     if closures is None:
         return rows
     # A closure of a scope or rule reaches every fingerprint it covers.
-    known = observed.groupBy("fingerprint").agg(
-        *[F.max(c).alias(c) for c in (*SCOPE, "kind", "component")]
-    )
+    known = observed.select(*IDENTITY)
+    if entering is not None:
+        known = known.union(entering.select(*IDENTITY))
+    known = known.distinct()
     scope = ["stage", "domain", "product"]
     on = [known[c].eqNullSafe(closures[c]) for c in scope]
     on.append(closures["kind"].isNull() | (closures["kind"] == known["kind"]))
@@ -370,74 +348,52 @@ def _acts(observed: DataFrame, closures: DataFrame | None) -> DataFrame:
     return covered.unionByName(filled)
 
 
-def _settle_grace(rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A missed run that now reads as inside its grace closes the incident that opened for the same occurrence.
-
-    Which incident that is depends on earlier closings, so the question is asked until no answer changes. Answers only go
-    from no to yes, and a rule that raises its grace twice within one incident is what a third round is for.
-    """
-    graced = F.col("grace_due").isNotNull() & F.col("act").isNull()
-    if rows.where(graced).isEmpty():
-        return rows
-    rows = keep(rows)
-    settled = rows
-    while True:
-        stated = _states(settled)
-        closes = (
-            F.col("grace_due").isNotNull()
-            & F.col("act").isNull()
-            & F.col("was_open")
-            & (F.col("grace_due") <= F.col("opened_at"))
-        )
-        found = keep(stated.where(closes).select("fingerprint", "eval"))
-        if found.isEmpty():
-            return settled
-        marked = settled.join(found.withColumn("_grace", F.lit(True)), ["fingerprint", "eval"], "left")
-        settled = keep(
-            marked.withColumn("act", F.when(F.col("_grace") & (F.col("step") == 1), "resolve").otherwise(F.col("act"))).drop("_grace")
-        )
-
-
-def _suppress(stale: DataFrame, causes: DataFrame) -> DataFrame:
+def _suppress(stale: DataFrame, causes: DataFrame, entering: DataFrame | None) -> DataFrame:
     """A stale output does not open while a failed or missed run is open for its scope: that already says why.
 
-    Causes of an evaluation are settled before its outputs, so an opening counts at once and a closing too.
+    Causes of an evaluation are settled before its outputs, so an opening counts at once and a closing too. Openings less closings are
+    added up per scope and chunk, then along the chunks of a scope, then inside each chunk.
     """
     scope = ["stage", "domain", "product"]
-    moves = causes.where(
-        F.col("kind").isin(*STALE_CAUSES) & F.col("event").isin("opened", "resolved", "resolved_silently")
-    ).groupBy(*scope, "eval").agg(F.sum(F.when(F.col("event") == "opened", 1).otherwise(-1)).alias("move"))
-    marked = stale.unionByName(moves.withColumn("step", F.lit(-1)), allowMissingColumns=True)
-    by_scope = Window.partitionBy(*scope).orderBy("eval", "step")
-    opened = F.sum(F.coalesce("move", F.lit(0))).over(by_scope.rowsBetween(Window.unboundedPreceding, 0))
-    held = marked.withColumn("_open", opened).where("step >= 0")
-    act = F.when((F.col("act") == "fire") & (F.col("_open") > 0), "hold_fire").otherwise(F.col("act"))
-    return held.withColumn("act", act).drop("move", "_open")
-
-
-def _transitions(stated: DataFrame) -> DataFrame:
-    """Severity moves inside an incident. An escalation is measured against the highest severity already told, so a
-    flapping severity tells once."""
-    firing = F.col("act").isin("fire", "hold_fire") & (F.col("was_open") | (F.col("event") == "opened"))
-    level = F.when(firing, F.when(F.col("severity") == "critical", 1).otherwise(0))
-    rows = stated.withColumn("_level", level)
-    order = Window.partitionBy("fingerprint", "number").orderBy("eval", "step")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    told, current = F.max("_level").over(past), F.last("_level", ignorenulls=True).over(past)
-    moved = (
-        F.when(F.col("event").isNotNull(), F.col("event"))
-        .when(F.col("was_open") & (F.col("_level") > told), "escalated")
-        .when(F.col("was_open") & (F.col("_level") != current), "severity_changed")
+    moves = causes.where(F.col("kind").isin(*STALE_CAUSES) & F.col("event").isin("opened", "resolved", "resolved_silently")).select(
+        *scope, "eval", F.when(F.col("event") == "opened", 1).otherwise(-1).alias("move")
     )
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    spoken = F.col("event").isin("opened", "escalated")
-    return rows.withColumn("event", moved).withColumns(
-        {
-            # The incident's own severity and reason, which a resolving observation does not carry.
-            "incident_severity": F.last(F.when(firing, F.col("severity")), ignorenulls=True).over(upto),
-            "incident_reason": F.last(F.when(spoken, F.col("reason")), ignorenulls=True).over(upto),
-        }
-    ).drop("_level")
+    if entering is not None:
+        held = entering.where(F.col("kind").isin(*STALE_CAUSES) & F.col("state.open"))
+        moves = moves.union(held.select(*scope, (F.col("since") - 1).alias("eval"), F.lit(1)))
+    moves = moves.groupBy(*scope, "eval").agg(F.sum("move").alias("move"))
+    marked = stale.unionByName(moves.withColumn("step", F.lit(-1)), allowMissingColumns=True).withColumn("_chunk", chunks.chunk_of(F.col("eval")))
+    along = Window.partitionBy(*scope).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.groupBy(*scope, "_chunk").agg(F.sum("move").alias("_total"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(along), F.lit(0)))
+    inside = Window.partitionBy(*scope, "_chunk").orderBy("eval", "step").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = marked.withColumn("_open", F.coalesce(F.sum("move").over(inside), F.lit(0))).where("step >= 0")
+    ahead = before.select(*[F.col(c).alias(f"__{c}") for c in [*scope, "_chunk"]], "_before")
+    held = summed.join(ahead, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*scope, "_chunk"]])
+    act = F.when((F.col("act") == "fire") & (F.col("_open") + F.col("_before") > 0), "hold_fire").otherwise(F.col("act"))
+    return held.withColumn("act", act).select(*stale.columns)
+
+
+def evaluate_from(
+    observed: DataFrame,
+    closures: DataFrame | None = None,
+    entering: DataFrame | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame]:
+    """`evaluate` of a later part of a history, and the state of each fingerprint after each chunk.
+
+    `entering` has a row per known fingerprint: its identity, its `state`, and `since`, the first evaluation of its scope that
+    `observed` holds, which begins a chunk.
+    """
+    rows = _acts(observed, closures, entering)
+    is_stale = F.col("kind") == "stale_output"
+    rest = [None, None] if entering is None else [entering.where(~is_stale), entering.where(is_stale)]
+    causes, after = chunks.scan(rows.where(~is_stale), list(IDENTITY), rest[0], keep)
+    causes = keep(causes)
+    stale, stale_after = chunks.scan(_suppress(rows.where(is_stale), causes, entering), list(IDENTITY), rest[1], keep)
+    told = causes.unionByName(stale)
+    state = {"number": "number", "opened_at": "opened_at", "incident_severity": "severity", "incident_reason": "reason"}
+    return told.withColumns({name: F.col(f"state.{field}") for name, field in state.items()}).drop("state"), after.unionByName(stale_after)
 
 
 def evaluate(
@@ -450,11 +406,7 @@ def evaluate(
     `observed` comes from `count_unreadable(strongest(...))`. `closures` (eval, stage, domain, product, kind) say when a
     scope, or with a kind a rule, was gone: open incidents close silently. `keep` may write what is read again to a table.
     """
-    rows = _settle_grace(_acts(observed, closures), keep)
-    is_stale = F.col("kind") == "stale_output"
-    causes = _transitions(_states(rows.where(~is_stale)))
-    stale = _transitions(_states(_suppress(rows.where(is_stale), causes)))
-    return causes.unionByName(stale)
+    return evaluate_from(observed, closures, None, keep)[0]
 
 
 def timeline(evaluated: DataFrame) -> DataFrame:

@@ -181,7 +181,8 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.count_unreadable(incidents.strongest(_observed(spark, sf_dir)))
+    # Read again for the unknowns in a row.
+    return incidents.count_unreadable(cut(incidents.strongest(_observed(spark, sf_dir))))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, closures: DataFrame | None = None) -> DataFrame:
