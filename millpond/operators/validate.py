@@ -1,8 +1,9 @@
 """Contract validation: typed rows, the reasons a row is refused, accepted and rejected tables, one report.
 
-Errors are column expressions inside the scan's stage. Only uniqueness needs a shuffle, and it is built so that neither a
-hot key nor a group of identical copies meets in one task: keys are counted with map-side combine, and what must be
-removed is found by adding and subtracting row counts over all columns, never by ranking a key's rows.
+The rows are read twice: once to count keys, once to mark the rows of repeated keys, find every row's errors and write both. The
+report's counts are observed on that write. Only rows of repeated keys are looked at again, and neither a hot key nor a
+group of identical copies meets in one task: keys are counted with map-side combine, and what must be removed is found by
+adding and subtracting row counts over all columns, never by ranking a key's rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..contracts import Contract
@@ -32,12 +33,13 @@ _SPARK_TYPE = {"integer": "int", "number": "double", "date": "date", "boolean":
 FILE = "_file"
 ERRORS = "_errors"
 COPIES = "_copies"
+REPEATED = "_repeated"
 
+# Writes a table, apart by the values of the columns `by`, and reads it back.
+Keep = Callable[..., DataFrame]
 
-Keep = Callable[[DataFrame], DataFrame]
 
-
-def _as_is(df: DataFrame) -> DataFrame:
+def _as_is(df: DataFrame, label: str = "", by: Sequence[str] = ()) -> DataFrame:
     return df
 
 
@@ -104,43 +106,71 @@ def repeated_keys(rows: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 
 def split_copies(
-    rows: DataFrame, keys: Sequence[str], keep: Keep = _as_is, newest: bool = False
+    several: DataFrame, keys: Sequence[str], columns: Sequence[str], newest: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with the one copy of every key that counts, and its other copies folded with their number in `_copies`.
+    """Of rows with repeated keys the one copy of every key that counts, and its other copies folded with their number in `_copies`.
 
-    The one that counts is the smallest row: by file where there is a `_file` column, then by the row's own columns. With
-    `newest` it comes from the last file instead, as a merge takes it. Rows with an incomplete key all count: nothing says
-    they are the same entity. `keep` may write the repeated keys and their rows, which are read more than once, to a table.
+    The one that counts is the smallest row: by file where `columns` have a `_file`, then by the row's own columns. With
+    `newest` it comes from the last file instead, as a merge takes it.
     """
-    order = ([FILE] if FILE in rows.columns else []) + [c for c in rows.columns if c != FILE]
-    columns = [f"`{c}`" for c in order]
-    repeated = keep(repeated_keys(rows, keys).drop("n_records"))
-    single = rows.join(repeated, list(keys), "left_anti").select(*columns)
-    several = keep(rows.join(repeated, list(keys), "left_semi").select(*columns))
-    smallest = F.min(F.struct(*columns)).alias("first")
+    order = [c for c in columns if c == FILE] + [c for c in columns if c != FILE]
+    names = [f"`{c}`" for c in order]
+    rows = several.select(*names, *[k for k in keys if k not in order])
+    smallest = F.min(F.struct(*names)).alias("first")
     if newest:
-        per_file = several.groupBy(*keys, FILE).agg(smallest)
+        per_file = rows.groupBy(*keys, FILE).agg(smallest)
         first = per_file.groupBy(*keys).agg(F.max_by("first", FILE).alias("first")).select("first.*")
     else:
-        first = several.groupBy(*keys).agg(smallest).select("first.*")
+        first = rows.groupBy(*keys).agg(smallest).select("first.*")
     later = (
-        several.withColumn(COPIES, F.lit(1))
-        .unionByName(first.withColumn(COPIES, F.lit(-1)))
-        .groupBy(*columns)
+        rows.select(*names, F.lit(1).alias(COPIES))
+        .union(first.select(*names, F.lit(-1)))
+        .groupBy(*names)
         .agg(F.sum(COPIES).alias(COPIES))
         .where(F.col(COPIES) > 0)
     )
-    return single.unionByName(first), later
+    return first, later
+
+
+def _counts(copies: Column, filed: bool) -> list[Column]:
+    """What a report needs of rows with `_errors`: rows, those with an error, the violations of each check, and the files hit."""
+    bad = F.size(ERRORS) > 0
+
+    def total(value: Column, name: str) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
+
+    bad = bad & (copies > 0)
+    def hits(check: str) -> Column:
+        return F.size(F.filter(ERRORS, lambda e: e["check"] == check))
+
+    checks = ("cast_error", "not_null", "unique")
+    found = [total(copies, "rows"), total(F.when(bad, copies), "bad"), *[total(hits(c) * copies, c) for c in checks]]
+    # Files are as many as the batch landed.
+    return [*found, F.collect_set(F.when(bad, F.col(FILE))).alias("files")] if filed else found
 
 
 @dataclass(frozen=True)
 class Checked:
     """`rows` holds the source text, `_errors` and `_copies`, the number of identical source rows it stands for;
-    `source` is the same rows, none folded."""
+    `source` is the same rows, none folded. `counted` are the counts of the rows whose key is not repeated, if they were observed
+    while the rows were written, and `few` the other rows of `rows`."""
 
     contract: Contract
     source: DataFrame
     rows: DataFrame
+    counted: dict | None = None
+    few: DataFrame | None = None
+
+    def _totals(self) -> DataFrame:
+        """One row of `_counts` over all rows, reading no more of them than was not counted yet."""
+        filed = FILE in self.rows.columns
+        if self.counted is None:
+            return self.rows.agg(*_counts(F.col(COPIES), filed))
+        found = self.few.agg(*_counts(F.col(COPIES), filed))
+        added = {c: F.col(c) + F.lit(self.counted[c]).cast("bigint") for c in ("rows", "bad", "cast_error", "not_null", "unique")}
+        if filed:
+            added["files"] = F.array_union("files", F.array(*map(F.lit, self.counted["files"])).cast("array<string>"))
+        return found.withColumns(added)
 
     @property
     def accepted(self) -> DataFrame:
@@ -165,40 +195,26 @@ class Checked:
     def rejection(self) -> DataFrame:
         """One row: rows, rejected, the rejected share and whether the limit is exceeded. At the limit passes."""
         limit = self.contract.policy.max_rejection_rate
-        bad = F.col(COPIES) * (F.size(ERRORS) > 0).cast("bigint")
-        totals = self.rows.agg(
-            F.coalesce(F.sum(COPIES), F.lit(0)).cast("bigint").alias("rows"),
-            F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("rejected"),
-        )
+        totals = self._totals().select("rows", F.col("bad").alias("rejected"))
         rate = F.when(F.col("rows") > 0, F.col("rejected") / F.col("rows")).otherwise(F.lit(0.0))
         exceeded = (rate > F.lit(limit)) if limit is not None else F.lit(False)
         return totals.withColumns({"rejection_rate": rate, "exceeded": exceeded})
 
     def report(self) -> DataFrame:
-        """One row of counts for the entity, from one aggregate over the checked rows."""
-        bad = F.size(ERRORS) > 0
+        """One row of counts for the entity."""
         warn = self.contract.policy.severity == "warn"
-        copies = F.col(COPIES)
-
-        def rows_where(condition: Column, name: str) -> Column:
-            return F.coalesce(F.sum(F.when(condition, copies)), F.lit(0)).cast("bigint").alias(name)
-
-        def violations(check: str) -> Column:
-            hits = F.size(F.filter(ERRORS, lambda e: e["check"] == check))
-            return F.coalesce(F.sum(hits * copies), F.lit(0)).cast("bigint").alias(f"{check}_violations")
-
-        aggregates = [
-            F.coalesce(F.sum(copies), F.lit(0)).cast("bigint").alias("rows"),
-            rows_where(F.lit(True) if warn else ~bad, "accepted"),
-            rows_where(F.lit(False) if warn else bad, "rejected"),
-            rows_where(bad if warn else F.lit(False), "warnings"),
-            rows_where(F.lit(False) if warn else bad, "errors"),
-            *[violations(check) for check in ("cast_error", "not_null", "unique")],
+        none, bad = F.lit(0).cast("bigint"), F.col("bad")
+        columns = [
+            F.col("rows"),
+            (F.col("rows") - (none if warn else bad)).alias("accepted"),
+            (none if warn else bad).alias("rejected"),
+            (bad if warn else none).alias("warnings"),
+            (none if warn else bad).alias("errors"),
+            *[F.col(c).alias(f"{c}_violations") for c in ("cast_error", "not_null", "unique")],
         ]
         if FILE in self.rows.columns:
-            # Files are as many as the batch landed; the set of those hit is counted, not gathered.
-            aggregates.append(F.count_distinct(F.when(bad, F.col(FILE))).alias("files_impacted"))
-        return self.rows.agg(*aggregates).select(F.lit(self.contract.name).alias("entity"), "*")
+            columns.append(F.size("files").cast("bigint").alias("files_impacted"))
+        return self._totals().select(F.lit(self.contract.name).alias("entity"), *columns)
 
     def file_status(self) -> DataFrame:
         """Per source file: rows, accepted, rejected, and the status its rows give it."""
@@ -237,30 +253,47 @@ def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is) -> Checked:
     A key repeated over files is a duplicate whose first file counts; a `merge_scd1` entity takes the last file's row, and a
     `merge_scd2` entity keeps one version per file, so only copies inside a file are duplicates.
 
-    Pass `session.cut` as `keep` on large data: the rows of repeated keys are then found once.
+    Pass `session.cut` as `keep` on large data: the checked rows are then written once, rows of repeated keys apart from the others, and
+    the counts of the report are taken while they are.
     """
     missing, _ = schema_mismatch(raw, contract)
     if missing:
         raise RunAborted(f"{contract.name}: columns {missing} are missing")
-    kept = [F.col(f"`{n}`").cast("string").alias(n) for n in contract.names]
-    if FILE in raw.columns:
-        kept.append(F.col(FILE))
-    rows = raw.select(*kept)
+    filed = FILE in raw.columns
+    columns = [*contract.names, *([FILE] if filed else [])]
+    rows = raw.select(*[F.col(f"`{n}`").cast("string").alias(n) for n in contract.names], *columns[len(contract.names) :])
     keys = list(contract.primary_key)
     types = {f.name: f.type for f in contract.fields}
-    if not keys:
-        return Checked(contract, rows, rows.withColumns({ERRORS: row_errors(contract), COPIES: F.lit(1).cast("bigint")}))
     # The key is compared by value, so '07' and '7' are one integer key; the source text stays as it was.
     slots = [f"_key{i}" for i in range(len(keys))]
     keyed = rows.withColumns({slot: typed(F.col(f"`{k}`"), types[k]) for slot, k in zip(slots, keys)})
-    filed = FILE in rows.columns
     per_file = [FILE] if filed and contract.write_mode == "merge_scd2" else []
-    first, later = split_copies(keyed, [*slots, *per_file], keep, filed and contract.write_mode == "merge_scd1")
+    one = F.lit(1).cast("bigint").alias(COPIES)
+    if not keys:
+        marked = rows.withColumn(REPEATED, F.lit(False))
+    else:
+        repeated = keep(repeated_keys(keyed, [*slots, *per_file]).drop("n_records"))
+        marked = keyed.join(repeated.withColumn("_hit", F.lit(True)), [*slots, *per_file], "left")
+        marked = marked.withColumn(REPEATED, F.col("_hit").isNotNull())
+    marked = marked.select(*[f"`{c}`" for c in columns], *slots, row_errors(contract).alias(ERRORS), REPEATED)
+    seen, counted = Observation(), None
+    if keep is not _as_is:
+        several = F.count_if(REPEATED).alias("several")
+        alone = F.when(F.col(REPEATED), 0).otherwise(1).cast("bigint")
+        marked = keep(marked.observe(seen, *_counts(alone, filed), several), "checked", [REPEATED])
+        counted = seen.get
+    singles = marked.where(~F.col(REPEATED)).select(*[f"`{c}`" for c in columns], ERRORS, one)
+    if not keys or (counted and not counted["several"]):
+        few = singles.where(F.lit(False))
+        return Checked(contract, marked, singles, counted, few if counted else None)
+    first, later = split_copies(marked.where(REPEATED), [*slots, *per_file], columns, filed and contract.write_mode == "merge_scd1")
     duplicate = F.array(_error("unique", ",".join(keys)))
-    marked = first.withColumns({ERRORS: row_errors(contract), COPIES: F.lit(1).cast("bigint")}).unionByName(
-        later.withColumn(ERRORS, F.concat(row_errors(contract), duplicate))
+    few = keep(
+        first.select(*[f"`{c}`" for c in columns], row_errors(contract).alias(ERRORS), one).unionByName(
+            later.select(*[f"`{c}`" for c in columns], F.concat(row_errors(contract), duplicate).alias(ERRORS), COPIES)
+        )
     )
-    return Checked(contract, rows, marked.drop(*slots))
+    return Checked(contract, marked, singles.unionByName(few), counted, few if counted else None)
 
 
 def error_text(errors: str | Column = ERRORS) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,13 +105,13 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     What follows reads the written files, so several uses cost one computation, and a lost executor costs a re-read
-    instead of the whole lineage.
+    instead of the whole lineage. Rows that differ in the columns `by` are in different folders, which filters on them prune.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

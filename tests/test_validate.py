@@ -8,6 +8,7 @@ import pytest
 
 from millpond.contracts import CONTRACTS, Contract, ContractError, Field, Load, Policy
 from millpond.operators import datatests, profiling, validate
+from millpond.session import cut
 
 ITEM = Contract(
     "item", "sales", "crm",
@@ -81,6 +82,27 @@ def test_a_merge_takes_the_last_file_and_a_history_every_file(spark):
     assert {(r["name"], r["_file"]) for r in versions.accepted_from().collect()} == {("z", "a.csv"), ("a", "b.csv")}
 
 
+@pytest.mark.parametrize("mode", ["overwrite", "merge_scd1", "merge_scd2"])
+@pytest.mark.parametrize("severity", ["warn", "reject"])
+def test_counts_taken_while_rows_are_written(spark, mode, severity):
+    """Written or not, the same rows, report and shares; with and without repeated keys, and for no rows at all."""
+    rng = random.Random(8)
+    data = [
+        (rng.choice(["1", "01", "2", "x", None, str(i)]), rng.choice(["a", "b", ""]), rng.choice(["1", "z"]), None, "true", f"{rng.choice('abc')}.csv")
+        for i in range(200)
+    ]
+    load = Load("full") if mode == "overwrite" else Load("incremental", "id", ("id",))
+    contract = replace(ITEM, load=load, write_mode=mode, policy=Policy(severity, None if severity == "warn" else 0.5))
+    for some in (data, [(str(i), *r[1:]) for i, r in enumerate(data)], []):
+        plain, written = (validate.check(rows(spark, *some), contract, keep) for keep in (validate._as_is, cut))
+        for table in ("rows", "accepted", "rejected"):
+            one, two = (getattr(c, table) for c in (plain, written))
+            assert sorted(map(str, one.collect())) == sorted(map(str, two.select(one.columns).collect()))
+        assert plain.report().first() == written.report().first()
+        assert plain.rejection().first() == written.rejection().first()
+        assert sorted(plain.file_status().collect()) == sorted(written.file_status().collect())
+
+
 def test_rows_without_a_key_are_not_duplicates(spark):
     checked = validate.check(rows(spark, (None, "a", "1", None, None), (None, "a", "1", None, None)), ITEM)
     assert [r["_copies"] for r in checked.rejected.collect()] == [1, 1]
@@ -96,7 +118,9 @@ def test_split_copies_on_a_hot_key_equals_brute_force(spark, seed):
         for _ in range(600)
     ]
     df = spark.createDataFrame(data, "k string, a string, b string").repartition(7)
-    first, later = validate.split_copies(df, ["k"])
+    once, several = (df.join(validate.repeated_keys(df, ["k"]), "k", how).select(*df.columns) for how in ("left_anti", "left_semi"))
+    first, later = validate.split_copies(several, ["k"], df.columns)
+    first = once.unionByName(first.select(*df.columns))
     groups = defaultdict(list)
     for row in data:
         groups[row[0]].append(row)
