@@ -407,7 +407,8 @@ class Shard:
                 self.size += len(text)
 
     def solve(self) -> Iterator[pa.RecordBatch]:
-        """`kind` 0: a range of repeated windows, [at, stop). `kind` 1: a window of a split anchor, by its fingerprint."""
+        """`kind` 0: a range of repeated windows, [at, stop). `kind` 1: a window of a split anchor, by its fingerprint, empty if
+        it is repeated here."""
         if not self.rows:
             return
         buf = np.frombuffer(b"".join(r[5] for r in self.rows), dtype=np.uint8)
@@ -446,7 +447,8 @@ class Shard:
             window, segment = window[chosen], segment[chosen]
             at = np.array([r[3] for r in self.rows], dtype=np.int64)[segment] + window - begins[segment]
             first, second = fingerprints(buf, window)
-            yield self.batch(segment, 1, at, at + 1, first, second)
+            # What is repeated in this shard needs no answer, but tells the others.
+            yield self.batch(segment, 1, at, at + ~repeated[window], first, second)
 
     def batch(self, owner: np.ndarray, kind: int, at: np.ndarray, stop: np.ndarray, f1: np.ndarray | None = None, f2: np.ndarray | None = None) -> pa.RecordBatch:
         k1, k2, salt = (np.array([r[k] for r in self.rows], dtype=np.int64)[owner] for k in (1, 2, 0))
@@ -481,12 +483,15 @@ def repeated_windows(segments: DataFrame) -> DataFrame:
 
 
 def merged_windows(found: DataFrame) -> DataFrame:
-    """Windows of split anchors that another part has too: each part's sorted fingerprints are looked up in all the others'."""
+    """Windows of split anchors that only another part has too: each part's sorted fingerprints are looked up in all the others'.
+
+    A frequent passage is repeated in each part already, so its windows are looked up but not answered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
-            first, second, at, k1, k2, salt = (
-                table.column(c).to_numpy().astype(np.int64) for c in ("f1", "f2", "at", "k1", "k2", "salt")
+            first, second, at, stop, k1, k2, salt = (
+                table.column(c).to_numpy().astype(np.int64) for c in ("f1", "f2", "at", "stop", "k1", "k2", "salt")
             )
             order = np.lexsort((second, first))
             fresh = starts_of(first[order]) | starts_of(second[order])
@@ -498,6 +503,7 @@ def merged_windows(found: DataFrame) -> DataFrame:
                 own = np.flatnonzero(salt == part)
                 own = own[np.argsort(both[own])]
                 twice[own] = np.searchsorted(every, both[own], "right") - np.searchsorted(every, both[own], "left") > 1
+            twice &= stop > at
             yield pa.RecordBatch.from_pydict(
                 {"k1": pa.array(k1[twice]), "k2": pa.array(k2[twice]), "at": pa.array(at[twice]), "stop": pa.array(at[twice] + 1)}
             )
