@@ -7,12 +7,14 @@ log10 P(w | h), and a failure arc to the state of the shorter history, weighted
 The root has an arc for every word, known or not. Reading a text goes from its start state word by word: along an arc if
 there is one, else over failure arcs, adding up the weights.
 
-No machine holds the whole model. Documents are dealt into blocks. Each block lists the n-grams it holds, once each with
-their count in the block's training documents, and sends them as packed arrays to as many shards as there are shuffle partitions,
-by ranges of the n-gram's hash. A shard adds up the counts of each n-gram over all blocks and answers every block in the
-order it asked. A block then builds the part of the automaton that its documents can reach and runs them
-through it side by side, one word of every document per step. So what is exchanged grows with the corpus, nothing is
-broadcast, and a frequent n-gram is one entry per block.
+No machine holds the whole model. The rows of a scan task are cut into blocks of some `BLOCK_BYTES` of text. Each block lists the
+n-grams it holds, once each with their count in the block's training documents, and sends them as packed arrays to shards by ranges of the
+n-gram's hash; there is a shard per `SHARD_BYTES` of text, so a shard stays as small on a large corpus. A shard adds up
+the counts of each n-gram over all blocks and answers every block in the order it asked; the answers are written. This is done in PASSES
+over the texts, each for a range of shards, so that only a part of the questions is on disk at a time. A block
+then builds the part of the automaton that its documents can reach and runs them through it side by side, one word of every
+document per step. So what is exchanged grows with the corpus (there are never more packed rows than n-grams of blocks), texts are shuffled
+once, nothing is broadcast, and a frequent n-gram is one entry per block.
 
 An n-gram is known by a 64-bit hash. The text of a document is its words of lower-cased (A-Z) characters outside white space, then
 an end mark. Training documents are those whose id, as text, has a crc32 that is not 0 modulo 10; a null id counts as the
@@ -23,19 +25,24 @@ training documents every unigram has the uniform weight. Other columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, partitions, run_lengths, shard_cuts, starts_of, text_bytes
+from .common import CHUNK, cut, mapped, partitions, run_lengths, starts_of, text_bytes
 from .words import combine, tokenize
 
 ALPHA = 0.1
 STRENGTH = 8.0
 HELD_OUT = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
+PASSES = 2
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
 ORDER = 3
@@ -93,18 +100,28 @@ class Stream:
         return (combine([np.array([order], dtype=np.uint64), *[np.array([START])] * order]) & HASH)[0]
 
 
-def block_counts(stream: Stream, training: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct n-grams of all orders, sorted, and how often each is in training documents.
+def block_counts(stream: Stream, training: np.ndarray, order: int, low: int = 0, high: int = 1 << 64) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The block's distinct n-grams of all orders with a key in [low, high), sorted, how often each is in training documents, and
+    whether it has any below.
 
     The history of start marks is counted once per training document, as it is each one's first state.
     """
     flag = training[stream.doc].astype(np.uint64)
-    keys = [stream.keys(n) | flag for n in range(1, order + 1)]
-    keys += [np.repeat(stream.start_key(n), len(training)) | training.astype(np.uint64) for n in range(1, order)]
-    every = np.sort(np.concatenate(keys))
+    parts, below = [], False
+    least, most = np.uint64(low), np.uint64(high - 1)
+    for n in range(1, order + 1):
+        own = [stream.keys(n) | flag]
+        if n < order:
+            own.append(np.repeat(stream.start_key(n), len(training)) | training.astype(np.uint64))
+        for keys in own:
+            below = below or bool((keys < least).any())
+            parts.append(keys if low == 0 and high == 1 << 64 else keys[(keys >= least) & (keys <= most)])
+    every = np.concatenate(parts)
+    del parts, own
+    every.sort()
     start, _ = run_lengths(starts_of(every >> TRAINING))
     seen = np.add.reduceat((every & TRAINING).astype(np.int64), start) if len(start) else start
-    return every[start] & ~TRAINING, seen
+    return every[start] & ~TRAINING, seen, below
 
 
 def traverse(stream: Stream, counts: np.ndarray, n_training: int, vocabulary: int, order: int) -> tuple:
@@ -171,68 +188,131 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts byte by byte of their eight: nearly all are small."""
+    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a task, each with the number of its block: a new one begins once a block has `size` bytes of text.
+
+    A scan that is run again, be it after a loss, reads a task's rows in the same order and numbers its blocks as before.
+    """
+    part = TaskContext.get().partitionId() << 32
+    block = held = 0
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + int(np.searchsorted(np.cumsum(sizes[lo:]), size - held)) + 1
+            hi = min(hi, len(sizes))
+            yield part + block, batch.slice(lo, hi - lo)
+            held += int(sizes[lo:hi].sum())
+            if held >= size:
+                block, held = block + 1, 0
+            lo = hi
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(
+    docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, passes: int = PASSES
+) -> DataFrame:
     """One row per document: `doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`."""
-    spark = docs.sparkSession
-    shards = partitions(spark)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(shards, -(-text_bytes(own) // block_bytes))
-    # Dealt by the place of the row, not its id: rows that are equal, or share an id, go to different blocks. A scan that
-    # is run again after a loss numbers its rows as before.
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    dealt = own.select("doc_id", "text", block.alias("block"), held_out(F.col("doc_id")).alias("held_out")).repartition("block")
+    shards = max(passes, partitions(docs.sparkSession), -(-text_bytes(own) // shard_bytes))
+    # Where the keys of a shard begin, and of the one after the last.
+    edges = [-(-(s << 64) // shards) for s in range(shards + 1)]
+    own = own.withColumn("held_out", held_out(F.col("doc_id")))
 
     def stream_of(table: pa.Table) -> tuple[Stream, np.ndarray]:
         texts = table.column("text").combine_chunks().cast(pa.binary()).to_pylist()
         return Stream(texts), ~np.array(table.column("held_out").to_pylist(), dtype=bool)
 
-    def ask(table: pa.Table) -> pa.Table:
-        stream, training = stream_of(table)
-        keys, seen = block_counts(stream, training, order)
-        cuts = shard_cuts(keys, shards)
-        n_training = int(stream.counts[training].sum())
-        ranges = list(zip(cuts, cuts[1:]))
-        return pa.table(
-            {
-                "shard": pa.array(range(shards), type=pa.int32()),
-                "block": pa.array([table.column("block")[0].as_py()] * shards, type=pa.int32()),
-                "keys": pa.array([pack_keys(keys[lo:hi]) for lo, hi in ranges], type=pa.binary()),
-                "seen": pa.array([seen[lo:hi].astype(np.uint32).tobytes() for lo, hi in ranges], type=pa.binary()),
-                "n_training": pa.array([n_training if s == 0 else 0 for s in range(shards)], type=pa.int64()),
-            }
-        )
+    def ask(first: int, last: int) -> DataFrame:
+        """What all blocks ask the shards from `first` up to `last`."""
+
+        def questions(block: int, table: pa.Table) -> pa.RecordBatch:
+            stream, training = stream_of(table)
+            keys, seen, below = block_counts(stream, training, order, edges[first], edges[last])
+            cuts = [0, *np.searchsorted(keys, np.array(edges[first + 1 : last], dtype=np.uint64)), len(keys)]
+            ranges = [(first + s, lo, hi) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+            # Told once: with the first shard that the block asks in any pass.
+            n_training = 0 if below else int(stream.counts[training].sum())
+            return pa.RecordBatch.from_pydict(
+                {
+                    "shard": pa.array([s for s, _, _ in ranges], type=pa.int32()),
+                    "block": pa.array([block] * len(ranges), type=pa.int64()),
+                    "keys": pa.array([pack_keys(keys[lo:hi]) for _, lo, hi in ranges], type=pa.binary()),
+                    "seen": pa.array([pack_counts(seen[lo:hi]) for _, lo, hi in ranges], type=pa.binary()),
+                    "n_training": pa.array([n_training if k == 0 else 0 for k in range(len(ranges))], type=pa.int64()),
+                }
+            )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            before = None
+            for block, rows in blocks(batches, block_bytes):
+                if held and block != before:
+                    yield questions(before, pa.Table.from_batches(held))
+                    held = []
+                before = block
+                held.append(rows)
+            if held:
+                yield questions(before, pa.Table.from_batches(held))
+
+        return mapped(own, run, "shard int, block long, keys binary, seen binary, n_training long")
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpack_keys(b) for b in table.column("keys").to_pylist()]
-        seen = [np.frombuffer(b, dtype=np.uint32) for b in table.column("seen").to_pylist()]
         every = np.concatenate(asked)
         order_ = np.argsort(every)
         first = starts_of(every[order_])
         start, _ = run_lengths(first)
-        totals = np.add.reduceat(np.concatenate(seen).astype(np.int64)[order_], start) if len(start) else start
-        back = np.empty(len(every), dtype=np.int64)
-        back[order_] = totals[np.cumsum(first) - 1] if len(start) else 0
+        seen = np.concatenate([unpack_counts(b) for b in table.column("seen").to_pylist()])
+        totals = np.add.reduceat(seen[order_], start)
         known_words = int(((every[order_][start] & WORD > 0) & (totals > 0)).sum())
+        back = np.empty(len(every), dtype=np.int64)
+        back[order_] = totals[np.cumsum(first) - 1]
         ends = np.cumsum([len(a) for a in asked])
+        rows = len(asked)
         return pa.table(
             {
                 "block": table.column("block"),
                 "shard": table.column("shard"),
-                "totals": pa.array([back[e - len(a) : e].astype("<u8").tobytes() for e, a in zip(ends, asked)], type=pa.binary()),
-                "vocabulary": pa.array([known_words] * len(asked), type=pa.int64()),
-                "n_training": pa.array([int(sum(table.column("n_training").to_pylist()))] * len(asked), type=pa.int64()),
+                "totals": pa.array([pack_counts(back[e - len(a) : e]) for e, a in zip(ends, asked)], type=pa.binary()),
+                "vocabulary": pa.array([known_words] + [0] * (rows - 1), type=pa.int64()),
+                "n_training": table.column("n_training"),
             }
         )
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in blocks(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c) for c in ("doc_id", "text", "held_out")), pa.array([block] * rows.num_rows, type=pa.int64())],
+                ["doc_id", "text", "held_out", "block"],
+            )
+
+    schema = "block long, shard int, totals binary, vocabulary long, n_training long"
+    bounds = [shards * p // passes for p in range(passes + 1)]
+    answered = reduce(
+        DataFrame.union,
+        [cut(ask(first, last).groupBy("shard").applyInArrow(answer, schema), "answers") for first, last in zip(bounds, bounds[1:])],
+    )
+    # Every distinct word is counted in the one shard that has it.
+    vocabulary, n_training = answered.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "n_training"))).first()
+
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         stream, _ = stream_of(texts)
-        replies = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "totals", "vocabulary", "n_training"))))
-        counts = np.concatenate([np.frombuffer(r[1], dtype="<u8") for r in replies]).astype(np.int64)
-        n_training = sum(r[3] for r in replies)
-        base, total, known = traverse(stream, counts, n_training, sum(r[2] for r in replies), order)
+        replies = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "totals"))))
+        counts = np.concatenate([unpack_counts(r[1]) for r in replies])
+        base, total, known = traverse(stream, counts, n_training, vocabulary, order)
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
@@ -245,8 +325,6 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
             }
         )
 
-    asked = dealt.groupBy("block").applyInArrow(
-        ask, "shard int, block int, keys binary, seen binary, n_training long"
-    )
-    answered = asked.groupBy("shard").applyInArrow(answer, "block int, shard int, totals binary, vocabulary long, n_training long")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, RESULT)
+    texts = mapped(own, dealt, "doc_id long, text string, held_out boolean, block long")
+    replies = answered.select("block", "shard", "totals")
+    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, RESULT)
