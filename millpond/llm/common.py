@@ -54,6 +54,17 @@ def content_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2")]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of `df` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each value, without decoding (null: empty)."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,11 +238,26 @@ def accepted(weights: np.ndarray) -> frozenset[tuple[int, int, int]]:
 
 
 def choose(found: list[Candidate], allowed: frozenset[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The spans of a text as (start, kind, end): all base spans, and allowed candidates that overlap none before them."""
+    """The spans of a text as (start, kind, end): all base spans, and allowed candidates that overlap none before them.
+
+    What is taken is kept as sorted stretches without overlap, so each candidate is looked up by bisection.
+    """
     spans = [(start, kind, end) for kind, form, start, end, _ in found if form == 0]
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for kind, form, start, end, ballot in found:
-        if form and (kind, form, ballot) in allowed and all(end <= s or start >= e for s, _, e in spans):
-            spans.append((start, kind, end))
+        if form and (kind, form, ballot) in allowed:
+            before = bisect_left(starts, end)
+            if not before or ends[before - 1] <= start:
+                spans.append((start, kind, end))
+                starts.insert(before, start)
+                ends.insert(before, end)
     return sorted(spans)
 
 

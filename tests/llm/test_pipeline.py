@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import brute
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from millpond.llm import queries
+from millpond.llm import pii, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,6 +74,44 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert set(got) <= set(table)
 
 
+CLASHING = ("__id", "__k1", "id", "ID", "k1", "k2", "words", "comp", "least", "unnamed", "found", "n", "item", "pos", "term", "keep")
+
+
+def test_other_columns_and_long_texts_change_nothing(spark):
+    """Stages give the same documents beside columns under names that they use themselves, and keep these as they are."""
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    long = " ".join(f"word{i * i % 7919} is here." for i in range(30_000)) + " call +1 (988) 555-1234 now, or 10.0.0.1"
+    extra = [(-1, None), (-2, ""), (-3, "  "), (-4, long), (-5, long), (-5, long), (None, long[:9000]), (-6, "ab " * 50)]
+    added = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in extra], plain.schema)
+    plain = corpus_pipeline.cut(plain.limit(20).union(added), "plain")
+    names = list(dict.fromkeys(c for c in CLASHING if c.lower() not in {x.lower() for x in plain.columns}))
+    seen: set[str] = set()
+    names = [c for c in names if not (c.lower() in seen or seen.add(c.lower()))]
+    wide = plain.select(*[F.lit(f"own {c}").alias(c) for c in names], *plain.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = (corpus_pipeline.cut(stage(spark, df, FOLDER), "clash") for df in (plain, wide))
+        if "text" not in got.columns:
+            assert got.count() == want.count() == plain.count()
+            break
+        assert got.columns == wide.columns, name
+        assert all(r[c] == f"own {c}" for r in got.limit(5).collect() for c in names)
+        assert sorted(rows(got), key=str) == sorted(rows(want), key=str), name
+
+
+def test_many_candidates_in_one_text():
+    """Thousands of loose spans: the same choice as by comparing each with all."""
+    found = [(i % 5, i % 3, (i * 7919) % 50_000, (i * 7919) % 50_000 + 1 + i % 9, i % 4) for i in range(20_000)]
+    allowed = frozenset((k, f, v) for k in range(5) for f in (1, 2) for v in (0, 2))
+    spans = [(s, k, e) for k, f, s, e, _ in found[:1500] if f == 0]
+    for k, f, s, e, v in found[:1500]:
+        if f and (k, f, v) in allowed and all(e <= a or s >= b for a, _, b in spans):
+            spans.append((s, k, e))
+    assert pii.choose(found[:1500], allowed) == sorted(spans)
+    began = time.perf_counter()
+    pii.choose(found, allowed)
+    assert time.perf_counter() - began < 2
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -82,7 +123,7 @@ def test_empty_input(spark):
 
 def test_registered():
     names = contract.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
