@@ -15,7 +15,8 @@ from .plans import marts, quality, star
 from .session import cut
 from .sources.export import csv_cells
 from .sources.files import csv_scan
-from .sources.loads import RefreshRefused, Table, exists, merge_history, merge_latest
+from .sources.keyed import Keyed
+from .sources.loads import RefreshRefused, Table, exists, merge_latest
 
 Models = Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]]
 
@@ -90,8 +91,11 @@ class Landed:
     stopped: str | None = None
 
 
-def silver_table(run: Run, contract: Contract) -> Table:
-    return Table(run.spark, f"{run.root}/silver/{contract.domain}/{contract.name}")
+def silver_table(run: Run, contract: Contract) -> Table | Keyed:
+    root = f"{run.root}/silver/{contract.domain}/{contract.name}"
+    if contract.write_mode.startswith("merge"):
+        return Keyed(run.spark, root, contract.load.primary_key or contract.primary_key)
+    return Table(run.spark, root)
 
 
 def pending(run: Run, contract: Contract, raw: DataFrame) -> DataFrame:
@@ -99,7 +103,9 @@ def pending(run: Run, contract: Contract, raw: DataFrame) -> DataFrame:
     table = silver_table(run, contract)
     if not exists(run.spark, f"{table.root}/files"):
         return raw
-    taken = run.spark.read.parquet(f"{table.root}/files").where(F.col("version") <= table.version())
+    taken = run.spark.read.parquet(f"{table.root}/files")
+    if isinstance(table, Table):
+        taken = taken.where(F.col("version") <= table.version())
     return raw.join(taken.select(validate.FILE).distinct(), validate.FILE, "left_anti").select(raw.columns)
 
 
@@ -108,8 +114,9 @@ def silver(run: Run, contract: Contract, rebuild: bool = False) -> Landed:
 
     `overwrite` reads every landed file on every run. The other modes read the files not taken in yet: `append` adds their
     rows, `merge_scd1` keeps the last file's row of a key, `merge_scd2` adds versions. `rebuild` starts them from no table
-    and every landed file. The list of files is written before the version it belongs to and counts once that version is
-    committed, so a run that dies is run again without a lost or repeated file.
+    and every landed file. An append's list of files is written before the version it belongs to and counts once that version is
+    committed; a merge's is written after it, as files merged twice change nothing. So a run that dies is run again without a
+    lost or repeated file.
 
     The rows are checked once and written, so accepted, rejected and report read files. A policy that stops the run does so
     after both are written.
@@ -129,14 +136,17 @@ def silver(run: Run, contract: Contract, rebuild: bool = False) -> Landed:
         table.replace(checked.accepted)
     elif report.first()["rows"]:
         files = checked.source.select(validate.FILE).distinct()
-        files.write.mode("overwrite").parquet(f"{table.root}/files/version={table.version() + 1}")
-        keys = contract.load.primary_key or contract.primary_key
-        if mode == "append":
+        if isinstance(table, Table):
+            files.write.mode("overwrite").parquet(f"{table.root}/files/version={table.version() + 1}")
             (table.replace if rebuild else table.append)(checked.accepted)
-        elif mode == "merge_scd1":
-            table.replace(merge_latest(None if rebuild else table.read(), checked.accepted_from(), keys))
         else:
-            table.replace(merge_history(table.read(), checked.accepted_from(), keys, validate.FILE))
+            if mode == "merge_scd2":
+                table.add_versions(checked.accepted_from())
+            elif rebuild:
+                table.replace(merge_latest(None, checked.accepted_from(), table.keys))
+            else:
+                table.upsert(checked.accepted_from())
+            files.write.mode("append").parquet(f"{table.root}/files/version=0")
     refused = checked.rejected.withColumn("_errors", validate.error_text())
     csv_cells(refused).write.mode("overwrite").option("header", True).option("escape", '"').csv(
         f"{run.root}/rejected/{contract.domain}/{contract.name}"

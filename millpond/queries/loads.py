@@ -13,6 +13,7 @@ from ..registry import register
 from ..session import scratch, table
 from ..shapes import ctes, view
 from ..sources import export, extract, files, loads
+from ..sources.keyed import Keyed
 
 BATCH = f"regexp_extract({FILE}, 'load_id=([0-9]+)', 1)"
 
@@ -200,10 +201,10 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("merge_latest", "A14", sql=f"with versions as ({VERSIONS}) {LATEST}")
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half a month merged into an empty table, then the other half into that: the newest load of a key wins."""
-    versions, target = _versions(spark, sf_dir), loads.Table(spark, scratch(spark, "silver"))
+    versions, target = _versions(spark, sf_dir), Keyed(spark, scratch(spark, "silver"), ["user_id"], 8)
     early, late = versions.where("load_id < '20240115'"), versions.where("load_id >= '20240115'")
     for batch in (early, late):
-        target.replace(loads.merge_latest(target.read(), batch, ["user_id"], "load_id"))
+        target.upsert(batch, "load_id")
     return target.read()
 
 
@@ -227,9 +228,9 @@ where before is distinct from event_type window w as (partition by user_id order
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history built in two merges equals the one built at once."""
     versions = _versions(spark, sf_dir).drop("value")
-    target = loads.Table(spark, scratch(spark, "silver"))
+    target = Keyed(spark, scratch(spark, "silver"), ["user_id"], 8)
     for batch in (versions.where("load_id < '20240115'"), versions.where("load_id >= '20240115'")):
-        target.replace(loads.merge_history(target.read(), batch, ["user_id"], "load_id"))
+        target.add_versions(batch, "load_id")
     return target.read()
 
 
@@ -253,7 +254,9 @@ def _gold_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     changed = orders.where("o_orderdate >= timestamp_ntz '1998-01-01'").drop("o_orderdate")
     batch = changed.withColumns({"total": F.col("total") * 2, "load_id": F.lit("2")})
-    return loads.merge_latest(orders.drop("o_orderdate"), batch, ["order_id"], "load_id")
+    target = Keyed(spark, scratch(spark, "gold"), ["order_id"], 8)
+    target.replace(orders.drop("o_orderdate"))
+    return target.upsert(batch, "load_id")
 
 
 # Rows of one load are told apart by their text, as they come from the files.

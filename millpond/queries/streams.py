@@ -9,7 +9,7 @@ from ..functions import loglines
 from ..registry import register
 from ..session import cut, scratch
 from ..shapes import ctes, view
-from ..sources.loads import Table
+from ..sources.keyed import Keyed
 from ..streaming import incidents as live
 from ..streaming import ingest
 from . import incidents, loads
@@ -26,13 +26,13 @@ def _land(df: DataFrame, folder: str, batches: list[str]) -> None:
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs, each reading only the files landed since the last; a third finds nothing."""
     root, versions = scratch(spark, "stream"), loads._versions(spark, sf_dir)
-    target, bronze = Table(spark, f"{root}/silver"), f"{root}/bronze"
+    target, bronze = Keyed(spark, f"{root}/silver", ["user_id"], 8), f"{root}/bronze"
     schema = versions.drop("load_id").schema
     for condition in ("load_id < '20240115'", "load_id >= '20240115'", None):
         if condition:
             # One landed file per day, named by the day.
             versions.where(condition).repartition("load_id").write.mode("append").partitionBy("load_id").parquet(bronze)
-        ingest.incremental_merge(spark, bronze, schema, target, ["user_id"], f"{root}/checkpoint")
+        ingest.incremental_merge(spark, bronze, schema, target, f"{root}/checkpoint")
     return target.read()
 
 
@@ -88,9 +88,9 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = WEEK.start
     _land(landed, f"{root}/runs", [f"created_us <= {middle}", f"created_us > {middle}"])
     stream = ingest.new_files(spark, f"{root}/runs", landed.schema, max_files=1)
-    counts, target = ingest.step_counts(stream, "1 hour", "1 day"), Table(spark, f"{root}/series")
-    keys = ["stage", "job_name", "status", "t"]
-    ingest.drain(ingest.upsert_into(target, keys), counts, f"{root}/checkpoint", "update")
+    counts = ingest.step_counts(stream, "1 hour", "1 day")
+    target = Keyed(spark, f"{root}/series", ["stage", "job_name", "status", "t"], 8)
+    ingest.drain(ingest.upsert_into(target), counts, f"{root}/checkpoint", "update")
     return target.read().select("stage", "job_name", "status", F.unix_micros("t").alias("t"), "value")
 
 

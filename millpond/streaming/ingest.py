@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.validate import FILE
 from ..plans.logs import first_copies
 from ..plans.series import run_status
-from ..sources.loads import Table, merge_latest
+from ..sources.keyed import Keyed
 
 
 def new_files(
@@ -37,23 +37,22 @@ def drain(writer: Callable[..., None], stream: DataFrame, checkpoint: str, mode:
     query.awaitTermination()
 
 
-def merge_into(target: Table, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that upserts new files: the latest file's row of a key wins. A batch run again after a failure
-    finds its number committed and does nothing."""
+def merge_into(target: Keyed) -> Callable[[DataFrame, int], None]:
+    """A batch writer that upserts new files: the latest file's row of a key wins. A batch run again after a failure comes to the
+    same table, and rewrites only the buckets it has keys of."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= target.batch() or batch.isEmpty():
-            return
-        target.replace(merge_latest(target.read(), batch, keys), batch=batch_id)
+        if not batch.isEmpty():
+            target.upsert(batch)
 
     return write
 
 
 def incremental_merge(
-    spark: SparkSession, bronze: str, schema: T.StructType, target: Table, keys: Sequence[str], checkpoint: str
+    spark: SparkSession, bronze: str, schema: T.StructType, target: Keyed, checkpoint: str
 ) -> None:
     """One run of an incremental Silver entity: the files landed since the last run, merged by key."""
-    drain(merge_into(target, keys), new_files(spark, bronze, schema), checkpoint)
+    drain(merge_into(target), new_files(spark, bronze, schema), checkpoint)
 
 
 def unreplayed(lines: DataFrame, delay: str, time: str = "event_time", key: str = "dedup_key") -> DataFrame:
@@ -94,13 +93,11 @@ def step_counts(runs: DataFrame, step: str, delay: str, time: str = "created_at"
     return counted.select("stage", "job_name", "status", F.col("window.end").alias("t"), "value")
 
 
-def upsert_into(target: Table, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert_into(target: Keyed) -> Callable[[DataFrame, int], None]:
     """A batch writer for aggregates in update mode: the newest value of a key replaces the older one."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= target.batch() or batch.isEmpty():
-            return
-        order: Column = F.lit(batch_id)
-        target.replace(merge_latest(target.read(), batch.withColumn("_batch", order), keys, "_batch"), batch=batch_id)
+        if not batch.isEmpty():
+            target.upsert(batch.withColumn("_batch", F.lit(batch_id)), "_batch")
 
     return write

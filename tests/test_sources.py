@@ -14,6 +14,7 @@ from millpond.contracts import Contract, ContractError, Field, Load
 from millpond.functions import loglines
 from millpond.plans import logs
 from millpond.sources import export, extract, files, loads
+from millpond.sources.keyed import Keyed
 from millpond.streaming import ingest
 
 
@@ -180,14 +181,39 @@ def test_refresh_refuses_a_history(spark, folder):
 
 
 def test_a_batch_run_again_changes_nothing(spark, folder):
-    target = loads.Table(spark, folder)
-    write = ingest.merge_into(target, ["id"])
+    target = Keyed(spark, folder, ["id"], 4)
+    write = ingest.merge_into(target)
     batch = spark.range(3).withColumn("_file", F.lit("a"))
     write(batch, 0)
     write(batch, 0)
-    assert target.version() == 1
+    assert sorted(r["id"] for r in target.read().collect()) == [0, 1, 2]
     write(batch.withColumn("id", F.col("id") + 10), 1)
-    assert (target.version(), target.read().count()) == (2, 6)
+    assert target.read().count() == 6
+
+
+def _files(folder):
+    return {f"{d}/{n}": os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(folder) for n in names if n.startswith("part-")}
+
+
+@pytest.mark.parametrize("mode", ["upsert", "add_versions"])
+def test_a_merge_rewrites_only_the_buckets_it_touches(spark, folder, mode):
+    """A batch with keys of one bucket leaves the files of the others as they were; run again it changes no row."""
+    target = Keyed(spark, folder, ["k"], 8)
+    rows = spark.range(400).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit("f1").alias("load"))
+    getattr(target, mode)(rows, "load")
+    before = _files(f"{folder}/rows")
+    assert len({os.path.dirname(f) for f in before}) == 8
+    mine = [r.k for r in rows.where(target._bucket(rows) == 3).collect()]
+    # Keys of another number type meet theirs.
+    batch = rows.where(F.col("k").isin(mine[:2])).select(F.col("k").cast("int"), F.lit("new").alias("v"), F.lit("f2").alias("load"))
+    getattr(target, mode)(batch, "load")
+    first = sorted(map(tuple, target.read().collect()), key=str)
+    after = _files(f"{folder}/rows")
+    gone = {os.path.basename(os.path.dirname(f)) for f, _ in set(before.items()) ^ set(after.items())}
+    assert gone == {"_bucket=3"}
+    assert sum("new" in r for r in first) == 2 and len(first) == (400 if mode == "upsert" else 402)
+    getattr(target, mode)(batch, "load")
+    assert sorted(map(tuple, target.read().collect()), key=str) == first
 
 
 def test_json_keys_and_csv_cells(spark):
