@@ -177,12 +177,12 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 SINCE, UNTIL = datetime(2024, 1, 5, 22, tzinfo=UTC), datetime(2024, 1, 7, 3, tzinfo=UTC)
 
 
-def _archive(spark: SparkSession, sf_dir: str) -> str:
-    """The newer records as gzipped NDJSON under namespace, date and hour."""
+def _archive(spark: SparkSession, sf_dir: str, mixed: bool = False) -> str:
+    """The newer records as gzipped NDJSON under namespace, date and hour; if `mixed`, some days without their hours."""
     folder = scratch(spark, "archive")
     rows = view(spark, sf_dir, "log_v2_v")
     fields = [c for c in logs.V2_FIELDS if c in rows.columns]
-    rows.select(
+    lines = rows.select(
         "namespace",
         F.col("day").alias("date"),
         F.substring("time", 12, 2).alias("hour"),
@@ -191,7 +191,11 @@ def _archive(spark: SparkSession, sf_dir: str) -> str:
             # Blank lines and lines that are no object are not records; a lone carriage return ends none.
             F.when(F.col("event_id") % 50 == 0, "\n\n[1]\n \r").otherwise(""),
         ).alias("value"),
-    ).repartition("date").write.partitionBy("namespace", "date", "hour").option("compression", "gzip").text(folder)
+    ).repartition("date")
+    flat = F.col("date").isin("2024-01-06", "2024-01-07", "2024-01-20") if mixed else F.lit(False)
+    lines.where(~flat).write.partitionBy("namespace", "date", "hour").option("compression", "gzip").text(folder)
+    if mixed:
+        lines.where(flat).drop("hour").write.mode("append").partitionBy("namespace", "date").option("compression", "gzip").text(folder)
     return folder
 
 
@@ -209,17 +213,12 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(
-    "archive_window",
-    "S1",
-    "S2",
-    "S3",
-    sql=ctes("log_v2_v") + f"""select time[12:13] as hour, count(*) as n from log_v2_v where namespace = 'dev'
-    and {NS} >= 1704492000000000000 and {NS} < 1704596400000000000 group by 1""",
-)
-def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the window's partitions are listed, files uploaded too early are skipped, and event time still decides."""
-    lines = files.ndjson_lines(spark, _archive(spark, sf_dir), "*.txt.gz").where(F.col("namespace") == "dev")
+WINDOWED = ctes("log_v2_v") + f"""select time[12:13] as hour, count(*) as n from log_v2_v where namespace = 'dev'
+and {NS} >= 1704492000000000000 and {NS} < 1704596400000000000 group by 1"""
+
+
+def _in_window(spark: SparkSession, folder: str) -> DataFrame:
+    lines = files.ndjson_lines(spark, folder, "*.txt.gz").where(F.col("namespace") == "dev")
     pruned = lines.where(files.window_partitions(SINCE, UNTIL, timedelta(hours=1))).where(
         files.uploaded_since(SINCE)
     )
@@ -228,3 +227,14 @@ def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = records.where((at >= F.lit(SINCE)) & (at < F.lit(UNTIL)))
     return inside.groupBy(F.substring("r.time", 12, 2).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
+
+@register("archive_window", "S1", "S2", "S3", sql=WINDOWED)
+def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the window's partitions are read, files uploaded too early are skipped, and event time still decides."""
+    return _in_window(spark, _archive(spark, sf_dir))
+
+
+@register("archive_window_mixed_depth", "A4", "S1", "S3", sql=WINDOWED)
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same window over an archive that keeps some days by the hour and others whole."""
+    return _in_window(spark, _archive(spark, sf_dir, mixed=True))

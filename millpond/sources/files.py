@@ -64,28 +64,40 @@ def parquet_batches(spark: SparkSession, folder: str) -> DataFrame:
 def ndjson_lines(spark: SparkSession, folder: str, pattern: str = "*.ndjson.gz") -> DataFrame:
     """Records of gzipped NDJSON as JSON text; objects of other names than `pattern` are none. Only a line feed ends a record; blank lines are no record.
 
-    The hive partitions of the path (`namespace=`, `date=`, `hour=`) become columns, so a filter on them prunes files.
+    `namespace`, `date` and `hour` come from the path of an object, at whatever depth it lies: one under its date alone has no hour,
+    and one under no such folder has none of them. They are expressions of a hidden column of the file, so a filter on them,
+    or on `uploaded_at`, leaves out files before any is opened.
     """
+    path = F.col("_metadata.file_path")
     lines = (
         spark.read.option("lineSep", "\n")
-        .option("basePath", folder)
-        .option("recursiveFileLookup", False)
+        .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .text(folder)
-        .withColumn(FILE, F.col("_metadata.file_path"))
-        .withColumn("uploaded_at", F.col("_metadata.file_modification_time"))
+        .select(
+            F.col("value").alias("record"),
+            *[_folder_value(path, name).alias(name) for name in ("namespace", "date")],
+            _folder_value(path, "hour").try_cast("int").alias("hour"),
+            path.alias(FILE),
+            F.col("_metadata.file_modification_time").alias("uploaded_at"),
+        )
     )
-    return lines.where(F.col("value").rlike(r"\S")).withColumnRenamed("value", "record")
+    return lines.where(F.col("record").rlike(r"\S"))
+
+
+def _folder_value(path: Column, name: str) -> Column:
+    """What the innermost folder `name=value` of a path says."""
+    return F.nullif(F.regexp_extract(path, f"^.*/{name}=([^/]+)/", 1), F.lit(""))
 
 
 def window_partitions(since: datetime, until: datetime, lookback: timedelta = timedelta(0)) -> Column:
-    """The `date` and `hour` partitions that can hold an event of [since, until), widened by `lookback` at the end for
-    a layout that is partitioned by when a line was copied."""
+    """The objects by `date` and `hour` that can hold an event of [since, until), widened by `lookback` at the end for
+    a layout that is partitioned by when a line was copied. An object without an hour can hold any of its day."""
     last = until + lookback - timedelta(microseconds=1)
     days = [(since + timedelta(days=n)).date().isoformat() for n in range((last.date() - since.date()).days + 1)]
     first, final = F.col("date") == days[0], F.col("date") == days[-1]
-    inside = F.col("date").isin(*days)
-    return inside & (~first | (F.col("hour") >= since.hour)) & (~final | (F.col("hour") <= last.hour))
+    hour, inside, any_hour = F.col("hour"), F.col("date").isin(*days), F.col("hour").isNull()
+    return inside & (~first | any_hour | (hour >= since.hour)) & (~final | any_hour | (hour <= last.hour))
 
 
 def uploaded_since(since: datetime, slack: timedelta = timedelta(minutes=15)) -> Column:

@@ -50,6 +50,25 @@ def test_ndjson_keeps_carriage_returns(spark, folder):
     assert kept.count() == 0
 
 
+def test_an_archive_of_mixed_depth(spark, folder):
+    """Objects under an hour, a date or neither are one archive, and a filter on what their paths say opens no other file."""
+    places = ["namespace=dev/date=2024-01-01/hour=05", "namespace=dev/date=2024-01-01", "namespace=dev/date=2024-01-02", "namespace=prod/date=2024-01-01/hour=07", ""]
+    for n, place in enumerate(places):
+        os.makedirs(f"{folder}/{place}", exist_ok=True)
+        with gzip.open(f"{folder}/{place}/x{n}.ndjson.gz", "wt") as out:
+            out.write(f'{{"n": {n}}}\n')
+    lines = files.ndjson_lines(spark, folder)
+    found = {(r["namespace"], r["date"], r["hour"]) for r in lines.collect()}
+    assert found == {("dev", "2024-01-01", 5), ("dev", "2024-01-01", None), ("dev", "2024-01-02", None), ("prod", "2024-01-01", 7), (None, None, None)}
+    window = files.window_partitions(datetime(2024, 1, 1, 6, tzinfo=UTC), datetime(2024, 1, 1, 9, tzinfo=UTC))
+    kept = lines.where(F.col("namespace") == "dev").where(window)
+    # An object without an hour may hold the window's lines; the one of another hour does not.
+    assert [(r["date"], r["hour"]) for r in kept.collect()] == [("2024-01-01", None)]
+    kept._jdf.queryExecution().executedPlan().executeCollect()
+    scan = kept._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 1
+
+
 def test_manifests_of_another_run_are_refused(spark, folder):
     os.makedirs(folder)
     good = {"version": "1", "stage": "dev", "run_id": "r", "results": [{"stage": "dev", "run_id": "r", "identity": "i"}]}
