@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import holds
+
 # The levels from low to high, the words that mean one of them, the JSON and logfmt keys that hold one,
 # and the shapes of a line that states one.
 SEVERITIES = ("debug", "info", "warning", "error", "critical")
@@ -112,5 +114,5 @@ def split_stamp(line: Column) -> tuple[Column, Column]:
 
 
 def holds_text(message: Column, text: str) -> Column:
-    """Case-insensitive search. Lower case stands for case folding: they differ for letters such as the sharp s."""
-    return F.contains(F.lower(message), F.lower(F.lit(text)))
+    """Case-folded search."""
+    return holds(message, text)

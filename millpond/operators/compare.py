@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import holds
+
 MIN_RETENTION_DAYS = 7
 
 
@@ -78,8 +80,8 @@ def retention_candidates(
 
 
 def contains(column: Column, text: str) -> Column:
-    """Case-insensitive substring; the text stands for itself, wildcards included."""
-    return F.lower(column).contains(text.lower())
+    """Case-folded substring; the text stands for itself, wildcards included."""
+    return holds(column, text)
 
 
 def keyset_page(

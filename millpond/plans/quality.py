@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import json_ascii
+
 OUTCOMES = ("passed", "warn", "error", "not_run", "unknown")
 IDENTITY = (
     "stage", "domain", "product", "table_name", "column_name", "engine", "check_id", "run_id", "engine_run_id",
@@ -25,7 +27,8 @@ def identity(parts: Sequence[str] = IDENTITY) -> Column:
 
     A JSON array keeps nulls and separators apart, so two different lists of parts never give one text.
     """
-    return F.sha2(F.to_json(F.array(*[F.col(p).cast("string") for p in parts])), 256)
+    listed = F.concat_ws(",", *[json_ascii(F.col(p).cast("string")) for p in parts])
+    return F.sha2(F.concat(F.lit("["), listed, F.lit("]")), 256)
 
 
 def record_problems(metrics: str = "metrics") -> Column:
