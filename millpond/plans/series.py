@@ -216,36 +216,11 @@ def sum_over_time(samples: DataFrame, grid: Grid, keys: Sequence[str], value: st
 
 
 def increase(samples: DataFrame, grid: Grid, keys: Sequence[str], value: str = "counter") -> DataFrame:
-    """A counter's increase over each step, a fall read as a restart from zero.
-
-    Deltas are taken inside slots of a minute, then across them, so no window holds a series whole: a slot has at most
-    the distinct times of one minute, and a series at most the minutes of seven days.
-    """
-    slot = step_end(F.col("ts_us"), MINUTE)
-    times = (
-        samples.where(grid.holds(F.col("ts_us")))
-        .groupBy(*keys, "ts_us")
-        .agg(F.max(value).alias("v"))
-        .withColumn("slot", slot)
-    )
-    inner = Window.partitionBy(*keys, "slot").orderBy("ts_us")
-    folded = (
-        times.withColumn("d", _delta(F.col("v"), F.lag("v").over(inner)))
-        .groupBy(*keys, "slot")
-        .agg(
-            F.sum("d").alias("inside"),
-            F.min_by("v", "ts_us").alias("first"),
-            F.max_by("v", "ts_us").alias("last"),
-        )
-    )
-    outer = Window.partitionBy(*keys).orderBy("slot")
-    joined = folded.withColumn("between", _delta(F.col("first"), F.lag("last").over(outer)))
-    total = F.sum(F.coalesce("inside", F.lit(0)) + F.coalesce("between", F.lit(0)))
-    return joined.groupBy(*keys, grid.point(F.col("slot")).alias("t")).agg(total.alias("value"))
-
-
-def _delta(now: Column, before: Column) -> Column:
-    return F.when(now >= before, now - before).when(before.isNotNull(), now)
+    """A counter's increase over each step of the grid, as PromQL's `increase` over a range of one step defines it: from the samples
+    inside the step alone, restarts added back, stretched towards the step's edges. A step with fewer than two has no point."""
+    inside = samples.where(grid.holds(F.col("ts_us")))
+    times = inside.groupBy(*keys, "ts_us").agg(F.max(value).alias("v")).withColumn("t", grid.point(F.col("ts_us")))
+    return _stretched(times, keys, grid.step)
 
 
 def increments(
@@ -289,6 +264,13 @@ def rate(
     t = step_end(F.col("ts_us"), step)
     windows = F.explode(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda i: t + i.cast("bigint") * step))
     times = samples.groupBy(*keys, "ts_us").agg(F.max(value).alias("v")).withColumn("t", windows)
+    gain = _stretched(times, keys, span * step)
+    return gain.withColumn("value", F.col("value") / F.lit(span * step / 1e6))
+
+
+def _stretched(times: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """The increase over each window (t - width, t] of samples `ts_us`, `v`, extrapolated to its edges; windows of one sample have none.
+    A window of the plan holds the distinct times of one such window."""
     by_window = Window.partitionBy(*keys, "t").orderBy("ts_us")
     fallen = F.when(F.col("v") < F.lag("v").over(by_window), F.lag("v").over(by_window)).otherwise(F.lit(0))
     folded = (
@@ -308,14 +290,14 @@ def rate(
     gain = (F.col("last") - F.col("first") + F.col("restarts")).cast("double")
     sampled = (F.col("last_us") - F.col("first_us")) / F.lit(seconds)
     apart = sampled / (F.col("n") - 1)
-    head = (F.col("first_us") - (F.col("t") - span * step)) / F.lit(seconds)
+    head = (F.col("first_us") - (F.col("t") - width)) / F.lit(seconds)
     tail = (F.col("t") - F.col("last_us")) / F.lit(seconds)
     head = F.when(head >= apart * 1.1, apart / 2).otherwise(head)
-    zero = sampled * (F.col("first") / gain)
+    # A counter is not taken back below zero. Without a gain there is nothing to stretch.
+    zero = F.when(gain > 0, sampled * (F.col("first") / gain))
     head = F.when((gain > 0) & (F.col("first") >= 0) & (zero < head), zero).otherwise(head)
     tail = F.when(tail >= apart * 1.1, apart / 2).otherwise(tail)
-    value_column = gain * ((sampled + head + tail) / sampled) / F.lit(span * step / seconds)
-    return folded.select(*keys, "t", value_column.alias("value"))
+    return folded.select(*keys, "t", (gain * ((sampled + head + tail) / sampled)).alias("value"))
 
 
 def sum_by(points: DataFrame, labels: DataFrame | None, by: Sequence[str]) -> DataFrame:

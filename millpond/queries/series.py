@@ -156,16 +156,29 @@ def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.sum_over_time(_samples(spark, sf_dir), WEEK, ["series"], "counter")
 
 
+def _stretched(source: str, width: int) -> dict[str, str]:
+    """The steps of an extrapolated increase over the windows (t - width, t] of `source`."""
+    return {
+        "stepped": f"select *, lag(v) over (partition by series, t order by ts_us) as before from {source}",
+        "folded": """select series, t, count(*) as n, min(ts_us) as first_us, max(ts_us) as last_us,
+        arg_min(v, ts_us) as first, arg_max(v, ts_us) as last, sum(case when v < before then before else 0 end)
+        as restarts from stepped group by 1, 2 having count(*) >= 2""",
+        "spans": f"""select *, cast(last - first + restarts as double) as gain, (last_us - first_us) / 1e6::double as sampled,
+        (first_us - (t - {width})) / 1e6::double as head0, (t - last_us) / 1e6::double as tail0 from folded""",
+        "heads": """select *, case when head0 >= sampled / (n - 1) * 1.1::double then sampled / (n - 1) / 2 else head0 end
+        as head1, case when tail0 >= sampled / (n - 1) * 1.1::double then sampled / (n - 1) / 2 else tail0 end as tail
+        from spans""",
+        "gains": """select series, t, gain * ((sampled + case when gain > 0 and first >= 0 and sampled * (first / gain) < head1
+        then sampled * (first / gain) else head1 end + tail) / sampled) as gained from heads""",
+    }
+
+
 @register(
     "counter_increase",
     "P9",
     "F15",
-    sql=ctes(
-        "samples_v",
-        inside=INSIDE,
-        stepped="select *, lag(counter) over (partition by series order by ts_us) as before from inside",
-    ) + """select series, t, cast(sum(case when before is null then 0 when counter >= before then counter - before
-    else counter end) as bigint) as value from stepped group by 1, 2""",
+    sql=ctes("samples_v", inside=INSIDE, own="select series, t, ts_us, counter as v from inside", **_stretched("own", WEEK.step))
+    + "select series, t, gained as value from gains",
 )
 def _increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.increase(_samples(spark, sf_dir), WEEK, ["series"])
@@ -199,18 +212,8 @@ def _increments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "samples_v",
         spread=f"""select series, ts_us, counter as v, {HOURLY} + i * {series.HOUR} as t from samples_v
         cross join (select unnest([0, 1]) as i)""",
-        stepped="select *, lag(v) over (partition by series, t order by ts_us) as before from spread",
-        folded="""select series, t, count(*) as n, min(ts_us) as first_us, max(ts_us) as last_us,
-        arg_min(v, ts_us) as first, arg_max(v, ts_us) as last, sum(case when v < before then before else 0 end)
-        as restarts from stepped group by 1, 2 having count(*) >= 2""",
-        spans=f"""select *, cast(last - first + restarts as double) as gain, (last_us - first_us) / 1e6::double as sampled,
-        (first_us - (t - {2 * series.HOUR})) / 1e6::double as head0, (t - last_us) / 1e6::double as tail0 from folded""",
-        heads="""select *, case when head0 >= sampled / (n - 1) * 1.1::double then sampled / (n - 1) / 2 else head0 end
-        as head1, case when tail0 >= sampled / (n - 1) * 1.1::double then sampled / (n - 1) / 2 else tail0 end as tail
-        from spans""",
-        rates=f"""select *, gain * ((sampled + case when gain > 0 and first >= 0 and sampled * (first / gain) < head1
-        then sampled * (first / gain) else head1 end + tail) / sampled) / {2 * series.HOUR / 1e6}::double as rate
-        from heads""",
+        **_stretched("spread", 2 * series.HOUR),
+        rates=f"select series, t, gained / {2 * series.HOUR / 1e6}::double as rate from gains",
         labels="select distinct series, stage, component from samples_v",
     ) + """select stage, component, t, round(cast(sum(cast(rate as decimal(30, 10))) as double), 6) as value from rates
     join labels using (series) where stage is not null group by 1, 2, 3""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -38,6 +39,32 @@ def test_grid_bounds():
     assert all(duration // step <= 360 for duration, step in series.RANGES.values())
 
 
+def _prom_increase(points, start, end):
+    """A counter's increase over (start, end] by Prometheus's definition, step by step."""
+    gained, last = 0.0, points[0][1]
+    for _, v in points[1:]:
+        gained += v if v < last else v - last
+        last = v
+    (first_t, first_v), (last_t, _) = points[0], points[-1]
+    sampled, to_start, to_end = (last_t - first_t) / 1e6, (first_t - start) / 1e6, (end - last_t) / 1e6
+    average = sampled / (len(points) - 1)
+    if to_start >= average * 1.1:
+        to_start = average / 2
+    if gained > 0 and first_v >= 0:
+        to_start = min(to_start, sampled * first_v / gained)
+    if to_end >= average * 1.1:
+        to_end = average / 2
+    return gained * (sampled + to_start + to_end) / sampled
+
+
+def test_increase_does_not_reach_across_steps(spark):
+    """Two samples a step, a minute apart: what happens between two steps belongs to neither."""
+    data = [("a", 4 * MINUTE, 10), ("a", 5 * MINUTE, 20), ("a", 9 * MINUTE, 60), ("a", 10 * MINUTE, 70), ("b", 3 * MINUTE, 7)]
+    df = spark.createDataFrame(data, "series string, ts_us bigint, counter bigint")
+    got = {(r["series"], r["t"] // MINUTE): r["value"] for r in series.increase(df, series.Grid(10 * MINUTE, 10 * MINUTE, 5 * MINUTE), ["series"]).collect()}
+    assert got == {("a", 5): 15.0, ("a", 10): 15.0}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_increase_and_increments_equal_a_walk(spark, seed):
     rng = random.Random(seed)
@@ -45,14 +72,12 @@ def test_increase_and_increments_equal_a_walk(spark, seed):
     samples = sorted({(s, rng.randrange(1, 30 * MINUTE)) for s in "ab" for _ in range(60)})
     data = [(s, t, rng.randrange(50)) for s, t in samples]
     df = spark.createDataFrame(data, "series string, ts_us bigint, counter bigint")
-    expected: dict = {}
-    before: dict = {}
+    steps: dict = {}
     for s, t, v in data:
-        point = -(-t // (5 * MINUTE)) * 5 * MINUTE
-        gain = 0 if s not in before else v - before[s] if v >= before[s] else v
-        expected[s, point] = expected.get((s, point), 0) + gain
-        before[s] = v
-    assert {(r["series"], r["t"]): r["value"] for r in series.increase(df, grid, ["series"]).collect()} == expected
+        steps.setdefault((s, -(-t // (5 * MINUTE)) * 5 * MINUTE), []).append((t, v))
+    expected = {key: _prom_increase(points, key[1] - 5 * MINUTE, key[1]) for key, points in steps.items() if len(points) > 1}
+    got = {(r["series"], r["t"]): r["value"] for r in series.increase(df, grid, ["series"]).collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], rel_tol=1e-12) for k in got)
     minutes: dict = {}
     for s, t, v in data:
         minutes.setdefault((s, -(-t // MINUTE)), []).append(v)
