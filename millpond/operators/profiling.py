@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import exact
+
 # Classifications that allow counts and values, or counts alone. Any other allows no profile.
 WITH_VALUES = ("Public", "Internal")
 COUNTS_ONLY = ("Confidential",)
@@ -53,16 +55,15 @@ def profile(df: DataFrame, classification: str | None, role: str = "Fact") -> Da
     ]
     values: list[Column] = []
     if gate == "values":
-        # Means are added as exact decimals, so they do not depend on the order of the rows.
         weight = F.sum(F.when(F.col("measure").isNotNull(), F.col("n")))
-        total = F.sum(F.col("measure").cast("decimal(28, 6)") * F.col("n"))
-        values = [
-            F.min("measure").alias("min_value"),
-            F.max("measure").alias("max_value"),
-            (total.cast("double") / weight).alias("mean_value"),
-        ]
+        values = [F.min("measure").alias("min_value"), F.max("measure").alias("max_value"), weight.alias("_weight")]
     share = F.col("null_count") / F.col("row_count")
-    return folded.groupBy("column_name").agg(*counts, *values).withColumn("null_proportion", share)
+    found = folded.groupBy("column_name").agg(*counts, *values)
+    if gate == "values":
+        # Added exactly, so a mean does not depend on the order of the rows, and neither tiny nor huge values are cut.
+        added = exact.sums(folded, ["column_name"], ["measure"], "n")
+        found = found.join(added, "column_name", "left").withColumn("mean_value", F.col("measure") / F.col("_weight")).drop("measure", "_weight")
+    return found.withColumn("null_proportion", share)
 
 
 def _measure(f: T.StructField) -> Column:

@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import exact
 from .marts import MONEY
 
 
-def _chart(mart: DataFrame, groups: Sequence[str | Column], measures: Sequence[Column], limit: int) -> DataFrame:
-    table = mart.groupBy(*groups).agg(*measures)
-    names = table.columns
-    first = names[-len(measures)]
-    return table.orderBy(F.desc_nulls_last(first), *names[: -len(measures)]).limit(limit)
+def _chart(
+    mart: DataFrame, groups: Sequence[str | Column], measures: Sequence[Column], limit: int, means: Sequence[str] = ()
+) -> DataFrame:
+    """The largest groups by the first measure; `means` are averages, which come after the measures."""
+    table = mart.groupBy(*groups).agg(*measures) if measures else mart.select(*groups).distinct()
+    names = table.columns[: len(table.columns) - len(measures)]
+    table = exact.with_means(mart, table, names, means) if means else table
+    return table.orderBy(F.desc_nulls_last(table.columns[len(names)]), *names).limit(limit)
 
 
 def _sum(column: str, kind: str = MONEY) -> Column:
@@ -26,10 +30,6 @@ def _units(column: str) -> Column:
     return F.sum(column).cast("bigint").alias(column)
 
 
-def _avg(column: str) -> Column:
-    return F.round(F.avg(column), 10).alias(column)
-
-
 def daily_net_revenue(by_day: DataFrame) -> DataFrame:
     day = F.date_trunc("day", "order_date").cast("date").alias("day")
     return _chart(by_day, [day, "region"], [_sum("net_revenue")], 1000)
@@ -48,7 +48,7 @@ def discount_impact(by_channel: DataFrame) -> DataFrame:
 
 
 def health_by_segment(health: DataFrame) -> DataFrame:
-    return _chart(health, ["segment", "region"], [_avg("health_score")], 100)
+    return _chart(health, ["segment", "region"], [], 100, ["health_score"])
 
 
 def arr_at_risk(churn: DataFrame) -> DataFrame:
@@ -56,11 +56,11 @@ def arr_at_risk(churn: DataFrame) -> DataFrame:
 
 
 def sla_by_priority(sla: DataFrame) -> DataFrame:
-    return _chart(sla, ["priority", "segment"], [_avg("sla_rate")], 100)
+    return _chart(sla, ["priority", "segment"], [], 100, ["sla_rate"])
 
 
 def account_table(health: DataFrame) -> DataFrame:
-    return _chart(health, ["account_name", "segment"], [_sum("arr"), _avg("health_score")], 100)
+    return _chart(health, ["account_name", "segment"], [_sum("arr")], 100, ["health_score"])
 
 
 def inventory_by_status(position: DataFrame) -> DataFrame:
@@ -77,8 +77,8 @@ def stockout_table(risk: DataFrame) -> DataFrame:
 
 
 def supplier_on_time(reliability: DataFrame) -> DataFrame:
-    return _chart(reliability, ["supplier_name", "risk_tier"], [_avg("on_time_rate")], 100)
+    return _chart(reliability, ["supplier_name", "risk_tier"], [], 100, ["on_time_rate"])
 
 
 def supplier_lateness(reliability: DataFrame) -> DataFrame:
-    return _chart(reliability, ["supplier_name", "risk_tier"], [_avg("avg_days_late")], 100)
+    return _chart(reliability, ["supplier_name", "risk_tier"], [], 100, ["avg_days_late"])

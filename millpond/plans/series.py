@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import exact
 from .marts import latest
 
 SECOND = 1_000_000
@@ -301,11 +302,11 @@ def _stretched(times: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
 
 
 def sum_by(points: DataFrame, labels: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Series reduced to labels. A series without a stage is left out. Added as decimals, so in any order."""
+    """Series reduced to labels. A series without a stage is left out. Sums are exact, so the same in any order."""
     rows = points if labels is None else points.join(labels, "series")
     if "stage" in by:
         rows = rows.where(F.col("stage").isNotNull())
-    return rows.groupBy(*by, "t").agg(F.sum(F.col("value").cast("decimal(30, 10)")).cast("double").alias("value"))
+    return exact.sums(rows, [*by, "t"], ["value"])
 
 
 def newest_labels(labels: DataFrame, keys: Sequence[str], at: int, within: int = 2 * MINUTE) -> DataFrame:
