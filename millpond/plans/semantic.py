@@ -1,11 +1,11 @@
-"""Semantic models: metrics over a star of datasets, executed as one join and one aggregate."""
+"""Semantic models: metrics over a star of datasets, folded before they are joined and once after."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.validate import repeated_keys
@@ -48,30 +48,38 @@ class Model:
     ) -> DataFrame:
         """Metrics by dimensions. A dimension is `dataset.field`, or `dataset.field@grain` for a time field.
 
-        Only the relationships the dimensions name are joined. With `verify`, a target whose key repeats is refused, as
-        it would count its fact rows more than once.
+        Metrics are sums, so the fact is folded to the keys and fields that the dimensions ask for before any join: a dimension meets one
+        row per key, and a second fold adds these up. Only the relationships the dimensions name are joined. With `verify`, a
+        target whose key repeats is refused, as it would count its fact rows more than once.
         """
         wanted = [self._dimension(d) for d in dimensions]
         for name in metrics:
             if name not in self.metrics:
                 raise ModelError(f"unknown metric {name!r}")
-        rows = tables[self.fact].alias(self.fact)
-        joined: list[str] = []
-        for dataset, _, _ in wanted:
-            if dataset == self.fact or dataset in joined:
-                continue
-            link = self.link_to(dataset)
-            target = tables[dataset]
-            if verify and not repeated_keys(target, [link.to_column]).isEmpty():
-                raise ModelError(f"{dataset}.{link.to_column} repeats, so {dataset} would multiply the fact's rows")
-            on = F.col(f"{self.fact}.{link.from_column}") == F.col(f"{dataset}.{link.to_column}")
-            rows = rows.join(target.alias(dataset), on, "left")
-            joined.append(dataset)
-        keys = []
-        for dataset, field, grain in wanted:
-            column = F.col(f"{dataset}.{field}")
-            keys.append((F.date_trunc(grain, column).cast("date") if grain else column).alias(field))
-        return rows.groupBy(*keys).agg(*[F.expr(self.metrics[name]).alias(name) for name in metrics])
+        links = {dataset: self.link_to(dataset) for dataset, _, _ in wanted if dataset != self.fact}
+        if verify:
+            for dataset, link in links.items():
+                if not repeated_keys(tables[dataset], [link.to_column]).isEmpty():
+                    raise ModelError(f"{dataset}.{link.to_column} repeats, so {dataset} would multiply the fact's rows")
+
+        def fields(dataset: str) -> list[Column]:
+            return [
+                (F.date_trunc(grain, f"{dataset}.{field}").cast("date") if grain else F.col(f"{dataset}.{field}")).alias(f"_key{n}")
+                for n, (owner, field, grain) in enumerate(wanted)
+                if owner == dataset
+            ]
+
+        fact = tables[self.fact].alias(self.fact)
+        own = [F.col(f"{self.fact}.{link.from_column}").alias(f"_{dataset}") for dataset, link in links.items()]
+        rows = fact.groupBy(*own, *fields(self.fact)).agg(*[F.expr(self.metrics[name]).alias(name) for name in metrics])
+        keys = [F.col(f"_key{n}").alias(field) for n, (_, field, _) in enumerate(wanted)]
+        if not links:
+            return rows.select(*keys, *metrics)
+        for dataset, link in links.items():
+            target = tables[dataset].alias(dataset)
+            target = target.select(F.col(f"{dataset}.{link.to_column}").alias(f"_of_{dataset}"), *fields(dataset))
+            rows = rows.join(target, F.col(f"_{dataset}") == F.col(f"_of_{dataset}"), "left")
+        return rows.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in metrics])
 
     def _dimension(self, text: str) -> tuple[str, str, str | None]:
         path, _, grain = text.partition("@")

@@ -248,3 +248,13 @@ def test_semantic_model_refuses_what_it_does_not_hold(spark):
     tables["dim_account"] = accounts.union(accounts)
     with pytest.raises(semantic.ModelError):
         semantic.SALES.metric_by(tables, ["net_revenue"], ["dim_account.segment"])
+
+
+def test_metrics_are_folded_before_they_are_joined(spark):
+    """The fact is summed to the asked keys below the join, and a dimension brings only its asked fields."""
+    fact = spark.range(1000).selectExpr("id % 10 as account_id", "'fulfilled' as order_status", "1.0D as net_amount", "date'2024-01-31' + int(id % 60) as order_date")
+    accounts = spark.range(10).selectExpr("id as account_id", "id % 3 as segment", "'x' as account_name")
+    found = semantic.SALES.metric_by({"fct_order_lines": fact, "dim_account": accounts}, ["net_revenue"], ["dim_account.segment", "fct_order_lines.order_date@month"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join") < plan.rindex("Aggregate") and "account_name" not in plan
+    assert sum(r["net_revenue"] for r in found.collect()) == 1000.0 and found.columns == ["segment", "order_date", "net_revenue"]
