@@ -49,6 +49,9 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+# The states and reasons in the rules below, which policies and incidents refer to.
+
+
 def stale(observed: Column, now: int, max_age: Column) -> Column:
     return F.lit(now) >= observed + max_age
 
@@ -75,11 +78,17 @@ def latest_success(success: Column, now: int, max_age: Column) -> tuple[Column,
 
 
 def expected_run(
-    schedule: Column, declared_running: Column, due: Column, last_started: Column, now: int, grace: int
+    schedule: Column, declared_running: Column, due: Column, last_started: Column, now: int, grace: int,
+    read: Column | None = None, max_age: int | None = None,
 ) -> tuple[Column, Column]:
-    """A due run that never started is critical by itself: a scheduler that is down reports nothing."""
+    """A due run that never started is critical by itself: a scheduler that is down reports nothing.
+
+    `read` is when the schedule was read; what was read `max_age` ago or earlier says nothing any more.
+    """
+    old = F.lit(False) if read is None or max_age is None else stale(read, now, F.lit(max_age))
     return rules(
         (schedule.isNull(), "unknown", "no observation"),
+        (old, "unknown", "observation is stale"),
         (
             (schedule == "stopped") & declared_running,
             "warning",
@@ -95,15 +104,17 @@ def expected_run(
 
 
 def freshness(
-    schedule: Column, owed: Column, not_yet_due: Column, success: Column, now: int, grace: int
+    schedule: Column, owed: Column, not_yet_due: Column, success: Column, now: int, grace: int, unreadable: Column | None = None
 ) -> tuple[Column, Column]:
     """Whether the job kept its cadence: a success since the owed due time, or that time still inside its grace.
 
     A job without a running schedule has no cadence to keep. A missing success is unknown: the runs read are a window, so
-    never and long ago look alike.
+    never and long ago look alike. `unreadable` marks a cadence that nobody could read.
     """
     return rules(
-        (schedule.isNull() | (schedule != "running"), "disabled", "schedule is not running"),
+        (schedule == "stopped", "disabled", "schedule is stopped"),
+        (schedule.isNull() | (schedule != "running"), "disabled", "schedule is absent"),
+        (F.lit(False) if unreadable is None else unreadable, "unknown", "the cadence could not be read"),
         (not_yet_due, "healthy", NOT_YET_DUE),
         (owed.isNull(), "unknown", "nothing shows the schedule was on at its latest due time"),
         (success.isNull(), "unknown", "no successful run on record"),
@@ -118,7 +129,7 @@ def freshness_age(
 ) -> tuple[Column, Column]:
     """The age of the last success against declared bounds, whatever the schedule's state."""
     if warn_after is None and critical_after is None:
-        raise ValueError("an age bound needs warn_after or critical_after")
+        raise ValueError("give at least one bound of the age")
     age = F.lit(now) - success
     cases = [(success.isNull(), "unknown", "no successful run on record")]
     if critical_after is not None:
@@ -156,19 +167,30 @@ def job_signals(
     grace: int,
     warn_after: int | None = None,
     critical_after: int | None = None,
+    schedule_max_age: int | None = None,
 ) -> DataFrame:
-    """Every health signal of every job: stage, job, kind, state, reason, run."""
+    """Every health signal of every job: stage, job, kind, state, reason, run.
+
+    Schedules may say in `read_us` when they were read; with `schedule_max_age`, older readings are stale. A running schedule without an
+    interval is one whose cadence could not be read.
+    """
     seen = job_evidence(runs, schedules, now, grace)
     c = F.col
     signals = {
         "execution": (execution(c("status"), c("observed_us"), now, c("max_age")), c("run_id")),
         "latest_success": (latest_success(c("success_us"), now, c("max_age")), c("success_run_id")),
         "expected_run": (
-            expected_run(c("schedule_state"), c("declared_running"), c("due"), c("last_created_us"), now, grace),
+            expected_run(
+                c("schedule_state"), c("declared_running"), c("due"), c("last_created_us"), now, grace,
+                c("read_us") if "read_us" in schedules.columns else None, schedule_max_age,
+            ),
             F.lit(None).cast("bigint"),
         ),
         "freshness": (
-            freshness(c("schedule_state"), c("owed"), c("not_yet_due"), c("success_us"), now, grace),
+            freshness(
+                c("schedule_state"), c("owed"), c("not_yet_due"), c("success_us"), now, grace,
+                (c("schedule_state") == "running") & c("interval_us").isNull(),
+            ),
             c("success_run_id"),
         ),
     }

@@ -54,6 +54,24 @@ SIGNALS = {
         "success_run_id",
     ),
 }
+REASONS = {
+    "execution": f"""case when status is null then 'no observation' when {NOW} >= observed_us + max_age then 'observation is stale'
+    when status = 'succeeded' then 'latest run succeeded' when status = 'failed' then 'latest run failed'
+    when status = 'canceled' then 'latest run was canceled' else 'latest run in progress' end""",
+    "latest_success": f"""case when success_us is null then 'no observation' when {NOW} >= success_us + max_age
+    then 'observation is stale' else 'a successful run is on record' end""",
+    "expected_run": f"""case when schedule_state = 'stopped' and declared_running
+    then 'schedule is stopped but its cadence declares it running' when not running then 'schedule is ' || schedule_state
+    when last_created_us >= due then 'the expected run started' when {NOW} < due + {GRACE}
+    then 'the expected run is within its grace period' else 'an expected run did not start' end""",
+    "freshness": f"""case when not running then 'schedule is ' || schedule_state when success_us is null
+    then 'no successful run on record' when success_us >= owed then 'a run succeeded since the previous due time'
+    when {NOW} < owed + {GRACE} then 'the previous due run is within its grace period'
+    else 'no run succeeded since the previous due time plus its grace' end""",
+    "freshness_age": f"""case when success_us is null then 'no successful run on record' when {NOW} - success_us >= {3 * HOUR}
+    then 'the last success is older than its critical bound' when {NOW} - success_us >= {HOUR}
+    then 'the last success is older than its warning bound' else 'the last success is within its bounds' end""",
+}
 EVERY = " union all ".join(
     f"select stage, job_name, '{kind}' as kind, {state} as state, {run} as run from evidence"
     for kind, (state, run) in SIGNALS.items()
@@ -73,10 +91,10 @@ def _kind(kind: str, *covers: str) -> None:
         f"health_{kind}",
         *covers,
         sql=ctes("schedules_v", **EVIDENCE)
-        + f"select stage, job_name, '{kind}' as kind, {state} as state, {run} as run from evidence",
+        + f"select stage, job_name, '{kind}' as kind, {state} as state, {REASONS[kind]} as reason, {run} as run from evidence",
     )
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _signals(spark, sf_dir).where(F.col("kind") == kind).drop("reason")
+        return _signals(spark, sf_dir).where(F.col("kind") == kind)
 
 
 _kind("execution", "Q1", "G8")

@@ -136,6 +136,21 @@ def test_expected_run(spark, schedule, declared, due, last, state):
     assert row.select(found).first()[0] == state
 
 
+def test_stale_schedules_and_unreadable_cadences(spark):
+    schedules = spark.createDataFrame(
+        [("s", "old", 5 * MINUTE, 10 * MINUTE, "running", True, 50 * MINUTE), ("s", "new", 5 * MINUTE, 10 * MINUTE, "running", True, 99 * MINUTE),
+         ("s", "unread", 0, None, "running", True, 99 * MINUTE), ("s", "off", 0, 10 * MINUTE, "stopped", False, 99 * MINUTE),
+         ("s", "gone", 0, 10 * MINUTE, "absent", False, 99 * MINUTE)],
+        "stage string, job_name string, anchor_us bigint, interval_us bigint, schedule_state string, declared_running boolean, read_us bigint",
+    ).withColumn("started_us", F.lit(None).cast("bigint"))
+    runs = spark.createDataFrame([], "stage string, job_name string, run_id bigint, created_us bigint, status string, duration_s double")
+    found = health.job_signals(runs, schedules, NOW, MINUTE, schedule_max_age=30 * MINUTE)
+    got = {(r["job_name"], r["kind"]): (r["state"], r["reason"]) for r in found.collect()}
+    assert got["old", "expected_run"] == ("unknown", "observation is stale") and got["new", "expected_run"][0] == "critical"
+    assert got["unread", "freshness"] == ("unknown", "the cadence could not be read")
+    assert got["off", "freshness"] == ("disabled", "schedule is stopped") and got["gone", "freshness"] == ("disabled", "schedule is absent")
+
+
 def test_freshness_age_bounds(spark):
     rows = spark.createDataFrame([(m * MINUTE,) for m in (95, 90, 80)], "o bigint")
     state, _ = health.freshness_age(F.col("o"), NOW, 10 * MINUTE, 20 * MINUTE)
