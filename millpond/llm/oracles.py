@@ -96,7 +96,15 @@ from d left join sizes using (r) left join low using (r)
 """
 
 _MENU = ", ".join(f"'{w.decode()}'" for w in quality.MENU_WORDS)
-_PHRASE = " or ".join(f"contains(low, '{p.decode()}')" for p in quality.PHRASES)
+# The words that phrases take up in a line.
+_SAID = " + ".join(
+    f"(len(low) - len(replace(low, '{p.decode()}', ''))) // {len(p)} * {len(p.split())}" for p in quality.PHRASES
+)
+_ENDS = "".join(
+    n.to_bytes(size, "big").decode() for ends, size in ((quality.WIDE_ENDS, 3), (quality.SLIM_ENDS, 2)) for n in map(int, ends)
+)
+# Bars and phrases fail a short line, and a long one by their share of its words.
+_SHARE = f"(len(array_to_string(lw, '')) <= {quality.LONG_LINE} or 100 * %s >= {quality.SHARE_PERCENT} * len(lw))"
 
 QUALITY = f"""
 with d as materialized (
@@ -111,10 +119,11 @@ lines as (
 ), judged as (
   select r, line, len(array_to_string(lw, '')) chars,
     100 * len(regexp_replace(line, '[^!-/:-@\\[-`{{-~]', '', 'g')) > {quality.MARK_PERCENT} * len(array_to_string(lw, ''))
-    or (len(lw) < {quality.SHORT_LINE} and not regexp_matches(lw[-1], '[.!?:;"'')]$'))
+    or (len(lw) < {quality.SHORT_LINE} and not regexp_matches(lw[-1], '[.!?:;"''){_ENDS}]$')
+      and len(regexp_replace(line, '[^\\x{{0800}}-\\x{{1FFF}}\\x{{3000}}-\\x{{D7FF}}]', '', 'g')) < {quality.WIDE_CHARS})
     or (len(lw) >= {quality.MENU_PARTS} and len(list_filter(string_split_regex(low, '{SPACE}'), lambda x: x <> '' and x not in ({_MENU}))) = 0)
-    or len(regexp_replace(line, '[^|>»•]', '', 'g')) >= {quality.MENU_PARTS - 1} or {_PHRASE} failed
-  from lines
+    or (parts >= {quality.MENU_PARTS - 1} and {_SHARE % "parts"}) or (said > 0 and {_SHARE % "said"}) failed
+  from (select *, len(regexp_replace(line, '[^|>»•]', '', 'g')) parts, {_SAID} said from lines)
 ), per as (
   select r, count(*) - count(distinct line) dup, coalesce(sum(chars) filter (where failed), 0) lost from judged group by 1
 ), counted as (
