@@ -33,6 +33,7 @@ HEADLINE = (
     "quality_signal_warn",
     "run_counts",
     "counter_increase",
+    "log_archive_landing",
     "log_severity_floor",
     "incident_timeline",
     "table_diff",

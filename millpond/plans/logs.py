@@ -2,18 +2,18 @@
 
 Layout v2 holds parsed records; the older v1 holds lines that open with their time. Both become one table of
 `ns, layout, day, file_digest, line_index` (the position) beside the fields, and every search is a filter, a dedup and a
-top-k over it. Nanoseconds are whole numbers, as Spark's own times stop at microseconds.
+top-k over it (`sources/archive.py` keeps that table). Nanoseconds are whole numbers, as Spark's own times stop at microseconds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.loglines import SEVERITIES, event_ns, holds_text, instant, level_of, plain, rank, split_stamp
+from ..functions.loglines import SEVERITIES, event_ns, holds_text, instant, level_of, plain, split_stamp
 
 SCHEMA_V1 = "k8s_log.v1"
 SCHEMA_V2 = "k8s_log.v2"
@@ -75,44 +75,54 @@ class Search:
         """A filter on a field v1 never held leaves every v1 line out."""
         return bool(self.component or self.product or self.run_id)
 
-    def placed(self, at: Column) -> Column:
-        """Who wrote the line, for which run, and when: cheap, and tested before the level is read from the text."""
+    def wanted(self) -> Column:
+        """Plain comparisons of stored columns: those on the folders prune them, the others reach the Parquet scan."""
         kept = F.col("namespace") == self.namespace
         for name in ("pod", "container", "component", "product", "run_id"):
             if getattr(self, name):
                 kept = kept & (F.col(name) == getattr(self, name))
-        if self.since:
-            kept = kept & (at >= F.lit(self.since).cast("timestamp"))
-        if self.until:
-            kept = kept & (at < F.lit(self.until).cast("timestamp"))
-        return kept
-
-    def wanted(self) -> Column:
-        kept = F.lit(True)
+        for bound, since in ((self.since, True), (self.until, False)):
+            if bound:
+                ns = F.unix_micros(F.lit(bound).cast("timestamp")) * 1000
+                # A line without a readable time has no day, so no window holds it.
+                kept = kept & ((F.col("ns") >= ns) & (F.col(DAY) >= _day(ns)) if since else (F.col("ns") < ns) & (F.col(DAY) <= _day(ns)))
         if self.severity:
-            kept = kept & (rank(F.col("level")) >= SEVERITIES.index(self.severity))
+            kept = kept & F.col("level").isin(*SEVERITIES[SEVERITIES.index(self.severity) :])
         if self.text:
             kept = kept & holds_text(F.col("message"), self.text)
         return kept
 
 
+DAY = "event_day"
 COLUMNS = (*POSITION, "namespace", "pod", "container", "stage", "component", "domain", "product", "run_id", "stream",
-           "stamp", "message", "level", "dedup_key")
-
-
-def v2_lines(records: DataFrame, search: Search) -> DataFrame:
-    rows = records.where(F.col("schema") == SCHEMA_V2).where(search.placed(instant(F.col("time"))))
-    clean = rows.withColumns({"message": plain(F.col("message")), "stamp": F.col("time")})
-    return (
-        clean.withColumns(
-            {"level": level_of(F.col("message")), "ns": event_ns(F.col("time")), "layout": F.lit(0)}
-        )
-        .select(*COLUMNS)
-        .where(search.wanted())
+           "stamp", "message", "level", "dedup_key", "rest", DAY)
+
+
+def _day(ns: Column) -> Column:
+    """The day of a time, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(ns / F.lit(86_400_000_000_000)).cast("int"))
+
+
+def event_day(at: Column, ns: Column) -> Column:
+    """The day a line belongs to. Copies of a line agree in it, as their key holds the line's time."""
+    return F.when(at.isNotNull(), _day(ns))
+
+
+def v2_lines(records: DataFrame) -> DataFrame:
+    clean = records.where(F.col("schema") == SCHEMA_V2).withColumns(
+        {"message": plain(F.col("message")), "stamp": F.col("time"), "ns": event_ns(F.col("time"))}
     )
+    return clean.withColumns(
+        {
+            "level": level_of(F.col("message")),
+            "layout": F.lit(0),
+            "rest": F.lit(None).cast("string"),
+            DAY: event_day(instant(F.col("time")), F.col("ns")),
+        }
+    ).select(*COLUMNS)
 
 
-def v1_lines(records: DataFrame, search: Search) -> DataFrame:
+def v1_lines(records: DataFrame) -> DataFrame:
     """Older lines, cut into time and text. Without a readable time the archive time places the line. A run that left no
     pods wrote a marker that names none; it is no line."""
     text = plain(F.col("line"))
@@ -121,24 +131,22 @@ def v1_lines(records: DataFrame, search: Search) -> DataFrame:
         {"text": text, "stamp": stamp, "rest": rest}
     )
     written = instant(F.col("stamp"))
-    at = F.coalesce(written, instant(F.col("archived_at")))
-    absent = [F.lit(None).cast("string").alias(n) for n in ("stage", "component", "domain", "product", "run_id", "stream")]
-    return (
-        cut.drop("stage", "component", "domain", "product", "run_id", "stream")
-        .select("*", *absent)
-        .where(search.placed(at))
-        .withColumns(
-            {
-                "message": F.when(written.isNotNull(), F.col("rest")).otherwise(F.col("text")),
-                "ns": event_ns(F.col("stamp"), F.col("archived_at")),
-                "layout": F.lit(1),
-                "dedup_key": F.lit(None).cast("string"),
-            }
-        )
-        .withColumn("level", level_of(F.col("message")))
-        .select(*COLUMNS, F.col("rest").alias("_rest"))
-        .where(search.wanted())
+    absent = ("stage", "component", "domain", "product", "run_id", "stream", "dedup_key")
+    placed = cut.withColumns(
+        {
+            "message": F.when(written.isNotNull(), F.col("rest")).otherwise(F.col("text")),
+            "ns": event_ns(F.col("stamp"), F.col("archived_at")),
+            "layout": F.lit(1),
+            **{name: F.lit(None).cast("string") for name in absent},
+        }
     )
+    at = F.coalesce(written, instant(F.col("archived_at")))
+    return placed.withColumns({"level": level_of(F.col("message")), DAY: event_day(at, F.col("ns"))}).select(*COLUMNS)
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """Records of both layouts as lines: the times and levels are read from their text here, and by no search again."""
+    return v2_lines(records).unionByName(v1_lines(records))
 
 
 def first_copies(lines: DataFrame) -> DataFrame:
@@ -159,23 +167,20 @@ def first_copies(lines: DataFrame) -> DataFrame:
 def drop_overlap(older: DataFrame, newer: DataFrame) -> DataFrame:
     """v1 lines less those v2 holds: same pod, container, stamp and text, missing parts being equal."""
     key = ["pod", "container", "stamp"]
-    held = newer.select(*key, F.col("message").alias("_rest")).distinct()
-    match = [older[k].eqNullSafe(held[k]) for k in (*key, "_rest")]
+    held = newer.select(*key, F.col("message").alias("rest")).distinct()
+    match = [older[k].eqNullSafe(held[k]) for k in (*key, "rest")]
     return older.join(held, match, "left_anti")
 
 
-def merged(
-    records: DataFrame, search: Search, keep: Callable[[DataFrame], DataFrame] = lambda df: df
-) -> DataFrame:
-    """Every line the search wants, both layouts, each line once. `keep` may write the newer lines to a table, as they
-    are read twice: as a result and to find their older copies."""
-    newer = keep(first_copies(v2_lines(records, search)))
+def merged(lines: DataFrame, search: Search) -> DataFrame:
+    """Every line the search wants, both layouts, each line once."""
+    found = lines.where(search.wanted())
+    newer = first_copies(found.where("layout = 0"))
     if search.v2_only:
         return newer
     # The overlap is with every v2 line of the archive: a v2 copy the search's text or level leaves out has a v1 copy
     # that it leaves out too.
-    older = drop_overlap(v1_lines(records, search), newer).drop("_rest")
-    return newer.unionByName(older)
+    return newer.unionByName(drop_overlap(found.where("layout = 1"), newer))
 
 
 def after(cursor: Sequence) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import loglines
 from ..plans import logs
 from ..registry import register
-from ..session import cut, scratch, table
+from ..session import scratch, table
 from ..shapes import ctes, view
 from ..sources import files
+from ..sources.archive import Archive
+from ..sources.loads import exists
 
 LEVEL = "case word when 'INFO' then 'info' when 'DEBUG' then 'debug' when 'WARN' then 'warning' when 'FATAL' " \
     "then 'critical' else 'error' end"
@@ -37,13 +39,42 @@ and f.message is not distinct from o.rest)"""
 SHOWN = "ns, layout, day, file_digest, line_index, pod, container, stamp, message, level"
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LANDED: dict[tuple[str, str], Archive] = {}
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> Archive:
+    """The archive of a data folder, landed by the first search of an application and read by all of them."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _LANDED or not exists(spark, _LANDED[known].root):
+        _LANDED[known] = _land(spark, sf_dir)
+    return _LANDED[known]
+
+
+def _land(spark: SparkSession, sf_dir: str) -> Archive:
+    archive = Archive(spark, scratch(spark, "log-archive"))
     digest = F.substring(F.sha2(F.col("file_name"), 256), 1, 16)
-    newer, older = view(spark, sf_dir, "log_v2_v"), view(spark, sf_dir, "log_v1_v")
-    both = newer.drop("word", "event_id", "user_id").unionByName(older.drop("event_id"), allowMissingColumns=True)
-    extra = [n for n in (*logs.V2_FIELDS, *logs.V1_FIELDS) if n not in both.columns]
-    # An archive is a table on disk: the searches read it, not the expressions its lines were made with.
-    return cut(both.withColumn("file_digest", digest).withColumns({n: F.lit(None).cast("string") for n in extra}))
+    for name in ("log_v2_v", "log_v1_v"):
+        rows = view(spark, sf_dir, name).withColumn("file_digest", digest)
+        absent = [n for n in (*logs.V2_FIELDS, *logs.V1_FIELDS) if n not in rows.columns]
+        archive.land(rows.withColumns({n: F.lit(None).cast("string") for n in absent}), name)
+    return archive
+
+
+@register(
+    "log_archive_landing",
+    "S4",
+    "S6",
+    "I1",
+    sql=ctes("log_v2_v", "log_v1_v", newer=NEWER, older=OLDER) + """select namespace, layout, cast(date '1970-01-01'
+    + cast(ns // 86400000000000 as integer) as varchar) as event_day, count(*) as n, count(level) as levels,
+    min(ns) as first_ns, max(ns) as last_ns from (select namespace, layout, ns, level from newer
+    union all select namespace, layout, ns, level from older) group by all""",
+)
+def _landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fresh landing of both layouts, which the searches below share one of, and what each of its folders holds."""
+    return _land(spark, sf_dir).lines().groupBy("namespace", "layout", "event_day").agg(
+        F.count(F.lit(1)).alias("n"), F.count("level").alias("levels"), F.min("ns").alias("first_ns"), F.max("ns").alias("last_ns")
+    )
 
 
 def _shown(lines: DataFrame) -> DataFrame:
@@ -105,7 +136,7 @@ def _search(name: str, covers: tuple[str, ...], filters: dict, where: str, older
 
     @register(name, *covers, sql=ctes("log_v2_v", "log_v1_v", newer=NEWER, firsts=FIRST, older=OLDER) + body)
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _shown(logs.merged(_records(spark, sf_dir), logs.Search(**filters), cut))
+        return _shown(_landed(spark, sf_dir).search(logs.Search(**filters)))
 
 
 _search("log_merged", ("S9", "S10", "S4", "E7", "G2", "I1"), {"namespace": "dev"}, "namespace = 'dev'")
@@ -143,12 +174,12 @@ order by {ORDER} limit 200"""
 
 @register("log_first_page", "S12", "H2", sql=PAGED)
 def _first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(logs.page(logs.merged(_records(spark, sf_dir), logs.Search("dev"), cut), 200))
+    return _shown(logs.page(_landed(spark, sf_dir).search(logs.Search("dev")), 200))
 
 
 @register("log_second_page", "S12", "H3", sql=PAGED + " offset 200")
 def _second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = logs.merged(_records(spark, sf_dir), logs.Search("dev"), cut)
+    lines = _landed(spark, sf_dir).search(logs.Search("dev"))
     cursor = logs.last_position(logs.page(lines, 200))
     return _shown(logs.page(lines, 200, cursor))
 

@@ -14,6 +14,7 @@ from millpond.contracts import Contract, ContractError, Field, Load
 from millpond.functions import loglines
 from millpond.plans import logs
 from millpond.sources import export, extract, files, loads
+from millpond.sources.archive import Archive
 from millpond.sources.keyed import Keyed
 from millpond.streaming import ingest
 
@@ -69,6 +70,63 @@ def test_an_archive_of_mixed_depth(spark, folder):
     assert scan.metrics().apply("numFiles").value() == 1
 
 
+def _records(spark, *lines):
+    fields = dict.fromkeys((*logs.V2_FIELDS, *logs.V1_FIELDS, "day", "file_digest"))
+    schema = ", ".join(f"{name} string" for name in fields) + ", line_index long"
+    return spark.createDataFrame([tuple({**fields, "day": "d", "file_digest": "f", **line}.values()) + (n,) for n, line in enumerate(lines)], schema)
+
+
+def _v2(time, message="m", key=None, namespace="dev", pod="p"):
+    return {"schema": logs.SCHEMA_V2, "time": time, "namespace": namespace, "pod": pod, "container": "c", "message": message, "dedup_key": key}
+
+
+def _files_read(df):
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+
+
+def test_a_landed_archive_is_read_by_folder(spark, folder):
+    archive = Archive(spark, folder)
+    first = _records(
+        spark,
+        _v2("2024-01-01T05:00:00.000000001Z", "level=error a", "k1"),
+        _v2("2024-01-02T05:00:00Z", "level=info b", "k2"),
+        _v2("no time", "level=error c", "k3"),
+        _v2("2024-01-01T05:00:00Z", "level=error d", "k4", namespace="prod"),
+    )
+    archive.land(first, "1")
+    archive.land(first, "1")
+    # A replay lands later; an older copy of `a` has the same stamp and text, another line has not.
+    older = {"schema": logs.SCHEMA_V1, "archived_at": "2024-01-01T06:00:00Z", "namespace": "dev", "pod": "p", "container": "c"}
+    archive.land(
+        _records(
+            spark,
+            _v2("2024-01-01T05:00:00.000000001Z", "level=error a", "k1"),
+            {**older, "line": "2024-01-01T05:00:00.000000001Z level=error a"},
+            {**older, "line": "2024-01-01T05:00:00.000000002Z level=error a"},
+            {**older, "pod": None, "line": "marker"},
+        ),
+        "2",
+    )
+
+    def found(**filters):
+        return sorted((r["ns"], r["layout"], r["message"]) for r in archive.search(logs.Search("dev", **filters)).collect())
+
+    day = 1704067200 * 10**9
+    a, older_a = (day + 18000 * 10**9 + 1, 0, "level=error a"), (day + 18000 * 10**9 + 2, 1, "level=error a")
+    b, c = (day + 104400 * 10**9, 0, "level=info b"), (-1, 0, "level=error c")
+    assert found() == [c, a, older_a, b]
+    # A line without a readable time is in no window.
+    assert found(until="2024-01-02 05:00:00") == [a, older_a]
+    assert found(since="2024-01-02 05:00:00") == [b]
+    assert found(severity="error") == [c, a, older_a]
+    assert found(text="LEVEL=INFO") == [b]
+    day_two = archive.lines().where(logs.Search("dev", since="2024-01-02 00:00:00", pod="p").wanted())
+    assert _files_read(day_two) == 1
+    assert "EqualTo(pod,p)" in day_two._jdf.queryExecution().executedPlan().toString()
+    assert _files_read(archive.lines().where(logs.Search("prod").wanted())) == 1
+
+
 def test_manifests_of_another_run_are_refused(spark, folder):
     os.makedirs(folder)
     good = {"version": "1", "stage": "dev", "run_id": "r", "results": [{"stage": "dev", "run_id": "r", "identity": "i"}]}
