@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import loglines
+from ..plans.logs import DAY, event_day
 from ..registry import register
 from ..session import cut, scratch
 from ..shapes import ctes, view
@@ -44,13 +47,13 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _unreplayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines land by day; the replays land after them all, some far too late for the stream's memory of three days. The
-    stream and the late lines together are the batch dedup."""
+    stream and the late lines of each run together are the batch dedup."""
     root = scratch(spark, "stream")
     rows = view(spark, sf_dir, "log_v2_v")
+    at, ns = loglines.instant(F.col("time")), loglines.event_ns(F.col("time"))
     lines = cut(
         rows.select(
-            F.unix_seconds(loglines.instant(F.col("time"))).alias("s"),
-            loglines.event_ns(F.col("time")).alias("ns"),
+            ns.alias("ns"),
             F.lit(0).alias("layout"),
             "day",
             F.substring(F.sha2("file_name", 256), 1, 16).alias("file_digest"),
@@ -60,17 +63,19 @@ def _unreplayed(spark: SparkSession, sf_dir: str) -> DataFrame:
             loglines.plain(F.col("message")).alias("message"),
             "dedup_key",
             F.col("file_name").endswith("replay").alias("replay"),
-        ).withColumn("event_time", F.timestamp_seconds("s"))
+            at.alias("event_time"),
+            event_day(at, ns).alias(DAY),
+        )
     )
-    archive = f"{root}/archive"
+    work = ingest.Ingest(spark, f"{root}/archive", f"{root}/lines", f"{root}/checkpoint", lines.schema, "3 days")
+    since = None
     # The first half of the month arrives last and is late.
-    _land(lines, archive, ["not replay and day >= '2024-01-15'", "not replay and day < '2024-01-15'", "replay"])
-    stream = ingest.new_files(spark, archive, lines.schema, max_files=1).drop("_file")
-    ingest.drain(ingest.append_to(f"{root}/lines"), ingest.unreplayed(stream, "3 days"), f"{root}/checkpoint")
-    ingested = spark.read.schema(lines.schema).parquet(f"{root}/lines")
-    late = ingest.late_lines(spark.read.schema(lines.schema).parquet(archive), ingested)
-    kept = ["ns", "pod", "container", "message", "dedup_key"]
-    return ingested.select(*kept).unionByName(late.select(*kept))
+    for number, landed in enumerate(("not replay and day >= '2024-01-15'", "not replay and day < '2024-01-15'", "replay")):
+        began = datetime.now(UTC)
+        lines.where(landed).repartition(DAY).write.partitionBy(DAY).parquet(f"{work.archive}/landing={number}")
+        work.run(number, since, timedelta(seconds=1))
+        since = began
+    return work.read().select("ns", "pod", "container", "message", "dedup_key")
 
 
 @register(

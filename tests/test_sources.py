@@ -5,10 +5,11 @@ import json
 import os
 import random
 from collections import Counter
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millpond.contracts import Contract, ContractError, Field, Load
 from millpond.functions import loglines
@@ -127,6 +128,46 @@ def test_a_landed_archive_is_read_by_folder(spark, folder):
     assert _files_read(archive.lines().where(logs.Search("prod").wanted())) == 1
 
 
+def test_late_lines_are_looked_up_in_the_days_a_run_touches(spark, folder):
+    archive = Archive(spark, f"{folder}/archive")
+    archive.land(_records(spark, *[_v2(f"2024-01-{d:02}T05:00:00Z", f"m{d}", f"k{d}") for d in (10, 11, 20)], _v2("2024-01-20T05:00:00Z", "free")), "0")
+    lines = archive.lines()
+    ingested = lines.where("dedup_key in ('k10', 'k20')")
+    found = lambda days: sorted(r["dedup_key"] for r in ingest.late_lines(lines, ingested, days).collect() if r["dedup_key"])
+    assert found(None) == ["k11"] and found([date(2024, 1, 11)]) == ["k11"] and found([date(2024, 1, 10)]) == []
+    plan = ingest.late_lines(lines, ingested, [date(2024, 1, 10)])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("2024-01-10") >= 2 or plan.count("19732") >= 2
+    assert ingest.touched_days(lines, None) == [date(2024, 1, d) for d in (10, 11, 20)]
+    later = datetime.now(UTC) + timedelta(hours=1)
+    assert ingest.touched_days(lines, later) == []
+    assert len(ingest.touched_days(lines, later, timedelta(hours=2))) == 3
+
+
+def test_a_run_of_lines_repeated_after_a_failure_adds_nothing(spark, folder):
+    fields = "ns long, layout int, day string, file_digest string, line_index long, dedup_key string, event_time timestamp, event_day date"
+    schema = T.StructType.fromDDL(fields)
+    work = ingest.Ingest(spark, f"{folder}/archive", f"{folder}/lines", f"{folder}/checkpoint", schema, "1 day")
+
+    def land(number, *rows):
+        made = [(n, 0, "d", "f", n, key, datetime.fromisoformat(f"{day}T12:00:00"), date.fromisoformat(day)) for n, (day, key) in enumerate(rows)]
+        spark.createDataFrame(made, schema).coalesce(1).write.partitionBy("event_day").parquet(f"{work.archive}/landing={number}")
+
+    def keys():
+        return sorted(r["dedup_key"] or "" for r in work.read().collect())
+
+    land(0, ("2024-01-20", "a"), ("2024-01-20", "a"), ("2024-01-20", None))
+    work.run(0, None)
+    assert keys() == ["", "a"]
+    began = datetime.now(UTC)
+    # One line far too late, with a replay of its own; a replay of an ingested one; and one in time.
+    land(1, ("2024-01-02", "b"), ("2024-01-02", "b"), ("2024-01-20", "a"), ("2024-01-21", "c"))
+    for _ in range(2):
+        work.run(1, began)
+        assert keys() == ["", "a", "b", "c"]
+    work.run(2, datetime.now(UTC))
+    assert keys() == ["", "a", "b", "c"]
+
+
 def test_manifests_of_another_run_are_refused(spark, folder):
     os.makedirs(folder)
     good = {"version": "1", "stage": "dev", "run_id": "r", "results": [{"stage": "dev", "run_id": "r", "identity": "i"}]}
