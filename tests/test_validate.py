@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import datetime
 import random
 from collections import Counter, defaultdict
 from dataclasses import replace
+from decimal import Decimal
 
 import pytest
 
@@ -225,3 +227,22 @@ def test_profile_gates(spark):
     assert (found["n"]["distinct_count"], found["n"]["mean_value"]) == (2, 5 / 3)
     assert (found["t"]["min_value"], found["t"]["max_value"], found["t"]["null_count"]) == (1.0, 2.0, 1)
     assert (found["z"]["values_count"], found["z"]["null_proportion"], found["z"]["mean_value"]) == (0, 1.0, None)
+
+
+def test_profile_of_every_type(spark):
+    schema = "`a.b` int, big bigint, d decimal(12,2), wide decimal(38,2), day date, m map<string,int>, l array<int>, flag boolean, f double"
+    big, day = 2**63 - 1, datetime.date(2024, 1, 2)
+    rows = [
+        (1, big, Decimal("1.10"), Decimal("9" * 36 + ".99"), day, {"x": 1}, [1], True, 0.0),
+        (1, big, Decimal("1.20"), Decimal("9" * 36 + ".99"), day, {"x": 1}, [1], None, -0.0),
+        (None, big - 2, None, None, None, {"x": 2}, [], False, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    found = {r["column_name"]: r.asDict() for r in profiling.profile(df, "Public").collect()}
+    assert {n: r["distinct_count"] for n, r in found.items()} == {"a.b": 1, "big": 2, "d": 2, "wide": 1, "day": 1, "m": 2, "l": 2, "flag": 2, "f": 1}
+    assert (found["big"]["mean_value"], found["d"]["mean_value"], found["wide"]["mean_value"]) == (float(3 * big - 2) / 3, 1.15, 1e36)
+    assert found["day"]["mean_value"] == 19724 and found["m"]["mean_value"] is None and found["flag"]["min_value"] is None
+    assert profiling.profile(df.where("flag = false and flag = true"), "Public").count() == 0
+    # Values keep their types: none becomes a text, and one shuffle of grouping sets serves all distinct counts.
+    plan = profiling.profile(df.select("big", "d", "day"), "Internal")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and "as string" not in plan and "Generate" not in plan.split("Expand")[1]
