@@ -4,13 +4,16 @@
    their test, and looser forms (spelled-out addresses, phone numbers without a plus, colon addresses, social security
    numbers). A candidate that passes the base test is a base span: it always stays.
 2. Five labelers vote -1, 0 or 1 on every candidate: pattern (does the strict test hold), two gazetteers (known
-   top-level domains, country codes, issuer digits, address ranges; words that name the kind just before the span), context
-   (words before it that speak of versions, orders, pages), and shape (grouping and length).
-3. The votes are counted per (kind, form, votes) over all documents. There are at most `kinds * forms * 3^5` such rows whatever the data,
-   so the counts may go to the driver. Expectation-maximisation over them estimates how often each labeler's votes are
-   right, and how likely each row is true.
-4. A logistic span classifier is trained on those probabilities, with the votes, the kind and the form as features. A
-   candidate that is not a base span is added if the classifier gives it at least one half and it overlaps no span before it.
+   top-level domains, country codes, issuer digits, address ranges; words of four languages that name the kind just before the
+   span), context (words before it that speak of versions, orders, pages), and shape (grouping and length).
+3. What the span and its surroundings look like is noted as five yes-or-no marks: a colon before it, the start of a line, a
+   word joined to its end, groups of digits, a naming word after it.
+4. Votes and marks are counted per (kind, form, ballot) over all documents. There are at most `kinds * forms * 3^5 * 2^5` such rows
+   whatever the data, so the counts may go to the driver. Expectation-maximisation over them estimates for each kind how often
+   each labeler votes each way on true candidates and how often on false ones, and how likely each row is true.
+5. A logistic span classifier is trained on those probabilities, with the votes, the marks, the kind and the form as features,
+   so marks that no labeler knows carry over from clear candidates to unclear ones. A candidate that is not a base span is
+   added if the classifier gives it at least one half and it overlaps no span before it.
 
 The texts are read once; what goes on is one row per document with its candidates. No row meets another except in the
 counts, which are added up before the shuffle.
@@ -36,9 +39,18 @@ from .common import cut, mapped, pieces
 KINDS = ("email", "ip", "card", "phone", "ssn")
 BASE_KINDS = KINDS[:4]
 LABELERS = 5
+MARKS = 5
 EM_ROUNDS = 50
-# What is thought of the labelers before any vote is counted.
-PRIOR = (0.9, 0.7, 0.7, 0.8, 0.7)
+# What is thought of the labelers before any vote is counted: how they vote (-1, 0, 1) on false and on true candidates. A labeler
+# of one direction tells by its silence too. The pattern's silence says nothing: it follows from the form.
+PRIOR = (
+    ((0.9, 0.0, 0.1), (0.1, 0.0, 0.9)),
+    ((0.6, 0.1, 0.3), (0.2, 0.1, 0.7)),
+    ((0.0, 0.85, 0.15), (0.0, 0.5, 0.5)),
+    ((0.4, 0.6, 0.0), (0.05, 0.95, 0.0)),
+    ((0.6, 0.05, 0.35), (0.25, 0.05, 0.7)),
+)
+PRIOR_VOTES = 10
 CLASSIFIER_ROUNDS = 25
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,28 +61,38 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
+# Signs spelled out (a plain dot stands without spaces, or it ends a sentence) in English, German, French and Spanish.
+_AT = r"\[at\]|\(at\)|\{at\}|\(ät\)|\(arroba\)| at | arroba | arobase "
+_DOT = r"\[dot\]|\(dot\)|\(punkt\)|\(punto\)|\(point\)| dot | punkt | punto | point "
+HAS_AT, HAS_DOT = re.compile(_AT), re.compile(_DOT)
+BRACKETED = re.compile(r"[\[({](?:at|ät|arroba)[\])}]")
 SPELLED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}"
-    r"(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}"
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}} ?(?:{_AT}) ?[A-Za-z0-9-]{{1,63}}(?:(?: ?(?:{_DOT}) ?|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}"
 )
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
 COLONS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
-DOMAINS = frozenset("com org net edu gov mil int info io co uk de fr es it nl eu us ca au ch at be se no dk jp cn in br ru pl".split())
+# Endings of three letters and more; those of two are countries.
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro app dev cloud online shop site store tech blog news mail test example".split())
 COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
 ISSUER = re.compile(r"(?:3[47]|3[068]|4|5[1-5]|2[2-7]|6)")
+# Words of English, German, French and Spanish that name a kind, and words that name another number.
 NAMING = {
-    "email": ("mail", "contact", "write to", "reach"),
-    "ip": ("ip", "address", "host", "server", "addr"),
-    "card": ("card", "visa", "mastercard", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
-    "ssn": ("ssn", "social security", "taxpayer"),
+    "email": ("mail", "contact", "write to", "reach", "schreib", "kontakt", "courriel", "écri", "joindre", "correo", "escrib", "contacto"),
+    "ip": ("ip", "address", "host", "server", "addr", "adresse", "rechner", "serveur", "hôte", "servidor", "dirección", "gateway", "dns"),
+    "card": ("card", "visa", "mastercard", "credit", "payment", "amex", "karte", "zahlung", "carte", "paiement", "tarjeta", "pago", "crédito"),
+    "phone": ("phone", "tel", "tél", "call", "mobile", "fax", "contact", "ruf", "handy", "mobil", "appel", "portable", "llam", "móvil", "whatsapp"),
+    "ssn": ("ssn", "social security", "taxpayer", "sozialversicherung", "steuer", "sécurité sociale", "seguridad social", "seguro social", "tax id"),
 }
-AGAINST = re.compile(r"(?:version|release|order|invoice|isbn|section|figure|page|chapter|serial|build|sku|part)\W*$")
+AGAINST = re.compile(
+    r"(?:version|release|order|invoice|isbn|section|figure|page|chapter|serial|build|sku|part|ticket|item|ref|"
+    r"bestellung|rechnung|seite|kapitel|abschnitt|teil|artikel|commande|facture|chapitre|série|pièce|"
+    r"pedido|factura|página|capítulo|sección|artículo)(?:\W|no|nr|number|nummer|numéro|número)*$"
+)
 CONTEXT = 24
 
-# A candidate: (kind, form, start, end, votes). Form 0 is a base span, 1 a failed base match, 2 a looser form.
+# A candidate: (kind, form, start, end, ballot). Form 0 is a base span, 1 a failed base match, 2 a looser form.
 Candidate = tuple[int, int, int, int, int]
 
 
@@ -112,10 +134,9 @@ def base_matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def loose_matches(text: str) -> Iterator[tuple[int, int, int]]:
-    bracketed = "(at)" in text or "[at]" in text
-    if bracketed or (" at " in text and (" dot " in text or "(dot)" in text or "[dot]" in text)):
+    if HAS_AT.search(text) and (HAS_DOT.search(text) or BRACKETED.search(text)):
         for m in SPELLED.finditer(text):
-            if "dot" in m[0] or "(at)" in m[0] or "[at]" in m[0]:
+            if HAS_DOT.search(m[0]) or BRACKETED.search(m[0]):
                 yield 0, m.start(), m.end()
     if DIGIT.search(text):
         for kind, pattern in ((1, COLONS), (3, LOCAL_PHONE), (4, SSN)):
@@ -131,7 +152,8 @@ def votes(text: str, kind: int, form: int, start: int, end: int) -> tuple[int, .
     name = KINDS[kind]
     pattern = (1, -1, 0)[form]
     if name == "email":
-        known = 1 if re.sub(r"^.*[.\]) ]", "", span).lower() in DOMAINS else -1
+        ending = re.sub(r"^.*[.\]) ]", "", span).lower()
+        known = 1 if ending in DOMAINS or (len(ending) == 2 and ending.isalpha()) else -1
         shape = 1 if 6 <= len(span) <= 64 else -1
     elif name == "ip":
         first = span.split(".")[0].lstrip("0")
@@ -151,20 +173,35 @@ def votes(text: str, kind: int, form: int, start: int, end: int) -> tuple[int, .
     return pattern, known, naming, against, shape
 
 
-def code(ballot: tuple[int, ...]) -> int:
-    """Votes as one number, base 3."""
+def marks(text: str, kind: int, start: int, end: int) -> int:
+    """How the span and its surroundings look, a bit each."""
+    before, after = text[max(0, start - 2) : start], text[end : end + CONTEXT]
+    seen = (
+        ":" in before or "=" in before,
+        start == 0 or text[start - 1] == "\n",
+        after[:1].isalnum() or after[:1] in ("_", "/"),
+        bool(re.search("[0-9][ .:-][0-9]", text[start:end])),
+        any(w in after.lower() for w in NAMING[KINDS[kind]]),
+    )
+    return sum(bit << i for i, bit in enumerate(seen))
+
+
+def code(ballot: tuple[int, ...], looks: int = 0) -> int:
+    """Votes, base 3, and marks as one number."""
     total = 0
     for vote in ballot:
         total = total * 3 + vote + 1
-    return total
+    return total << MARKS | looks
 
 
 def decode(number: int) -> list[int]:
+    """The votes, then the marks."""
+    looks, number = [number >> i & 1 for i in range(MARKS)], number >> MARKS
     out = []
     for _ in range(LABELERS):
         out.append(number % 3 - 1)
         number //= 3
-    return out[::-1]
+    return out[::-1] + looks
 
 
 def candidates(text: str) -> list[Candidate]:
@@ -175,66 +212,80 @@ def candidates(text: str) -> list[Candidate]:
     rest.extend((kind, 2, start, end) for kind, start, end in loose_matches(text))
     good.sort(key=lambda c: (c[2], c[0]))
     rest.sort(key=lambda c: (c[2], c[0], -c[3]))
-    return [(*c, code(votes(text, *c))) for c in good + rest]
+    return [(*c, code(votes(text, *c), marks(text, c[0], c[2], c[3]))) for c in good + rest]
 
 
 def weigh(counts: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Expectation-maximisation: for each (kind, form, votes, count) the probability that such candidates are true.
+    """Expectation-maximisation: for each (kind, form, ballot, count) the probability that such candidates are true.
 
-    Each labeler has one reliability, the chance that a vote it casts is right; a labeler without a vote says nothing. Each
-    kind and form has a share of true candidates. It starts from the majority of the votes. A reliability is estimated
-    with ten votes of PRIOR before the data, and stays over a half, so true and false cannot change places.
+    For each kind a labeler has two rows of rates: how it votes on true candidates and how on false ones, silence included. Each
+    kind and form has a share of true candidates. It starts from PRIOR, and every rate is estimated with PRIOR_VOTES votes of it
+    before the data, so a kind that is seldom seen keeps what is thought of it, and true and false cannot change places.
     """
-    ballots = np.array([decode(c[2]) for c in counts])
+    ballots = np.array([decode(c[2])[:LABELERS] for c in counts]) + 1
+    kind = np.array([c[0] for c in counts])
     group = np.array([c[0] * 3 + c[1] for c in counts])
     n = np.array([c[3] for c in counts], dtype=float)
-    truth = 1 / (1 + np.exp(-ballots.sum(axis=1).astype(float)))
+    prior = np.array(PRIOR)
+    rates = np.tile(prior, (len(KINDS), 1, 1, 1))
+    share = np.tile((0.95, 0.3, 0.5), len(KINDS))
+    start = share.copy()
     for _ in range(EM_ROUNDS):
-        share = (np.bincount(group, n * truth, 3 * len(KINDS)) + 5) / (np.bincount(group, n, 3 * len(KINDS)) + 10)
         log_odds = np.log(share / (1 - share))[group]
-        for j, prior in enumerate(PRIOR):
-            vote = ballots[:, j]
-            right = (n * truth)[vote > 0].sum() + (n * (1 - truth))[vote < 0].sum()
-            reliability = np.clip((right + 10 * prior) / (n[vote != 0].sum() + 10), 0.55, 0.99)
-            log_odds = log_odds + vote * np.log(reliability / (1 - reliability))
+        for j in range(LABELERS):
+            said = np.log(np.maximum(rates[kind, j, :, ballots[:, j]], 1e-3))
+            cast = ballots[:, j] != 1 if j == 0 else True
+            log_odds = log_odds + np.where(cast, said[:, 1] - said[:, 0], 0.0)
         truth = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+        share = (np.bincount(group, n * truth, len(share)) + PRIOR_VOTES * start) / (np.bincount(group, n, len(share)) + PRIOR_VOTES)
+        for j in range(LABELERS):
+            for side, part in enumerate((n * (1 - truth), n * truth)):
+                seen = np.bincount(kind * 3 + ballots[:, j], part, 3 * len(KINDS)).reshape(-1, 3) + PRIOR_VOTES * prior[j, side]
+                rates[:, j, side] = seen / seen.sum(axis=1, keepdims=True)
     return truth
 
 
 def features(kind: np.ndarray, form: np.ndarray, ballots: np.ndarray) -> np.ndarray:
-    """A constant, the kind, the form, and each labeler's vote for and against."""
+    """A constant, the kind, the form, each labeler's vote for and against, and the marks."""
     columns = [np.ones(len(kind))]
     columns += [kind == k for k in range(1, len(KINDS))] + [form == f for f in (1, 2)]
     columns += [ballots[:, j] == v for j in range(LABELERS) for v in (-1, 1)]
+    columns += [ballots[:, LABELERS + j] for j in range(MARKS)]
     return np.column_stack(columns).astype(float)
 
 
+def _features(rows: list[tuple[int, int, int]]) -> np.ndarray:
+    return features(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([decode(r[2]) for r in rows]))
+
+
 def train(counts: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Weights of the span classifier: logistic regression on the probabilities of `weigh`, by Newton steps with a ridge."""
-    size = 1 + len(KINDS) - 1 + 2 + 2 * LABELERS
-    weights = np.zeros(size)
+    """Weights of the span classifier: logistic regression on the probabilities of `weigh`, by Newton steps with a ridge.
+
+    Each kind and form weighs the same in total, so the many base spans do not drown the few looser ones.
+    """
     if not counts:
-        return weights
+        return np.zeros(1 + len(KINDS) - 1 + 2 + 2 * LABELERS + MARKS)
     # Two unanimous ballots per kind and form, a hundredth of all weight together, teach what the data may never show.
-    sure = [(k, f, v) for k in range(len(KINDS)) for f in range(3) for v in (0, 3**LABELERS - 1)]
-    rows = [c[:3] for c in counts] + sure
-    x = features(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([decode(r[2]) for r in rows]))
+    sure = [(k, f, code((v,) * LABELERS)) for k in range(len(KINDS)) for f in range(3) for v in (-1, 1)]
+    x = _features([c[:3] for c in counts] + sure)
     n = np.array([c[3] for c in counts], dtype=float)
+    group = np.array([c[0] * 3 + c[1] for c in counts])
+    n /= np.bincount(group, n)[group]
     n = np.concatenate([n / n.sum(), np.full(len(sure), 0.01 / len(sure))])
-    y = np.concatenate([weigh(counts), [float(v > 0) for _, _, v in sure]])
+    y = np.concatenate([weigh(counts), [float(v > 0) for _ in range(len(sure) // 2) for v in (-1, 1)]])
+    weights = np.zeros(x.shape[1])
     for _ in range(CLASSIFIER_ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (n * (p - y)) + 1e-4 * weights
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(size)
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(weights))
         weights = weights - np.linalg.solve(curve, slope)
     return weights
 
 
-def accepted(weights: np.ndarray) -> frozenset[tuple[int, int, int]]:
-    """Every (kind, form, votes) that the classifier gives at least one half."""
-    rows = [(k, f, v) for k in range(len(KINDS)) for f in (1, 2) for v in range(3**LABELERS)]
-    x = features(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([decode(r[2]) for r in rows]))
-    return frozenset(r for r, z in zip(rows, x @ weights) if z >= 0 and any(weights))
+def accepted(counts: list[tuple[int, int, int, int]]) -> frozenset[tuple[int, int, int]]:
+    """Every counted (kind, form, ballot) of no base span that the classifier gives at least one half."""
+    rows = [c[:3] for c in counts if c[1]]
+    return frozenset(r for r, z in zip(rows, _features(rows) @ train(counts)) if z >= 0) if rows else frozenset()
 
 
 def choose(found: list[Candidate], allowed: frozenset[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -285,7 +336,7 @@ def _scan(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def tally(scanned: DataFrame) -> list[tuple[int, int, int, int]]:
-    """How many candidates each (kind, form, votes) has: at most 5 * 3 * 3^5 rows."""
+    """How many candidates each (kind, form, ballot) has: at most 5 * 3 * 3^5 * 2^5 rows."""
     zipped = scanned.select(F.explode(F.arrays_zip("kind", "form", "votes")).alias("c"))
     rows = zipped.groupBy("c.kind", "c.form", "c.votes").agg(F.count(F.lit(1)).alias("n")).collect()
     return sorted((r[0], r[1], r[2], r[3]) for r in rows)
@@ -294,7 +345,7 @@ def tally(scanned: DataFrame) -> list[tuple[int, int, int, int]]:
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: `doc_id`, base counts and digest, and all spans."""
     scanned = cut(_scan(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), ("doc_id",)), "pii")
-    allowed = accepted(train(tally(scanned)))
+    allowed = accepted(tally(scanned))
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +385,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Texts without candidates, nearly all, are passed on as they are. The reliabilities are estimated first, then the texts
     are read a second time.
     """
-    allowed = accepted(train(tally(_scan(docs.select("text"), ()))))
+    allowed = accepted(tally(_scan(docs.select("text"), ())))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
