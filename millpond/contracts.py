@@ -69,6 +69,8 @@ class Contract:
     policy: Policy = field(default_factory=Policy)
     load: Load = field(default_factory=Load)
     write_mode: str = "overwrite"
+    # Whether a quoted field of the source's files may hold line breaks. If none does, large files are split over tasks.
+    multiline: bool = True
 
     def __post_init__(self) -> None:
         names = [f.name for f in self.fields]

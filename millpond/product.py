@@ -121,7 +121,7 @@ def silver(run: Run, contract: Contract, rebuild: bool = False) -> Landed:
     The rows are checked once and written, so accepted, rejected and report read files. A policy that stops the run does so
     after both are written.
     """
-    raw = csv_scan(run.spark, f"{run.bronze}/{contract.source}/{contract.name}")
+    raw = csv_scan(run.spark, f"{run.bronze}/{contract.source}/{contract.name}", multiline=contract.multiline)
     table, mode = silver_table(run, contract), contract.write_mode
     if rebuild and mode == "merge_scd2":
         raise RefreshRefused(f"{contract.name} keeps a version history")

@@ -5,12 +5,14 @@ import json
 import os
 import random
 from collections import Counter
+from dataclasses import replace
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millpond import product
 from millpond.contracts import Contract, ContractError, Field, Load
 from millpond.functions import loglines
 from millpond.plans import logs
@@ -29,6 +31,28 @@ def test_csv_records_are_not_lines(spark, folder):
     assert files.csv_row_count(spark, folder) == 3
 
 
+def test_a_contract_says_whether_csv_files_split(spark, folder):
+    """A source without line breaks inside fields is read in splits of its one file, to the same Silver rows."""
+    made = Contract("item", "sales", "crm", (Field("id", "integer"), Field("note", "string")), primary_key=("id",))
+    where = f"{folder}/bronze/crm/item"
+    os.makedirs(where)
+    with open(f"{where}/a.csv", "w") as out:
+        out.write("id,note\n" + "".join(f'{n},"say ""{n}"""\n' for n in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        whole, split = (files.csv_scan(spark, where, multiline=m).drop("_file") for m in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() > 2
+        assert sorted(whole.collect()) == sorted(split.collect())
+        tables = []
+        for contract in (made, replace(made, multiline=False)):
+            run = product.Run(spark, f"{folder}/bronze", f"{folder}/{contract.multiline}", "dev", "stock", "r")
+            product.silver(run, contract)
+            tables.append(sorted(tuple(r) for r in product.silver_table(run, contract).read().select("id", "note").collect()))
+        assert tables[0] == tables[1] and len(tables[0]) == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_empty_csv_is_an_error(spark, folder):
     os.makedirs(folder)
     with open(f"{folder}/a.csv", "w") as out:
