@@ -112,14 +112,16 @@ column_name string, check_id string, outcome string, pipeline_outcome string, ob
 metrics map<string, double>>>, _corrupt string"""
 
 
-def manifest_scan(spark: SparkSession, folder: str, version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Quality manifests as (readable, refused), one row per document.
+def manifest_scan(
+    spark: SparkSession, folder: str, version: str = "1", lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Quality manifests as (readable, refused), one row per document: a file each, or with `lines` a line each.
 
     Refused: not JSON, another version, or a result of another stage or run than the manifest it is filed under.
     """
     documents = (
         spark.read.schema(MANIFEST)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(folder)
@@ -144,11 +146,12 @@ def manifest_results(manifests: DataFrame) -> DataFrame:
 
 
 def write_manifests(
-    results: DataFrame, folder: str, keys: Sequence[str] = ("stage", "domain", "product", "run_id")
+    results: DataFrame, folder: str, keys: Sequence[str] = ("stage", "domain", "product", "run_id"), per_file: int = 1
 ) -> None:
-    """One JSON document per run and file, its results sorted by identity so that the same results give the same document.
+    """One JSON document per run, its results sorted by identity so that the same results give the same document.
 
-    `manifest_scan` reads what this writes. A run's results are as many as it has checks, and are gathered for its document.
+    `manifest_scan` reads what this writes: a document is one line, and a file holds `per_file` of them at most, so many runs
+    need not be as many files. A run's results are as many as it has checks, and are gathered for its document.
     """
     fields = [
         "identity", "engine", "stage", "domain", "product", "table_name", "column_name", "check_id", "outcome",
@@ -159,7 +162,7 @@ def write_manifests(
         lambda a, b: F.when(a["identity"] < b["identity"], -1).when(a["identity"] > b["identity"], 1).otherwise(0),
     )
     documents = results.groupBy(*keys).agg(F.bool_or("complete").alias("complete"), by_identity.alias("results"))
-    documents.withColumn("version", F.lit("1")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
+    documents.withColumn("version", F.lit("1")).write.mode("overwrite").option("maxRecordsPerFile", per_file).json(folder)
 
 
 def raw_view(df: DataFrame, contract: Contract) -> DataFrame:

@@ -406,3 +406,22 @@ def test_nanoseconds(spark):
     got = [r["n"] for r in df.select("i", loglines.event_ns(F.col("s")).alias("n")).orderBy("i").collect()]
     base = 1704067200 * 10**9
     assert got == [base + 123456789, base + 500000000, base, -1]
+
+
+def test_many_manifests_share_files(spark, folder):
+    """Three thousand runs of two results are lines of a few files and read back as they were."""
+    columns = ["stage", "domain", "product", "run_id", "complete", "identity", "engine", "table_name", "column_name",
+               "check_id", "outcome", "pipeline_outcome", "observed_us", "metrics"]
+    rows = spark.range(6000).selectExpr(
+        "'dev' as stage", "'d' as domain", "'p' as product", "concat('run_', id div 2) as run_id", "id % 7 <> 0 as complete",
+        "concat('i\n', id) as identity", "'e' as engine", "'t' as table_name", "cast(null as string) as column_name",
+        "'unique' as check_id", "'passed' as outcome", "'continued' as pipeline_outcome", "id as observed_us",
+        "map('n', cast(id as double)) as metrics",
+    )
+    assert rows.columns == columns
+    files.write_manifests(rows, folder, per_file=100_000)
+    assert len([n for n in os.listdir(folder) if n.endswith(".json")]) <= 8
+    fine, refused = files.manifest_scan(spark, folder, lines=True)
+    assert fine.count() == 3000 and refused.count() == 0
+    back = files.manifest_results(fine).agg(F.count("identity"), F.countDistinct("identity"), F.sum("observed_us")).first()
+    assert tuple(back) == (6000, 6000, 5999 * 3000)
