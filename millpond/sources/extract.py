@@ -16,22 +16,23 @@ class CursorNotReached(RuntimeError):
     """The budget ended before the last loaded row: moving the cursor would skip rows never read."""
 
 
-def keyset_extract(table: DataFrame, cursor: str, last: Any, max_rows: int) -> DataFrame:
+def keyset_extract(table: DataFrame, cursor: str, last: Any, max_rows: int, refuse: bool = True) -> DataFrame:
     """The next rows past the cursor, in its order, at most `max_rows`. The cursor is any ordered column.
 
     Rows of one cursor value come together, as the next slice starts past it; a value that more than `max_rows` rows share
-    is refused. A row without a cursor has no place in the order and is in no slice. The result is a range of the cursor,
+    is refused, or without `refuse` gives a slice of no rows. A row without a cursor has no place in the order and is in no slice. The result is a range of the cursor,
     so it stays spread over as many tasks as the scan, whatever the budget.
     """
     past = table.where(F.col(cursor).isNotNull() if last is None else F.col(cursor) > F.lit(last))
-    return within(past, cursor, max_rows)
+    return within(past, cursor, max_rows, refuse=refuse)
 
 
-def within(rows: DataFrame, cursor: str, budget: int, newest: bool = False) -> DataFrame:
+def within(rows: DataFrame, cursor: str, budget: int, newest: bool = False, refuse: bool = True) -> DataFrame:
     """The smallest, or `newest` the largest, cursor values whose rows fit the budget; all rows if they do.
 
     Rows are counted per value before anything is sorted. The counts are cut into ranges of values, one number per range
-    reaches the driver, and only the range in which the budget ends is summed value by value.
+    reaches the driver, and only the range in which the budget ends is summed value by value. Where not even the first value
+    fits, `refuse` raises, as a run after it would come to the same value; else no row is within the budget.
     """
     if budget < 1:
         raise ValueError("a row budget is at least one row")
@@ -47,6 +48,8 @@ def within(rows: DataFrame, cursor: str, budget: int, newest: bool = False) -> D
             reached = ranged.where(F.col("range") < number).select("v").union(inside.select("v"))
             bound = last_cursor(reached, "v", smallest=newest)
             if bound is None:
+                if not refuse:
+                    return rows.where(F.lit(False))
                 raise CursorNotReached(f"more than {budget} rows share the next value of {cursor}")
             limit = cursor_value(rows, cursor, bound)
             return rows.where(F.col(cursor) >= limit if newest else F.col(cursor) <= limit)

@@ -425,3 +425,13 @@ def test_many_manifests_share_files(spark, folder):
     assert fine.count() == 3000 and refused.count() == 0
     back = files.manifest_results(fine).agg(F.count("identity"), F.countDistinct("identity"), F.sum("observed_us")).first()
     assert tuple(back) == (6000, 6000, 5999 * 3000)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "date", "timestamp_ntz"])
+def test_a_first_value_past_the_budget_gives_an_empty_slice(spark, kind):
+    """Five rows of one value and a budget of four: refused, or no row at all, never a part of the value."""
+    table = spark.sql(f"select cast({'1' if kind == 'bigint' else '"2024-01-01"'} as {kind}) as at, id from range(5)")
+    with pytest.raises(extract.CursorNotReached):
+        extract.keyset_extract(table, "at", None, 4)
+    assert extract.keyset_extract(table, "at", None, 4, refuse=False).count() == 0
+    assert extract.keyset_extract(table, "at", None, 5, refuse=False).count() == 5
