@@ -35,6 +35,22 @@ def test_searches_fold_case(spark):
     assert df.where(loglines.holds_text(F.col("m"), "%")).count() == 1
 
 
+def test_searches_find_what_folding_finds(spark):
+    """Any piece of any folded text, from one letter on, is found where `str.casefold` has it, and texts are not folded whole."""
+    texts = [t for t in _texts() if t] + ["THE ẗhe ﬆ ſT K ẞ", "teﬄe", "a\\E[b^-]&&"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").coalesce(1)
+    rng = random.Random(2)
+    wanted = ["the ", "_", "100%", "st", "t", "k", "ss", "S", "fl", "]&&", "\\e[", "^-", "", "µ", "ΣΑ"]
+    for t in rng.sample(texts, 60):
+        low = rng.randrange(len(t))
+        wanted.append(t[low : low + rng.randrange(1, 4)].swapcase())
+    got = df.select("t", *[text.holds(F.col("t"), w).alias(f"c{n}") for n, w in enumerate(wanted)]).collect()
+    for r in got:
+        assert list(r[1:]) == [None if r.t is None else w.casefold() in r.t.casefold() for w in wanted], repr(r.t)
+    plan = df.select(text.holds(F.col("t"), "100%"))._jdf.queryExecution().executedPlan().toString()
+    assert "translate" not in plan
+
+
 def test_identities_of_other_alphabets(spark):
     rows = [("dev", "größe", None, "日本", "a|b", "e\x1f", "c😀", "r\"1", None), tuple("abcdefghi"), (None,) * 9]
     df = spark.createDataFrame(rows, ", ".join(f"`{p}` string" for p in quality.IDENTITY))
