@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from millpond.llm import pii, queries
+from millpond.llm import decontaminate, pii, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -130,3 +130,11 @@ def test_registered():
 def test_matches_duckdb(spark, name):
     n, problems = compare(queries.QUERIES[name](spark, FOLDER), connect(FOLDER), queries.ORACLES[name])
     assert not problems and n > 0, "\n".join(problems)
+
+
+def test_decontamination_takes_its_proximity_step(spark, monkeypatch):
+    """The query looks at the proximity matches: were they not found, its exact ones would not be believed."""
+    real = decontaminate.near
+    monkeypatch.setattr(decontaminate, "near", lambda *context: real(*context).where("false"))
+    with pytest.raises(Exception, match="an exact match is not near"):
+        queries.op6_decontamination(spark, FOLDER).collect()
