@@ -103,13 +103,17 @@ def near(terms: DataFrame, postings: DataFrame, counts: DataFrame) -> DataFrame:
     keys = small(cut(windows.select("item", rare.alias("term")).distinct(), "rarest"))
     fewest = windows.groupBy("item").agg(F.min("meet").alias("meet"), F.min("least").alias("fewest"))
     fewest = small(cut(fewest, "fewest"))
-    spots = _tiles(postings.join(keys, "term")).select("k1", "k2", "item", "tile", "term").distinct()
+    # A text's postings are dealt to one task before they multiply by tiles and items, which then go nowhere to be counted.
+    rarest = postings.join(small(cut(keys.select("term").distinct(), "rarest")), "term", "left_semi").repartition("k1", "k2")
+    spots = _tiles(rarest).select("k1", "k2", "tile", "term").distinct().join(keys, "term")
     spots = spots.groupBy("k1", "k2", "item", "tile").agg(F.count(F.lit(1)).alias("n")).join(fewest, "item").where("n >= meet")
-    spots = small(cut(spots.select("k1", "k2", "item", "tile"), "spots"))
+    spots = cut(spots.select("k1", "k2", "item", "tile"), "spots")
+    texts = small(cut(spots.select("k1", "k2").distinct(), "texts"))
+    spots = small(spots)
 
     words = windows.select("item", "w", "least", F.explode("words").alias("term"))
     own = small(cut(words.select("item", "term").distinct(), "words"))
-    there = _tiles(postings).join(spots, ["k1", "k2", "tile"]).join(own, ["item", "term"])
+    there = _tiles(postings.join(texts, ["k1", "k2"], "left_semi")).join(spots, ["k1", "k2", "tile"]).join(own, ["item", "term"])
     # Copies of a text have equal postings: as a set they are one.
     there = there.groupBy("k1", "k2", "item", "tile").agg(F.collect_set(F.struct("pos", "term")).alias("found"))
     there = there.join(fewest, "item").where("size(array_distinct(found.term)) >= fewest")
