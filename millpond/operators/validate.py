@@ -153,13 +153,14 @@ def _counts(copies: Column, filed: bool) -> list[Column]:
 class Checked:
     """`rows` holds the source text, `_errors` and `_copies`, the number of identical source rows it stands for;
     `source` is the same rows, none folded. `counted` are the counts of the rows whose key is not repeated, if they were observed
-    while the rows were written, and `few` the other rows of `rows`."""
+    while the rows were written, and `few` the other rows of `rows`; `singles` are those whose key is not repeated."""
 
     contract: Contract
     source: DataFrame
     rows: DataFrame
     counted: dict | None = None
     few: DataFrame | None = None
+    singles: DataFrame | None = None
 
     def _totals(self) -> DataFrame:
         """One row of `_counts` over all rows, reading no more of them than was not counted yet."""
@@ -192,6 +193,35 @@ class Checked:
             return self.rows.where(F.lit(False))
         return self.rows.where(F.size(ERRORS) > 0)
 
+    def folded(self, *columns: str, rejected: bool = False) -> DataFrame:
+        """All rows, or the `rejected` ones, as one per value of the declared columns, the further `columns` and the `errors` as
+        text, with its number of `copies`.
+
+        A row whose key is complete and not repeated has no equal, so it is not sent to be grouped.
+        """
+        contract = self.contract
+        types = {f.name: f.type for f in contract.fields}
+        names = [*contract.names, *columns]
+
+        def shown(df: DataFrame) -> DataFrame:
+            kept = df.where((F.size(ERRORS) > 0) & F.lit(contract.policy.severity != "warn")) if rejected else df
+            return kept.select(*[f"`{c}`" for c in names], error_text().alias("errors"), F.col(COPIES).alias("copies"))
+
+        def grouped(df: DataFrame) -> DataFrame:
+            return df.groupBy(*[f"`{c}`" for c in names], "errors").agg(F.sum("copies").alias("copies"))
+
+        by_file = contract.write_mode == "merge_scd2" and FILE in self.rows.columns and FILE not in columns
+        if not contract.primary_key or by_file:
+            return grouped(shown(self.rows))
+        complete = F.lit(True)
+        for key in contract.primary_key:
+            complete = complete & typed(F.col(f"`{key}`"), types[key]).isNotNull()
+        rest = self.few
+        if not self.counted or self.counted["keyless"]:
+            keyless = self.singles.where(~complete)
+            rest = keyless if rest is None else rest.unionByName(keyless)
+        return shown(self.singles.where(complete)).unionByName(grouped(shown(rest)))
+
     def rejection(self) -> DataFrame:
         """One row: rows, rejected, the rejected share and whether the limit is exceeded. At the limit passes."""
         limit = self.contract.policy.max_rejection_rate
@@ -247,14 +277,15 @@ class Checked:
             )
 
 
-def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is) -> Checked:
+def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is, keep_rows: bool = True) -> Checked:
     """Check source rows against their contract. A missing column is an entity failure, an extra one is left out.
 
     A key repeated over files is a duplicate whose first file counts; a `merge_scd1` entity takes the last file's row, and a
     `merge_scd2` entity keeps one version per file, so only copies inside a file are duplicates.
 
     Pass `session.cut` as `keep` on large data: the checked rows are then written once, rows of repeated keys apart from the others, and
-    the counts of the report are taken while they are.
+    the counts of the report are taken while they are. Without `keep_rows` only the repeated keys and their rows are written, which is
+    enough for a report alone.
     """
     missing, _ = schema_mismatch(raw, contract)
     if missing:
@@ -269,31 +300,35 @@ def check(raw: DataFrame, contract: Contract, keep: Keep = _as_is) -> Checked:
     keyed = rows.withColumns({slot: typed(F.col(f"`{k}`"), types[k]) for slot, k in zip(slots, keys)})
     per_file = [FILE] if filed and contract.write_mode == "merge_scd2" else []
     one = F.lit(1).cast("bigint").alias(COPIES)
-    if not keys:
+    repeated = keep(repeated_keys(keyed, [*slots, *per_file]).drop("n_records")) if keys else None
+    unique = not keys or (keep is not _as_is and repeated.isEmpty())
+    if unique:
         marked = rows.withColumn(REPEATED, F.lit(False))
     else:
-        repeated = keep(repeated_keys(keyed, [*slots, *per_file]).drop("n_records"))
         marked = keyed.join(repeated.withColumn("_hit", F.lit(True)), [*slots, *per_file], "left")
         marked = marked.withColumn(REPEATED, F.col("_hit").isNotNull())
-    marked = marked.select(*[f"`{c}`" for c in columns], *slots, row_errors(contract).alias(ERRORS), REPEATED)
+    # The typed key is found again where it is needed: a unique key written twice would be most of many a table.
+    marked = marked.select(*[f"`{c}`" for c in columns], row_errors(contract).alias(ERRORS), REPEATED)
+    typed_keys = {slot: typed(F.col(f"`{k}`"), types[k]) for slot, k in zip(slots, keys)}
     seen, counted = Observation(), None
-    if keep is not _as_is:
-        several = F.count_if(REPEATED).alias("several")
+    if keep is not _as_is and keep_rows:
+        keyless = F.lit(False)
+        for value in typed_keys.values():
+            keyless = keyless | value.isNull()
         alone = F.when(F.col(REPEATED), 0).otherwise(1).cast("bigint")
-        marked = keep(marked.observe(seen, *_counts(alone, filed), several), "checked", [REPEATED])
+        marked = keep(marked.observe(seen, *_counts(alone, filed), F.count_if(keyless).alias("keyless")), "checked", [REPEATED])
         counted = seen.get
     singles = marked.where(~F.col(REPEATED)).select(*[f"`{c}`" for c in columns], ERRORS, one)
-    if not keys or (counted and not counted["several"]):
-        few = singles.where(F.lit(False))
-        return Checked(contract, marked, singles, counted, few if counted else None)
-    first, later = split_copies(marked.where(REPEATED), [*slots, *per_file], columns, filed and contract.write_mode == "merge_scd1")
+    if unique:
+        return Checked(contract, marked, singles, counted, singles.where(F.lit(False)), singles)
+    first, later = split_copies(marked.where(REPEATED).withColumns(typed_keys), [*slots, *per_file], columns, filed and contract.write_mode == "merge_scd1")
     duplicate = F.array(_error("unique", ",".join(keys)))
     few = keep(
         first.select(*[f"`{c}`" for c in columns], row_errors(contract).alias(ERRORS), one).unionByName(
             later.select(*[f"`{c}`" for c in columns], F.concat(row_errors(contract), duplicate).alias(ERRORS), COPIES)
         )
     )
-    return Checked(contract, marked, singles.unionByName(few), counted, few if counted else None)
+    return Checked(contract, marked, singles.unionByName(few), counted, few, singles)
 
 
 def error_text(errors: str | Column = ERRORS) -> Column:

@@ -64,12 +64,7 @@ def _checked(spark: SparkSession, sf_dir: str) -> validate.Checked:
     from checked group by all""",
 )
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _checked(spark, sf_dir).rows
-    return (
-        rows.withColumn("errors", validate.error_text())
-        .groupBy(*RAW_LINES.names, F.col(validate.FILE).alias("file_name"), "errors")
-        .agg(F.sum(validate.COPIES).alias("copies"))
-    )
+    return _checked(spark, sf_dir).folded(validate.FILE).withColumnRenamed(validate.FILE, "file_name")
 
 
 @register(

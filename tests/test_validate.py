@@ -7,6 +7,7 @@ from dataclasses import replace
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from millpond.contracts import CONTRACTS, Contract, ContractError, Field, Load, Policy
 from millpond.operators import datatests, profiling, validate
@@ -246,3 +247,38 @@ def test_profile_of_every_type(spark):
     # Values keep their types: none becomes a text, and one shuffle of grouping sets serves all distinct counts.
     plan = profiling.profile(df.select("big", "d", "day"), "Internal")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 1 and "as string" not in plan and "Generate" not in plan.split("Expand")[1]
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "merge_scd1", "merge_scd2"])
+def test_folded_rows_group_only_what_can_repeat(spark, mode):
+    """One row per different row and its errors, keyless copies and repeated keys among them, as grouping them all gives."""
+    contract = Contract("t", "d", "s", (Field("id", "integer"), Field("v", "integer")), ("id",), write_mode=mode)
+    rows = [("1", "1", "a"), ("2", "x", "a"), ("2", "x", "b"), ("02", "x", "b"), ("3", "4", "a"), ("3", "4", "a"), ("3", "4", "b"),
+            (None, "7", "a"), (None, "7", "a"), (None, "7", "b"), ("y", "1", "a"), ("y", "1", "a"), ("9", "", "b")]
+    raw = spark.createDataFrame(rows, f"id string, v string, {validate.FILE} string")
+    for keep in (cut, validate._as_is):
+        checked = validate.check(raw, contract, keep)
+        for columns in ([], [validate.FILE]):
+            for rejected in (False, True):
+                whole = checked.rejected if rejected else checked.rows
+                want = whole.withColumn("errors", validate.error_text()).groupBy("id", "v", *columns, "errors")
+                want = Counter(map(tuple, want.agg(F.sum(validate.COPIES).alias("copies")).collect()))
+                assert Counter(map(tuple, checked.folded(*columns, rejected=rejected).collect())) == want
+    assert sum(r.copies for r in validate.check(raw, contract, cut).folded().collect()) == len(rows)
+
+
+def test_a_report_alone_writes_no_checked_rows(spark):
+    """Without `keep_rows` the report is the same, and what is written holds no row of a key that is not repeated."""
+    contract = Contract("t", "d", "s", (Field("id", "string"), Field("v", "integer")), ("id",))
+    raw = spark.range(2000).selectExpr("concat('k', if(id < 5, 0, id)) as id", "if(id % 9 = 0, 'x', cast(id as string)) as v")
+    written = []
+
+    def keep(df, label="cut", by=()):
+        written.append((label, (held := cut(df, label, by)).count(), held.columns))
+        return held
+
+    report = validate.check(raw, contract, keep, keep_rows=False).report().collect()
+    assert [(label, n) for label, n, _ in written] == [("cut", 1), ("cut", 5)]
+    assert report == validate.check(raw, contract, keep).report().collect() == validate.check(raw, contract).report().collect()
+    # Checked rows are written without a second, typed copy of their key.
+    assert [c for label, _, c in written if label == "checked"] == [["id", "v", "_errors", "_repeated"]]
