@@ -88,12 +88,7 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     where errors <> '' group by all""",
 )
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _checked(spark, sf_dir)
-        .rejected.withColumn("errors", validate.error_text())
-        .groupBy(*RAW_LINES.names, "errors")
-        .agg(F.sum(validate.COPIES).alias("copies"))
-    )
+    return _checked(spark, sf_dir).folded(rejected=True)
 
 
 @register(
