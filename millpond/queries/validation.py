@@ -252,7 +252,7 @@ def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = [
-        validate.check(view(spark, sf_dir, f"{name}_v"), contract)
+        validate.check(view(spark, sf_dir, f"{name}_v"), contract, cut, keep_rows=False)
         .report()
         .select("entity", "rows", "accepted", "rejected")
         for name, contract in CONTRACTS.items()
