@@ -14,7 +14,7 @@ from ..operators.validate import RunAborted
 from ..registry import register
 from ..session import scratch, table
 from ..shapes import ctes, view
-from ..sources.files import raw_view
+from ..sources.files import land_csv, raw_view
 from .gold import BY_DAY, FACT, FACT_VIEWS, HEALTH, HEALTH_VIEWS, POSITION, RISK, RISK_VIEWS
 
 OBSERVED = 1706659200000000
@@ -25,9 +25,7 @@ def _land(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> str:
     root = scratch(spark, "product")
     for name in names:
         contract = CONTRACTS[name]
-        raw_view(view(spark, sf_dir, f"{name}_v"), contract).write.option("header", True).csv(
-            f"{root}/bronze/{contract.source}/{name}"
-        )
+        land_csv(raw_view(view(spark, sf_dir, f"{name}_v"), contract), f"{root}/bronze/{contract.source}/{name}")
     return root
 
 

@@ -24,10 +24,10 @@ def csv_scan(
     *,
     separator: str = ",",
     encoding: str = "utf-8",
-    glob: str = "*.csv",
+    glob: str = "*.{csv,csv.gz}",
     multiline: bool = True,
 ) -> DataFrame:
-    """Every CSV file of a folder as text columns, named by the header, with the file each row came from.
+    """Every CSV file of a folder, plain or gzipped, as text columns, named by the header, with the file each row came from.
 
     A quoted field may hold line breaks, so a file is one task; a source that never quotes a line break can say so with
     `multiline=False` and have its large files split.
@@ -168,3 +168,9 @@ def write_manifests(
 def raw_view(df: DataFrame, contract: Contract) -> DataFrame:
     """The contract's columns as text, the form a source file holds."""
     return df.select(*[F.col(n).cast("string").alias(n) for n in contract.names])
+
+
+def land_csv(rows: DataFrame, folder: str, per_file: int = 1_000_000) -> None:
+    """Source files as they land: gzipped CSV. A file is read by one task, so each holds `per_file` rows at most."""
+    out = rows.write.option("header", True).option("escape", '"').option("compression", "gzip")
+    out.option("maxRecordsPerFile", per_file).csv(folder)

@@ -435,3 +435,14 @@ def test_a_first_value_past_the_budget_gives_an_empty_slice(spark, kind):
         extract.keyset_extract(table, "at", None, 4)
     assert extract.keyset_extract(table, "at", None, 4, refuse=False).count() == 0
     assert extract.keyset_extract(table, "at", None, 5, refuse=False).count() == 5
+
+
+def test_landed_files_are_bounded_and_gzipped(spark, folder):
+    """One partition of 2,500 rows lands as files of 1,000, line breaks and quotes in its fields kept, and beside a plain file."""
+    rows = spark.range(2500).selectExpr("cast(id as string) as id", "concat('a\n\"b\", ', id) as note").coalesce(1)
+    files.land_csv(rows, f"{folder}/gz", per_file=1000)
+    assert len([n for n in os.listdir(f"{folder}/gz") if n.endswith(".csv.gz")]) == 3
+    with open(f"{folder}/gz/plain.csv", "w") as out:
+        out.write("id,note\nx,y\n")
+    back = Counter((r["id"], r["note"]) for r in files.csv_scan(spark, f"{folder}/gz").collect())
+    assert back == Counter([("x", "y"), *((r["id"], r["note"]) for r in rows.collect())])
