@@ -148,7 +148,7 @@ def silver(run: Run, contract: Contract, rebuild: bool = False) -> Landed:
                 table.upsert(checked.accepted_from())
             files.write.mode("append").parquet(f"{table.root}/files/version=0")
     refused = checked.rejected.withColumn("_errors", validate.error_text())
-    csv_cells(refused).write.mode("overwrite").option("header", True).option("escape", '"').csv(
+    csv_cells(refused).write.mode("overwrite").option("header", True).option("escape", '"').option("compression", "gzip").csv(
         f"{run.root}/rejected/{contract.domain}/{contract.name}"
     )
     try:
