@@ -149,7 +149,7 @@ def _write_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = scratch(spark, "modes")
         run = product.Run(spark, f"{root}/bronze", root, "dev", "orders", "run_1")
         for number, rows in enumerate(loads, 1):
-            rows.write.option("header", True).csv(f"{run.bronze}/crm/order_states/load_id={number:010d}")
+            land_csv(rows, f"{run.bronze}/crm/order_states/load_id={number:010d}")
             if number == len(loads) or not mode.endswith("_at_once"):
                 product.silver(run, contract)
         held = product.silver_table(run, contract).read()
