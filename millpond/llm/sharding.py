@@ -4,6 +4,8 @@ The score of shard s for a key is `weight / -ln(u)`, u being a hash of the key a
 get rows in proportion to their weights, the place depends on the key and the shards alone, and one more shard takes rows
 only into itself: no other score changes. Everything is expressions over single rows; no row meets another to be placed.
 
+The shards are an array that one small expression goes through, so the code Spark makes for a row does not grow with them.
+
 `slot` numbers a shard's rows from 0 without gaps. No shard is numbered in one task: equal rows are counted before the
 shuffle, counts are added up per (shard, bucket) with buckets by a hash of the row, the few totals are summed over the
 buckets of a shard, and each bucket numbers its rows from its own offset. A row that comes very often is a single count.
@@ -23,9 +25,9 @@ BUCKET_DIGITS = 3
 RUN = 1 << 12
 
 
-def fraction(key: Column, shard: int) -> Column:
+def fraction(key: Column, shard: Column) -> Column:
     """A number in (0, 1) from a key and a shard: 52 bits of a digest."""
-    digits = F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13)
+    digits = F.substring(F.md5(F.concat(key, F.lit(":"), shard.cast("string"))), 1, 13)
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
@@ -33,12 +35,11 @@ def rendezvous(key: Column, weights: dict[int, float]) -> Column:
     """The shard of a key (a string): the highest score, the smaller number of two equal ones."""
     if not weights or any(w <= 0 for w in weights.values()):
         raise ValueError("shards need positive weights")
-    scored = [
-        F.struct((F.lit(float(weight)) / -F.log(fraction(key, shard))).alias("score"), F.lit(-shard).alias("shard"))
-        for shard, weight in sorted(weights.items())
-    ]
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-    return (-best["shard"]).cast("int")
+    shards = F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(float(w)).alias("weight")) for s, w in sorted(weights.items())))
+    scored = F.transform(
+        shards, lambda s: F.struct((s["weight"] / -F.log(fraction(key, s["shard"]))).alias("score"), (-s["shard"]).alias("shard"))
+    )
+    return (-F.array_max(scored)["shard"]).cast("int")
 
 
 def assign(docs: DataFrame, weights: dict[int, float], grown: dict[int, float]) -> DataFrame:
@@ -67,13 +68,13 @@ def assign(docs: DataFrame, weights: dict[int, float], grown: dict[int, float])
         "first", F.col("offset") + F.coalesce(F.sum("copies").over(inside), F.lit(0))
     )
     # A row that comes very often is written out again in runs of bounded length.
-    last = F.col("first") + F.col("copies") - 1
     runs = numbered.select(
-        "doc_id", "size", "text_crc32", "shard", "grown_shard", last.alias("last"),
-        F.explode(F.sequence("first", last, F.lit(RUN).cast("bigint"))).alias("begin"),
+        "doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("first") + F.col("copies")).alias("end"), "first",
+        F.posexplode(F.array_repeat(F.lit(0), F.ceil(F.col("copies") / RUN).cast("int"))).alias("run", "_"),
     )
+    begin = F.col("first") + F.col("run") * F.lit(RUN).cast("bigint")
+    runs = runs.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "end", begin.alias("begin"))
+    length = F.least(F.lit(RUN), F.col("end") - F.col("begin")).cast("int")
     return runs.select(
-        "doc_id", "size", "text_crc32", "shard",
-        F.explode(F.sequence("begin", F.least("last", F.col("begin") + RUN - 1))).alias("slot"),
-        "grown_shard",
-    )
+        "doc_id", "size", "text_crc32", "shard", "grown_shard", "begin", F.posexplode(F.array_repeat(F.lit(0), length)).alias("k", "_")
+    ).select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("k")).alias("slot"), "grown_shard")

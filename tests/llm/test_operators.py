@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import zlib
@@ -309,6 +310,30 @@ def test_shards_follow_weights(spark):
         sharding.rendezvous(F.lit("a"), {0: 0.0})
 
 
+def test_shards_are_gone_through_by_one_small_expression(spark):
+    """What is compiled for a row does not grow with the shards, and the places are those of the plain formula."""
+    docs = frame(spark, [(i, f"text {i}") for i in range(200)] + [(None, None)], clash=False)
+
+    def plan(n):
+        even = {s: 1.0 for s in range(n)}
+        return sharding.assign(docs, even, even | {n: 1.0})._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+
+    assert plan(4) == plan(64)
+
+    def place(key, weights):
+        def score(s):
+            return weights[s] / -math.log((int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
+
+        return max(weights, key=lambda s: (score(s), -s))
+
+    old, new = {0: 1.0, 1: 2.5, 5: 1.0}, {0: 1.0, 1: 2.5, 5: 1.0, 9: 3.0}
+    got = sharding.assign(docs, old, new).collect()
+    assert len(got) == 201
+    for r in got:
+        key = "null" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (place(key, old), place(key, new))
+
+
 def test_slots_of_a_row_that_comes_very_often(spark):
     docs = spark.range(10_000).select(F.lit(7).alias("doc_id"), F.lit("t").alias("text"))
     got = sharding.assign(docs, {0: 1.0}, {0: 1.0, 1: 1.0})
