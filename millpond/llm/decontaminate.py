@@ -10,8 +10,9 @@
    runs of 13 consecutive words found (or all words of a shorter item) are exact matches, and each word in one is hit.
 5. Proximity: an item is near if some stretch of `SLOP` words of a text holds at least three quarters of the different words of one of
    its windows, in any arrangement; words that no document has count as missing. Of any such three quarters, MEET stand among the
-   window's rarest quarter and MEET more, so these are looked up first, in tiles of two stretches that overlap by one; only where
-   they meet are all words of the item read and every stretch looked at. Such items are counted apart and do not decide contamination.
+   window's rarest quarter and MEET more, so these are looked up first, in tiles of two stretches that overlap by one, each a bit of
+   its item's mask of a tile; only where those of one window meet are all words of the item read and every stretch looked at. Such
+   items are counted apart and do not decide contamination.
 
 The terms, windows and alignments are broadcast only if they are counted and small; beyond the bound the same joins
 shuffle. Nothing is collected per term: a word that is a third of all words is counted map-side and its postings are read
@@ -33,6 +34,8 @@ LEVELS = 3
 SLOP = 2 * WINDOW
 MEET = 3
 PERCENT = 5
+# Words of an item share the bits of a long when it has more.
+BITS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 # Rows of a table that may be broadcast: at most about 16 MB.
@@ -61,10 +64,16 @@ def item_terms(benchmark: DataFrame) -> DataFrame:
     return items.distinct().withColumn("need", F.least(F.col("size"), F.lit(WINDOW)))
 
 
+def tokens(docs: DataFrame) -> DataFrame:
+    """`k1`, `k2`, `pos`, `word` of every word of the texts."""
+    # Keys selected beside the posexplode would be computed behind it, from the whole text for each of its words.
+    keyed = docs.select(*content_key(F.col("text").cast("string")), "text")
+    return keyed.select("k1", "k2", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
+
+
 def index(docs: DataFrame, words: DataFrame) -> DataFrame:
     """The postings `k1`, `k2`, `pos`, `term` of the words in `words` (`word`, `term`), written to the shared folder."""
-    tokens = docs.select(*content_key(F.col("text").cast("string")), F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    return cut(tokens.join(small(words), "word").select("k1", "k2", "pos", "term"), "postings")
+    return cut(tokens(docs).join(small(words), "word").select("k1", "k2", "pos", "term"), "postings")
 
 
 def _ranked_windows(terms: DataFrame, counts: DataFrame) -> DataFrame:
@@ -99,14 +108,26 @@ def near(terms: DataFrame, postings: DataFrame, counts: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("least", F.ceil(F.size("words") * 0.75).cast("int")).withColumn("meet", F.least("least", F.lit(MEET)))
     windows = cut(ranked, "windows")
 
+    # A rare word is a bit by its first place in the item, so that words of one window seldom share one; where they do, the
+    # window asks for as many bits fewer.
+    bits = terms.groupBy("item", "term").agg(F.expr(f"shiftleft(1L, min(j) % {BITS})").alias("bit"))
     rare = F.explode(F.slice("words", F.lit(1), F.size("words") - F.col("least") + F.col("meet")))
-    keys = small(cut(windows.select("item", rare.alias("term")).distinct(), "rarest"))
-    fewest = windows.groupBy("item").agg(F.min("meet").alias("meet"), F.min("least").alias("fewest"))
-    fewest = small(cut(fewest, "fewest"))
+    rare = cut(windows.select("item", "w", "meet", rare.alias("term")).join(bits, ["item", "term"]), "rarest")
+    masks = rare.groupBy("item", "w", "meet").agg(F.bit_or("bit").alias("mask"), F.count(F.lit(1)).alias("n"))
+    masks = masks.select("item", "mask", (F.col("meet") - F.col("n") + F.bit_count("mask")).alias("need"))
+    masks = masks.groupBy("item").agg(F.collect_set(F.struct("mask", "need")).alias("masks"), F.min("need").alias("need"))
+    masks = cut(masks, "masks")
+    keys = rare.select("item", "term", "bit").distinct().join(masks.select("item", "need"), "item")
+    keys = small(cut(keys, "rarest"))
+    # A row holds all windows of its item: these are what is counted.
+    masks = F.broadcast(masks) if windows.count() <= SMALL else masks
+    fewest = small(cut(windows.groupBy("item").agg(F.min("least").alias("fewest")), "fewest"))
     # A text's postings are dealt to one task before they multiply by tiles and items, which then go nowhere to be counted.
     rarest = postings.join(small(cut(keys.select("term").distinct(), "rarest")), "term", "left_semi").repartition("k1", "k2")
-    spots = _tiles(rarest).select("k1", "k2", "tile", "term").distinct().join(keys, "term")
-    spots = spots.groupBy("k1", "k2", "item", "tile").agg(F.count(F.lit(1)).alias("n")).join(fewest, "item").where("n >= meet")
+    spots = _tiles(rarest).select("k1", "k2", "tile", "term").join(keys, "term")
+    spots = spots.groupBy("k1", "k2", "item", "tile").agg(F.bit_or("bit").alias("seen"), F.min("need").alias("need"))
+    spots = spots.where(F.bit_count("seen") >= F.col("need")).drop("need").join(masks.drop("need"), "item")
+    spots = spots.where(F.expr("exists(masks, m -> bit_count(seen & m.mask) >= m.need)"))
     spots = cut(spots.select("k1", "k2", "item", "tile"), "spots")
     texts = small(cut(spots.select("k1", "k2").distinct(), "texts"))
     spots = small(spots)

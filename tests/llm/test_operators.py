@@ -250,6 +250,48 @@ def test_near_items(spark, monkeypatch, broadcast):
     check(decontaminate.judge(frame(spark, rows), table_), ["doc_id", "n_near"], want)
 
 
+def test_a_text_is_hashed_once_not_for_each_word(spark):
+    plan = decontaminate.tokens(frame(spark, EDGES))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    generate = next(i for i, line in enumerate(plan) if "Generate" in line)
+    hashed = [i for i, line in enumerate(plan) if "xxhash64" in line]
+    assert hashed and min(hashed) > generate  # below it in the tree
+
+
+def test_near_items_whose_words_share_bits(spark):
+    """Words 64 places apart are one bit of a mask, here in one window."""
+    rng = random.Random(7)
+    own = [f"a{i}" for i in range(64)] + ["b64", "a0", *(f"b{i}" for i in range(66, 77))]
+    items = [(1, " ".join(own)), (2, " ".join(own[60:] + own[:70])), (3, "far " + " ".join(reversed(own)))]
+    rows = []
+    for i in range(80):
+        start = rng.choice([64, 64, 63, 58, rng.randrange(64)])
+        part = rng.sample(own[start : start + 13], rng.choice([9, 10, 10, 11])) + [f"pad{j}" for j in range(rng.randrange(0, 16))]
+        rng.shuffle(part)
+        rows.append((i, "fill " * rng.randrange(0, 60) + " ".join(part) + " tail" * rng.randrange(0, 30)))
+    table_ = prepare(spark).createDataFrame(items, "item_id long, text string")
+    want = [(doc_id, near_items(text, items)) for doc_id, text in rows]
+    assert sum(n > 0 for _, n in want) > 20 and sum(n == 0 for _, n in want) > 10
+    check(decontaminate.judge(frame(spark, rows), table_), ["doc_id", "n_near"], want)
+
+
+def test_rare_words_of_different_windows_are_no_candidate(spark, monkeypatch):
+    seen = []
+    real = decontaminate.cut
+
+    def watch(df, label):
+        written = real(df, label)
+        if label == "spots":
+            seen.append(written.count())
+        return written
+
+    monkeypatch.setattr(decontaminate, "cut", watch)
+    item = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "w1 w21 w41 w59 pad")] + [(9, f"only w{i} here") for i in range(60)]
+    table_ = prepare(spark).createDataFrame([(1, item)], "item_id long, text string")
+    check(decontaminate.judge(frame(spark, rows), table_), ["doc_id", "n_near"], [(d, 0) for d, _ in rows])
+    assert seen == [0]
+
+
 SPANS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
