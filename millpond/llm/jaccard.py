@@ -8,18 +8,19 @@ the join returns, per document, the component of the links it is in.
    of documents and affects cost only, never a result. Two sets that link share a token among the first
    n - ceil(0.75 n) + 1 of each; these prefixes are sent, packed, to shards by token, and tokens held by one set alone end there.
 3. What is left is the matrix of shared tokens. Similar sets are partitioned into groups by the smallest hash of their shared
-   tokens, at most `GROUP` sets each. Inside a group, and inside a second partition by another hash, all links are found; they join
-   sets into components.
+   tokens and their size, at most `GROUP` sets each. Inside a group, and inside a second partition by another hash and of all sizes,
+   all links are found; they join sets into components. Two sets that link share so many tokens of their prefixes (`least_shared`) that most sets are known by their
+   rows of the matrix to link with none of their group. Only texts of the others are sent.
 4. The token-group matrix has a row per (token, group) with the largest component any holder is in. A set queries a group if
-   they share a token and a holder's component is another and larger one, so for two sets of different components the one in the smaller
-   component queries, and copies of one text by the thousands, long joined, query nothing.
+   they share enough such tokens and a holder's component is another and larger one, so for two sets of different components the one in
+   the smaller component queries, and copies of one text by the thousands, long joined, query nothing.
 5. A group that is queried holds its sets' whole tokens as bitmaps, and their union. A token of the query whose place in the union is empty
    is in no member, so the union bounds the query's overlap with every member, and a member's bitmap the overlap with it.
    Only groups and members whose bound reaches the threshold are opened: their texts are sent and compared exactly.
 
 Only links between components matter for the result, so one link per pair of a query and a component is kept, never all pairs. Groups are
 bounded, a group with very many queries is copied to several tasks, and a token's holders are never gathered: joins run on keys
-that AQE can split. Texts are fetched once, for the sets that share a prefix token. Shingles and sets are known by 64-bit hashes.
+that AQE can split. Texts are fetched twice, each time only of the sets that may still link. Shingles and sets are known by 64-bit hashes.
 
 Null, empty and blank texts have no shingles and link with nothing; texts of one to four words have one, the whole
 sequence. Repeated rows link. A null doc_id is never a component's name unless all its ids are null. Other columns are not read.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
@@ -45,10 +46,18 @@ SIZE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 GROUP = 128
 QUERIES = 1024
+# Steps of size from one power of two to the next.
+STEPS = 8
 # The order of tokens is fitted on about so many documents, and knows at most so many frequent tokens.
 SAMPLE = 20_000
 FREQUENT = 1 << 17
 FLUSH = 2_000_000
+# More tokens than a set has.
+NEVER = 1 << 62
+# Bits that mark the keys of wanted texts: 4 MB on the driver and with the tasks, whatever the number of keys.
+MARKS = 1 << 25
+# Spark's bitmaps hold so many bits each.
+BITMAP = 1 << 15
 
 
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
@@ -253,6 +262,76 @@ class Holders:
         return np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (len(query) + self.sizes - common))
 
 
+def least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many tokens the prefixes of two sets of `a` and `b` tokens have in common at least, if the sets link.
+
+    Of the prefixes, one ends first in the order of tokens. What the sets share up to there both prefixes hold; past it lie only
+    the tokens that its set has behind its prefix. Sets whose sizes are too far apart never link.
+    """
+    most = np.maximum(a, b)
+    overlap = -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+    behind = -(-NUMERATOR * most // DENOMINATOR) - 1
+    return np.where(DENOMINATOR * np.minimum(a, b) < NUMERATOR * most, NEVER, overlap - behind)
+
+
+def enough_shared(shared: Column, n: Column, low: Column, high: Column) -> Column:
+    """Whether `shared` tokens are at least `least_shared` of `n` and some size from `low` to `high`. Without its rounding that
+    falls from `n` on either way, so it is least at an end."""
+    whole = NUMERATOR + DENOMINATOR
+
+    def least(m: Column) -> Column:
+        return NUMERATOR * DENOMINATOR * (n + m) - NUMERATOR * whole * F.greatest(n, m) + whole
+
+    return DENOMINATOR * whole * shared >= F.least(least(low), least(high))
+
+
+def near_members(matrix: DataFrame, assigned: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`id`, `g`: the sets that share enough tokens of the matrix with another of their group to link with it."""
+    several = assigned.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("g")
+    held = matrix.groupBy("id").agg(F.collect_list("token").alias("tokens")).join(sizes.select("id", "n"), "id")
+    rows = assigned.join(several, "g").join(held, "id").select("g", "id", "n", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "g"):
+            sizes_ = table.column("n").to_numpy()
+            keep = np.zeros(len(sizes_), dtype=bool)
+            if len(keep) > 1:
+                tokens = table.column("tokens").combine_chunks()
+                ends = np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+                sets = np.split(tokens.flatten().to_numpy().view(np.uint64), ends)
+                holders = Holders(sets)
+                for i, own in enumerate(sets):
+                    at = np.searchsorted(holders.union, own)
+                    common = np.bincount(holders.owner[expand(holders.start[at], holders.length[at])], minlength=len(sets))
+                    common[i] = 0
+                    keep[i] = (common >= least_shared(sizes_[i], sizes_)).any()
+            columns = [pa.array(table.column(c).to_numpy()[keep]) for c in ("id", "g")]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "g"])
+
+    return mapped(rows.repartition("g").sortWithinPartitions("g"), run, "id long, g long")
+
+
+def texts_of(ids: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """`id`, `n`, `text` of the sets asked for. Texts whose key is marked for none of them are left out before they are sent."""
+    wanted = cut(named.join(ids.select("id").distinct(), "id", "left_semi"), "wanted")
+    place = F.col("k1").bitwiseAND(F.lit(MARKS - 1))
+    marked = wanted.groupBy(F.floor(place / BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(BITMAP))).alias("bits"))
+    marks = np.zeros(MARKS // 8, dtype=np.uint8)
+    for part, bits in marked.collect():
+        marks[part * BITMAP // 8 : (part + 1) * BITMAP // 8] = np.frombuffer(bits, dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("k1").to_numpy() & (MARKS - 1)
+            found = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(found.astype(bool)))
+
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "k1", "k2", "text")
+    # Rows that are wholly equal are one from the start.
+    keyed = mapped(rows, run, "d long, k1 long, k2 long, text string").groupBy("d", "k1", "k2").agg(F.first("text").alias("text"))
+    return wanted.join(keyed, ["d", "k1", "k2"]).select("id", "n", "text")
+
+
 def with_bitmaps(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,9 +483,12 @@ def opened_links(opens: DataFrame, members: DataFrame, texts: DataFrame, size: i
     return mapped(rows.repartition("slot").sortWithinPartitions("slot", "role"), run, "a long, b long")
 
 
-def _grouped(matrix: DataFrame, seed: int) -> DataFrame:
-    """`id`, `g`: sets that share the smallest hash of their shared tokens, in groups of about GROUP."""
+def _grouped(matrix: DataFrame, seed: int, sizes: DataFrame | None = None) -> DataFrame:
+    """`id`, `g`: sets that share the smallest hash of their shared tokens, in groups of about GROUP; with `sizes`, of about one size."""
     key = matrix.groupBy("id").agg(F.min(F.xxhash64(F.lit(seed), F.col("token"))).alias("key"))
+    if sizes is not None:
+        step = F.floor(F.log2("n") * STEPS)
+        key = key.join(sizes.select("id", "n"), "id").select("id", F.xxhash64("key", step).alias("key"))
     many = key.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     salt = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.ceil(F.col("n") / GROUP))
     return key.join(many, "key").select("id", F.xxhash64(F.lit(seed), F.col("key"), salt).alias("g"))
@@ -426,12 +508,11 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "k1", "k2")).alias("c"), F.first("n").alias("n")
     )
     named = cut(matrix.select("id").distinct().join(chosen, "id").select("id", "n", "c.*"), "named")
-    # Rows that are wholly equal are one from the start.
-    keyed = own.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "k1", "k2").agg(F.first("text").alias("text"))
-    texts = cut(with_bitmaps(named.join(keyed, ["d", "k1", "k2"]).select("id", "n", "text"), size), "texts")
 
-    partition_a, partition_b = (cut(_grouped(matrix, seed), "groups") for seed in (1, 2))
-    first = cut(inside_links(partition_a.union(partition_b), texts, size), "links")
+    # The groups to be queried hold sets of about one size, so that few tokens are known to be too few for all of them.
+    partition_a, partition_b = (cut(_grouped(matrix, seed, sizes), "groups") for seed, sizes in ((1, named), (2, None)))
+    near = cut(near_members(matrix, partition_a.union(partition_b), named), "near")
+    first = cut(inside_links(near, cut(texts_of(near, named, own), "texts"), size), "links")
     joined = components(first, "links").withColumnRenamed("node", "id")
     info = named.join(joined, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
     weight = info.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
@@ -445,8 +526,14 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     held = rows.groupBy("token", "g").agg(F.max(rank).alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     asking = rows.select("token", F.col("id").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"), rank.alias("q_rank"))
     fits = (NUMERATOR * F.col("q_n") <= DENOMINATOR * F.col("high")) & (NUMERATOR * F.col("low") <= DENOMINATOR * F.col("q_n"))
-    opens = cut(asking.join(held, "token").where((F.col("q_rank") < F.col("top")) & fits).select("q", "q_comp", "g").distinct(), "opens")
-    open_ = cut(qualifying(opens, info.select("g", "id", "comp"), texts.select("id", "n", "bits")), "open")
+    met = asking.join(held, "token").where((F.col("q_rank") < F.col("top")) & fits).groupBy("q", "q_comp", "q_n", "g").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    enough = enough_shared(F.col("shared"), F.col("q_n"), F.col("low"), F.col("high"))
+    opens = cut(met.where(enough).select("q", "q_comp", "g"), "opens")
+    members = info.select("g", "id", "comp").join(opens.select("g").distinct(), "g", "left_semi")
+    texts = cut(with_bitmaps(texts_of(members.select("id").union(opens.select("q")), named, own), size), "texts")
+    open_ = cut(qualifying(opens, members, texts.select("id", "n", "bits")), "open")
     asking = open_.where("role = 1").select(F.col("id").alias("q"), F.col("comp").alias("q_comp"), "g")
     more = cut(opened_links(asking, open_.where("role = 0").select("g", "id", "comp"), texts, size), "links")
     merged = components(more, "links").withColumnRenamed("node", "comp")

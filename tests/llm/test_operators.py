@@ -151,6 +151,84 @@ def test_bitmaps_never_rule_a_link_out():
             assert linked == plain and linked <= set(matrix.qualifying(jaccard.bitmap(s), len(s), i).tolist())
 
 
+def test_links_share_tokens_of_their_prefixes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    none = np.zeros((2, 0), dtype=np.uint64)
+    for n in (3, 4, 7, 20, 130, 700):
+        base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        kept = [base[rng.random(n) < share] for share in np.repeat([0.75, 0.86, 0.95, 1], 12)]
+        sets = [np.unique(np.concatenate([k, rng.integers(0, 1 << 62, n // 12).astype(np.uint64)])) for k in kept if len(k)]
+        sizes = np.array([len(s) for s in sets])
+        prefixes = [jaccard.prefix(s, none)[0] for s in sets]
+        for i, s in enumerate(sets):
+            least = jaccard.least_shared(sizes[i], sizes)
+            for j, t in enumerate(sets):
+                if 4 * len(np.intersect1d(s, t)) >= 3 * len(np.union1d(s, t)):
+                    assert 1 <= least[j] <= len(np.intersect1d(prefixes[i], prefixes[j]))
+    assert jaccard.least_shared(100, np.array([74, 75, 100, 133, 134])).tolist() == [jaccard.NEVER, 1, 12, 1, jaccard.NEVER]
+
+
+def test_enough_shared_never_rules_out_what_links(spark):
+    import numpy as np
+
+    sizes = [(n, m) for n in range(1, 60) for m in range(1, 80) if 4 * min(n, m) >= 3 * max(n, m)]
+    rows = [(int(jaccard.least_shared(n, np.array([m]))[0]), n, low, high) for n, m in sizes for low, high in ((m, m), (m - 3, m), (m, m + 40))]
+    df = spark.createDataFrame([(max(1, s), n, low, high) for s, n, low, high in rows], "s long, n long, low long, high long")
+    enough = jaccard.enough_shared(*(F.col(c) for c in ("s", "n", "low", "high")))
+    assert df.where(enough).count() == len(rows)
+    few = spark.createDataFrame([(1, 400, 390, 410), (40, 400, 390, 410)], "s long, n long, low long, high long")
+    assert [r[0] for r in few.where(enough).select("s").collect()] == [40]
+
+
+def _families(n, shared):
+    """Texts of 200 words, in pairs that differ in one; every text shares one short passage, of which there are few, with others."""
+    rows = []
+    for i in range(n):
+        own = [f"a{i // 2}x{j}" for j in range(200)]
+        own[100] = f"b{i}"
+        rows.append((i, " ".join([*own, *(f"p{i % shared}y{j}" for j in range(5))])))
+    return rows
+
+
+def test_near_duplicates_send_texts_that_may_link_only(spark, monkeypatch):
+    """Sets that meet in a token or two of a common passage queried each other's groups, and all texts were sent to all groups."""
+    sizes = {}
+    keep = jaccard.cut
+
+    def cut(df, label):
+        written = keep(df, label)
+        sizes.setdefault(label, []).append(written.count())
+        return written
+
+    monkeypatch.setattr(jaccard, "cut", cut)
+    rows = _families(120, 6) + [(1000 + i, " ".join([*(f"c{i}x{j}" for j in range(200 + i)), *(f"p{i % 6}y{j}" for j in range(5))])) for i in range(60)]
+    check(jaccard.join(frame(spark, rows)), ["doc_id", "n_shingles", "component_id"], brute.near_components(rows))
+    # Texts: first of the pairs only, then of next to none.
+    assert sizes["texts"][0] <= 130 and sizes["texts"][1] <= 30 and sizes["opens"][0] <= 20
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark):
+    import time
+
+    from millpond.llm import common
+
+    def files():
+        return {b for b in blocks.getAllBlocks().mkString(",").split(",") if b.startswith("shuffle_")}
+
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before, held = spark.conf.get(common.CLEANUP), files()
+    df = spark.range(1000).repartition(7, "id")
+    written = common.cut(df, "test")
+    until = time.time() + 20
+    while files() - held and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - held and spark.conf.get(common.CLEANUP) == before
+    # What was written can still be run again.
+    assert written.count() == df.count() == 1000
+
+
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
