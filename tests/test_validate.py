@@ -282,3 +282,36 @@ def test_a_report_alone_writes_no_checked_rows(spark):
     assert report == validate.check(raw, contract, keep).report().collect() == validate.check(raw, contract).report().collect()
     # Checked rows are written without a second, typed copy of their key.
     assert [c for label, _, c in written if label == "checked"] == [["id", "v", "_errors", "_repeated"]]
+
+
+def test_a_suite_runs_a_table_at_a_time(spark, monkeypatch):
+    """All tests were one plan, whose stages were all on the driver at once."""
+    from millpond.queries import validation
+
+    tables = {
+        "parent": spark.createDataFrame([(1,), (2,), (2,)], "pk int"),
+        "child": spark.createDataFrame([(1, 1), (2, 9), (None, 9)], "id int, pk int"),
+        "plain": spark.createDataFrame([], "x int"),
+    }
+    suite = datatests.Suite(
+        not_null={"parent": ["pk"], "child": ["id", "pk"]},
+        unique={"parent": "pk"},
+        combinations={"child": ["id", "pk"]},
+        relationships=[("child", "pk", "parent", "pk")],
+        reconciled=[],
+        fact="child",
+    )
+    apart = suite.by_table(tables)
+    want = {("parent", "not_null", "pk", 0), ("parent", "unique", "pk", 1), ("child", "not_null", "id", 1)}
+    want |= {("child", "not_null", "pk", 0), ("child", "unique_combination", "id,pk", 0), ("child", "relationships", "pk", 1)}
+    assert {tuple(r) for r in suite.run(tables).collect()} == want
+    assert {n: {tuple(r) for r in df.collect()} for n, df in apart.items()} == {
+        n: {r for r in want if r[0] == n} for n in ("parent", "child")
+    }
+    monkeypatch.setattr(datatests, "GOLD_SUITE", suite)
+    monkeypatch.setattr(validation, "build_gold", lambda *_: tables)
+    rows = validation._suite(spark, "unused")
+    assert {tuple(r) for r in rows.collect()} == want | {(n, "has_rows", "*", int(n == "plain")) for n in tables}
+    # What is left to run is a scan of the written rows.
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Aggregate" not in plan and "Union" not in plan
